@@ -26,7 +26,7 @@ from pyspark.sql import Window
 from .common import slices, text_or_empty
 
 #: Code points of a chunk before the overlap, and of the overlap.
-CHUNK, OVERLAP = 200_000, 2_000
+CHUNK, OVERLAP = 32_768, 512
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 _loaded: dict = {}
