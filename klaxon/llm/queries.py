@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embed_dedup, ngram_join, sharding, token_output, warc
+from . import bpe, chat, decontam, embed_dedup, html_extract, ngram_join, quality, sharding, token_output, warc
 from .common import read
 
 
@@ -22,6 +22,18 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages"))
 
 
+def op4_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def op6_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"))
 
@@ -48,7 +60,7 @@ numbers AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 OP1_SQL = f"""
 WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
 v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
-ok AS (SELECT *, sqrt(list_inner_product(e, e)) AS size FROM v WHERE len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+ok AS (SELECT *, sqrt(list_inner_product(e, e)) AS size FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM ok p JOIN ok q ON p.label = q.label AND p.vec_id <> q.vec_id AND list_inner_product(p.e, q.e) / (p.size * q.size) >= 0.93),
 {_COMPONENTS}
 SELECT l.id AS vec_id, coalesce(n.n, 0) AS n_links, l.r AS component_id, l.id = l.r AS kept FROM least l LEFT JOIN numbers n ON n.a = l.id
@@ -56,8 +68,8 @@ SELECT l.id AS vec_id, coalesce(n.n, 0) AS n_links, l.r AS component_id, l.id =
 
 OP8_SQL = f"""
 WITH RECURSIVE ids AS (SELECT doc_id AS id FROM documents),
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\f\v]+'), x -> x <> '') AS w FROM documents),
-g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) > 0),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) > 0),
 sizes AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 met AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM g p JOIN g q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE met.n * 10 >= (x.n + y.n - met.n) * 8),
@@ -67,7 +79,8 @@ SELECT l.id AS doc_id, l.r AS class_id, coalesce(n.n, 0) AS n_links, l.id = l.r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multi_index, op2_shard_slots, op3_warc, op7_byte_bpe, op8_lsh_forest, op9_simple8b, op10_chat_grammar)}
+    found = (op1_multi_index, op2_shard_slots, op3_warc, op4_bradley_terry, op5_latent_leaks, op6_block_lstm, op7_byte_bpe, op8_lsh_forest, op9_simple8b, op10_chat_grammar)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
