@@ -1,23 +1,49 @@
-"""The corpus pipeline: quality classifier, n-gram Jaccard join, benchmark decontamination, byte-level BPE."""
+"""The corpus pipeline over `documents`: the quality classifier rejects documents, one document of each near-duplicate class stays,
+documents that hold benchmark items go, and what is left is encoded. Each stage works on what its predecessor kept and reads it as Parquet."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from klaxon.llm import bpe
-from klaxon.llm.common import read, save
+from klaxon.llm import bpe, decontam, ngram_join, quality
+from klaxon.llm.common import read, save, text_or_empty
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that score at least quality.CUT, by a ranking learned from those that have labels."""
+    feats = save(quality.featurise(docs), "features")
+    return quality.keep_good(docs, quality.fit(feats, read(spark, sf_dir, "labels")))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of five-word shingle similarity of 0.8 or more."""
+    return ngram_join.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without leaked benchmark items."""
+    leaks = decontam.find_leaks(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak_id")) & (F.xxhash64(text_or_empty()) == F.col("leak_key")), "left_anti")
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the documents."""
     return bpe.encode_documents(docs)
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("byte-level BPE", byte_bpe),
+]
+#: A learned classifier and retrieval can't be written in SQL; tests/llm/test_pipeline.py has the brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
