@@ -17,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ BLOCK = 1024
 #: Ids of a word and bits of an id, by selector.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+_limits = np.array([(1 << int(b)) - 1 for b in BITS], dtype=np.uint64)
+_needs = np.searchsorted(_limits, np.arange(1 << 16, dtype=np.uint64)).astype(np.uint8)
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
@@ -46,7 +49,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint64), escapes
     # The least selector whose fields hold each id; rising selectors have wider fields and fewer of them.
-    need = np.searchsorted(np.array([(1 << int(b)) - 1 for b in BITS], dtype=np.uint64), ids).astype(np.uint8)
+    need = _needs[ids] if ids.max() < len(_needs) else np.searchsorted(_limits, ids).astype(np.uint8)
     padded = np.zeros(blocks * BLOCK + 60, np.uint8)
     padded[:n] = need
     best = np.full(blocks * BLOCK, 13, np.uint8)
@@ -61,27 +64,25 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         best[fits] = s
     # Every block takes its next word in each step.
     at, ends = np.arange(blocks) * BLOCK, np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
-    starts, owners = [], []
-    live = np.arange(blocks)
-    while len(live):
-        starts.append(at[live].copy())
-        owners.append(live)
-        at[live] += COUNTS[best[at[live]]]
-        live = live[at[live] < ends[live]]
-    starts, owners = np.concatenate(starts), np.concatenate(owners)
-    starts = starts[np.argsort(starts, kind="stable")]
-    owners = starts // BLOCK
-    words = best[starts].astype(np.uint64) << np.uint64(60)
-    # Places past the end of a block hold 0.
+    begins = np.zeros(blocks * BLOCK, bool)
+    while len(at):
+        begins[at] = True
+        at = at + COUNTS[best[at]]
+        live = at < ends
+        at, ends = at[live], ends[live]
+    starts = np.flatnonzero(begins)
+    selectors = best[starts]
+    words = selectors.astype(np.uint64) << np.uint64(60)
+    # A block's last word may run into the next block: it then holds that block's own ids, which fit, as `best` looked at them.
     full = np.zeros(blocks * BLOCK + 60, np.uint64)
     full[:n] = ids
-    for s in np.unique(best[starts]):
-        mine = np.flatnonzero(best[starts] == s)
+    for s in np.flatnonzero(np.bincount(selectors)):
+        mine = np.flatnonzero(selectors == s)
+        place, packed = starts[mine], np.zeros(len(mine), np.uint64)
         for j in range(int(COUNTS[s])):
-            place = starts[mine] + j
-            value = np.where(place // BLOCK == owners[mine], full[place], np.uint64(0))
-            words[mine] |= value << np.uint64(j * int(BITS[s]))
-    offsets = np.searchsorted(owners, np.arange(blocks + 1)).astype(np.uint64)
+            packed |= full[place + j] << np.uint64(j * int(BITS[s]))
+        words[mine] |= packed
+    offsets = np.searchsorted(starts, np.arange(blocks + 1) * BLOCK).astype(np.uint64)
     return words, offsets, escapes
 
 
@@ -96,13 +97,12 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
     block = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets).astype(np.int64))
     starts = before - before[offsets[:-1].astype(np.int64)][block] + block * BLOCK
     out = np.zeros((len(offsets) - 1) * BLOCK + 60, np.uint64)
-    for s in np.unique(selector):
+    for s in np.flatnonzero(np.bincount(selector)):
         mine = np.flatnonzero(selector == s)
+        place, held = starts[mine], words[mine]
         mask = np.uint64((1 << int(BITS[s])) - 1)
         for j in range(int(COUNTS[s])):
-            place = starts[mine] + j
-            inside = place // BLOCK == block[mine]
-            out[place[inside]] = (words[mine[inside]] >> np.uint64(j * int(BITS[s]))) & mask
+            out[place + j] = (held >> np.uint64(j * int(BITS[s]))) & mask
     out = out[:n]
     if len(escapes):
         out[escapes[:, 0].astype(np.int64)] = escapes[:, 1]
@@ -130,12 +130,13 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 class WordIds(dict):
-    """Ids of the words that white space parts, by the tokenizers library, each worked out once for a worker while the table
-    holds no more than `most` words. The tokenizer drops white space, so words don't touch each other's ids. A word of letters
-    that ends in ASCII marks is taken as the letters and the marks, which its pattern parts as well; of an ASCII word the ids are
-    those of its lower case."""
+    """Ids of words by the tokenizers library, each worked out once while the table holds it. The tokenizer drops white space and
+    parts letters and digits from the marks after them, so a text can be parted there: into what white space parts, and in that, letters
+    and digits from ASCII marks (but the apostrophe) that end it. Once there are more than `most` words, those that were met
+    once are dropped, and all if most were met more often."""
 
-    tail = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+    part = re.compile(r"[^\W_]+(?=[!-&(-/:-@\[-`{-~]*(?:[ \t\n\r]|\Z))|[^ \t\n\r]+")
+    marks = re.compile(r"[!-&(-/:-@\[-`{-~]+")
 
     def __init__(self, path: str, most: int = 600_000):
         import os
@@ -146,58 +147,91 @@ class WordIds(dict):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.most = most
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
+        vocabulary = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.ids = np.zeros(1 << 17, np.uint16 if len(self.ends_word) <= 1 << 16 else np.uint32)
+        self.used = 0
         self.waiting: list[str] = []
-        self.flat, self.used = np.zeros(1 << 16, np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32), 0
-        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.stems: dict[str, list[int]] = {}
+        self.first, self.size, self.seen = (np.zeros(1 << 16, np.int32) for _ in range(3))
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
         self.waiting.append(word)
         return n
 
+    def prune(self) -> None:
+        n = len(self)
+        keep = np.flatnonzero(self.seen[:n] > 1)
+        if len(keep) > self.most // 2:
+            keep = keep[:0]
+        words = list(self)
+        words = [words[k] for k in keep.tolist()]
+        sizes, first = self.size[keep], self.first[keep]
+        self.clear()
+        self.update(zip(words, range(len(words)), strict=True))
+        ids = self._gather(first, sizes)
+        self.ids[: len(ids)], self.used = ids, len(ids)
+        self.size[: len(keep)], self.first[: len(keep)], self.seen[: len(keep)] = sizes, np.cumsum(sizes) - sizes, 1
+
+    def _gather(self, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)]
+
+    def _encode(self, plain: list[str], other: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each word has). Each of `plain` is one pre-token, which ends with the one id of it that ends a word: all are
+        encoded as one text and parted there, if the numbers agree."""
+        parts = []
+        if plain:
+            ids = np.array(self.library.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype=self.ids.dtype)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                parts.append((ids, np.diff(ends, prepend=0)))
+            else:
+                parts.append(self._encode([], plain))
+        found = [e.ids for e in self.library.encode_batch_fast(other, add_special_tokens=False)] if other else []
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        parts.append((np.fromiter((i for x in found for i in x), self.ids.dtype, int(sizes.sum())), sizes))
+        return tuple(np.concatenate([p[k] for p in parts]) for k in (0, 1))
+
     def settle(self) -> None:
         """Encodes the words that were met for the first time."""
-        parted = []
-        for w in self.waiting:
-            m = self.tail.fullmatch(w)
-            parts = m.groups() if m else (w,)
-            parted.append([x.lower() if x.isascii() else x for x in parts])
-        new = list(dict.fromkeys(x for parts in parted for x in parts if x not in self.stems))
-        for x, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.stems[x] = e.ids
-        ids = [self.stems[p[0]] if len(p) == 1 else self.stems[p[0]] + self.stems[p[1]] for p in parted]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), self.flat.dtype, int(sizes.sum()))
-        begun = len(self) - len(ids)
-        while len(self) > len(self.first):
-            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.first[begun : len(self)] = self.used + np.cumsum(sizes) - sizes
-        self.size[begun : len(self)] = sizes
-        self.used += len(flat)
+        if not self.waiting:
+            return
+        n, begun = len(self), len(self) - len(self.waiting)
+        is_plain = np.fromiter((w.isalpha() or self.marks.fullmatch(w) is not None for w in self.waiting), bool, len(self.waiting))
+        plain = [w for w, x in zip(self.waiting, is_plain.tolist(), strict=True) if x]
+        ids, sizes = self._encode(plain, [w for w, x in zip(self.waiting, is_plain.tolist(), strict=True) if not x])
+        order = begun + np.concatenate([np.flatnonzero(is_plain), np.flatnonzero(~is_plain)])
+        while n > len(self.first):
+            self.first, self.size, self.seen = (np.resize(x, 2 * len(x)) for x in (self.first, self.size, self.seen))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.first[order], self.size[order], self.seen[begun:n] = self.used + np.cumsum(sizes) - sizes, sizes, 0
+        self.used += len(ids)
         self.waiting = []
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; how many each has)."""
         if len(self) > self.most:
-            self.reset()
-        get = self.__getitem__
-        words = [np.fromiter(map(get, parts), np.int64, len(parts)) for parts in (re.split(r"[ \t\n\r]+", t) for t in texts)]
+            self.prune()
+        get, words = self.__getitem__, []
+        for text in texts:
+            low = text.lower()
+            # The tokenizer composes (NFC), then lowers letter by letter; where that is what str.lower() did, lower texts share words.
+            if "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", low):
+                text = low
+            parts = self.part.findall(text)
+            words.append(np.fromiter(map(get, parts), np.int32, len(parts)))
         self.settle()
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        all_words = np.concatenate(words) if words else np.zeros(0, np.int64)
-        sizes, first = self.size[all_words], self.first[all_words]
-        ends = np.cumsum(sizes)
-        flat = self.flat[np.arange(int(sizes.sum())) - np.repeat(ends - sizes - first, sizes)]
-        upto = np.concatenate([[0], ends])[np.cumsum(counts)]  # every text has a word at least, the empty one
-        return np.insert(flat.astype(np.uint32), upto, end_id), np.diff(upto, prepend=0) + 1
+        every = np.concatenate(words) if words else np.zeros(0, np.int32)
+        np.add(self.seen[: len(self)], np.bincount(every, minlength=len(self)), out=self.seen[: len(self)], casting="unsafe")
+        sizes = self.size[every]
+        ids = self._gather(self.first[every], sizes)
+        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.cumsum(counts)]
+        return np.insert(ids, upto, end_id), np.diff(upto, prepend=0) + 1
 
 
 _words: dict[str, WordIds] = {}
@@ -215,26 +249,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian unsigned, of two bytes each where the vocabulary allows)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                ids, counts = word_ids(tokenizer).encode(part.column("text").to_pylist(), end_id)
-                raw, ends = ids.astype("<u4").tobytes(), np.cumsum(counts) * 4
-                packed = [raw[e - 4 * c : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.column("doc_id"), pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids binary")
-
-
 def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, *, file_ids: int = 4_000_000) -> DataFrame:
-    """Writes the files; returns their list: part, file_no, path, n_ids, n_docs, n_bytes. (part, file_no) is in doc_id order."""
+    """Sorts the texts by doc_id over range partitions, and in the same pass encodes them and writes the files; returns their list:
+    part, file_no, path, n_ids, n_docs, n_bytes, folder. (part, file_no) is in doc_id order."""
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     folder = scratch_path(spark, "token-ids")
-    coded = save(encode(docs, tokenizer, end_id), "ids")
-    sorted_ids = coded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("tie", F.crc32("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]  # the second parts rows of one id, if there are very many
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -242,30 +263,31 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, *
 
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        part, no = TaskContext.get().partitionId(), 0
-        held: list[tuple[int | None, np.ndarray]] = []
+        part, no, size = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            ids, lengths = np.concatenate([x for _, x in held]), np.array([len(x) for _, x in held])
-            data = file_bytes(ids, np.array([d or 0 for d, _ in held], dtype=np.int64), np.array([d is not None for d, _ in held]), lengths)
-            path = f"{base}/part-{part:06d}-{no:06d}-{uuid.uuid4().hex}.s8b"
-            with store.open_output_stream(path) as f:
+            ids, doc_ids, lengths = (np.concatenate([x[k] for x in held]) for k in (0, 1, 3))
+            data = file_bytes(ids, doc_ids, np.concatenate([x[2] for x in held]), lengths)
+            path = f"part-{part:06d}-{no:06d}-{uuid.uuid4().hex}.s8b"
+            with store.open_output_stream(f"{base}/{path}", compression=None) as f:
                 f.write(data)
-            values = {"part": part, "file_no": no, "path": path.rpartition("/")[2], "n_ids": len(ids), "n_docs": len(held), "n_bytes": len(data)}
+            values = {"part": part, "file_no": no, "path": path, "n_ids": len(ids), "n_docs": len(lengths), "n_bytes": len(data)}
             return pa.RecordBatch.from_pylist([values], schema=_files)
 
-        size = 0
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                held.append((doc_id, np.frombuffer(ids.as_buffer(), dtype="<u4")))
-                size += len(held[-1][1])
+            for rows in slices(batch, "text", 2 << 20):
+                ids, lengths = word_ids(tokenizer).encode(rows.column("text").to_pylist(), end_id)
+                column = rows.column("doc_id")
+                held.append((ids, column.fill_null(0).to_numpy(), column.is_valid().to_numpy(zero_copy_only=False), lengths))
+                size += len(ids)
                 if size >= file_ids:
                     yield flush()
                     held, size, no = [], 0, no + 1
         if held:
             yield flush()
 
-    files = sorted_ids.mapInArrow(run, "part int, file_no int, path string, n_ids long, n_docs long, n_bytes long")
+    files = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, "part int, file_no int, path string, n_ids long, n_docs long, n_bytes long")
     return save(files.withColumn("folder", F.lit(folder)), "token-files")
 
 
