@@ -6,7 +6,7 @@ the forest gives the target recall at the threshold:
 2. Full prefixes: every class is compared with the first of its bucket, and equal ones merge. This takes near copies together at
    the cost of one comparison each.
 3. The prefix is shortened to `depth_for(...)`, the longest for which a pair at the threshold meets in some tree with the target
-   probability. Buckets that hold several merged classes are compared there, all pairs of different classes, in blocks.
+   probability. In buckets that hold several merged classes, all pairs of different classes are compared, in blocks.
 4. Links are counted inside the components, exactly and over all pairs, in blocks; so a link can be missed only where it is the
    sole way between two parts of a component, with the probability that the target leaves.
 
@@ -20,7 +20,6 @@ null text or one without words links with nothing; rows with null ids take part,
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -36,7 +35,7 @@ from .components import block_pairs, components, forest, run_groups
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET = 16, 8, 0.9995
 #: Texts of a block; two blocks meet in a task.
-BLOCK = 64
+BLOCK = 128
 
 _rng = np.random.default_rng(20240229)
 _byte = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -194,6 +193,13 @@ def _linked_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataF
 _edges = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
+def _largest(rows: DataFrame) -> DataFrame:
+    """rows of the buckets that hold several classes, with big (the bucket's largest class) and n_big (its nodes there)."""
+    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("c"))
+    big = sizes.groupBy("key").agg(F.max(F.struct("c", F.col("class").alias("big"))).alias("b"), F.count("*").alias("classes"))
+    return rows.join(big.where("classes > 1").select("key", F.col("b.big"), F.col("b.c").alias("n_big")), "key")
+
+
 def _with_class(df: DataFrame, classes: DataFrame) -> DataFrame:
     return df.join(classes.select("node", "component"), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
 
@@ -206,9 +212,16 @@ def link_classes(nodes: DataFrame, texts_of, threshold: float = THRESHOLD, targe
     deep = buckets(nodes, DEPTH).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     edges = cut(_linked_pairs(deep, texts, threshold))
     classes = components(edges)
-    rows = _with_class(found, classes)
-    mixed = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    rows = block_pairs(rows.join(mixed, "key", "left_semi"), "key", "node", "n", BLOCK).join(texts, "node")
+    # Nodes outside the largest class of their bucket meet its nodes, and each other. Nodes of one class need no comparison, so a
+    # large class is met by each of the others but not by itself.
+    rows = cut(_largest(_with_class(found, classes)).where("n > n_big").withColumn("rest", F.col("n") - F.col("n_big")))
+    inside = F.col("class") == F.col("big")
+    blocks = {x: F.ceil(F.col(x) / BLOCK).cast("int") for x in ("n_big", "rest")}
+    own = F.pmod(F.xxhash64("node"), F.when(inside, blocks["n_big"]).otherwise(blocks["rest"])).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(inside, blocks["rest"]).otherwise(blocks["n_big"]) - 1))
+    crossing = rows.withColumn("own", own).withColumn("other", other).select("key", F.when(inside, F.col("own")).otherwise(F.col("other")).alias("lo"), (-1 - F.when(inside, F.col("other")).otherwise(F.col("own"))).alias("hi"), "node", "class")
+    among = block_pairs(rows.where(~inside & (F.col("rest") > 1)), "key", "node", "rest", BLOCK).select("key", "lo", "hi", "node", "class")
+    rows = crossing.unionByName(among).join(texts, "node")
 
     def compare(group: list[dict]) -> list[tuple]:
         if len({r["class"] for r in group}) < 2:
@@ -279,3 +292,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone & F.lit(links), F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
+    """The rows of docs, with all their columns, that stay if one document of each class does: the one of the smallest id. Of rows that
+    repeat its id and text, one stays. Rows of a class without ids all stay."""
+    found = cut(near_duplicates(docs, threshold, target, links=False).select("doc_id", "text_key", "kept"))
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_or_empty()) == F.col("gone_key")), "left_anti")
+    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "text_key").count().where("count > 1")
+    if repeated.isEmpty():
+        return rows
+    one = rows.where("doc_id IS NOT NULL").withColumn("_key", F.xxhash64(text_or_empty())).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return one.unionByName(rows.where("doc_id IS NULL"))
