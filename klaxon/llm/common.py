@@ -51,3 +51,13 @@ def slices(batch, column: str, most_bytes: int = 8 << 20):
     rows = max(1, int(most_bytes / max(1, batch.column(column).nbytes / max(1, batch.num_rows))))
     for k in range(0, batch.num_rows, rows):
         yield batch.slice(k, rows)
+
+
+def sample_of(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows of df, those of lowest hash of `key`. A count gives the hash below which little more than `most` rows are
+    expected, so that tasks send about that many in all, and not that many each, to where they are sorted."""
+    n, hashed = df.count(), F.xxhash64(key)
+    if n > most:
+        share = min(1.0, (1.1 * most + 1_000) / n)
+        df = df.where(hashed <= F.lit(int(-(2**63) + share * (2**64 - 2**11))))
+    return df.orderBy(hashed, *sorted(df.columns)).limit(most)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, slices, text_or_empty
+from .common import sample_of, save, slices, text_or_empty
 
 MOST_LABELLED, MOST_PAIRS, FOLDS, CUT = 20_000, 200_000, 5, 0.3
 
@@ -141,7 +141,8 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit(feats: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, pairs: int = MOST_PAIRS) -> Ranker:
     known = labels.where("quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out())
-    rows = feats.where(F.col("doc_id").isNotNull()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "quality", "x").limit(most).select("x", "quality").toPandas()
+    known = known.join(feats.select("doc_id"), "doc_id", "left_semi")  # only ids are dealt out for this
+    rows = feats.join(sample_of(known, "doc_id", most), "doc_id").orderBy("doc_id", "quality", "x").limit(most).select("x", "quality").toPandas()
     if not len(rows):
         return rank(np.zeros((0, len(FEATURES))), np.zeros(0))
     return rank(np.stack(rows["x"].to_numpy()), rows["quality"].to_numpy(), pairs)
