@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, save
+from .common import cut, sample_of, save
 from .components import components, forest, run_groups
 
 THRESHOLD, TARGET = 0.93, 0.995
@@ -113,7 +113,7 @@ def fit(nodes: DataFrame, threshold: float, target: float, seed: int = 7) -> dic
     codebook has about sqrt(n / BLOCK * 4) centroids."""
     rng = np.random.default_rng(seed)
     n = nodes.count()
-    rows = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vec").collect()
+    rows = sample_of(nodes.select("node", "vec"), "node", SAMPLE).select("vec").collect()
     by_length: dict[int, list[bytes]] = {}
     for r in rows:
         by_length.setdefault(len(r["vec"]), []).append(bytes(r["vec"]))
