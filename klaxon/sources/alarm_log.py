@@ -16,8 +16,8 @@ KNOWN = ["N2A", "A2A", "A2N"]
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8, unless decoding it that way leaves a replacement character; then Latin-1. Looks at lines until the first such one."""
-    bad = spark.read.text(path).where(F.col("value").contains("�"))
+    """UTF-8, unless a line isn't valid in it; then Latin-1. Lines keep their bytes in Spark. Looks at lines until the first such one."""
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value"))
     return "ISO-8859-1" if not bad.isEmpty() else "UTF-8"
 
 
