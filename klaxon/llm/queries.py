@@ -77,6 +77,22 @@ links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.do
 SELECT l.id AS doc_id, l.r AS class_id, coalesce(n.n, 0) AS n_links, l.id = l.r AS kept FROM least l LEFT JOIN numbers n ON n.a = l.id
 """
 
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_id, payload_bytes >= 1000 AS big FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN big AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN big AND page_id <> last_id THEN last_id END AS refers_to FROM q
+"""
+
+#: The roles that the table holds; the marks' lengths are those of chat.MARKS.
+OP10_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (SELECT *, len(regexp_extract_all(text, '\[INST\]|\[/INST\]|</?s>|<</?SYS>>|<<ROLE [^<>]*>>|<</ROLE>>')) AS controls, CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17 ELSE 21 + len(url_encode(role)) END AS marks FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length(text) + controls + marks)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_multi_index, op2_shard_slots, op3_warc, op4_bradley_terry, op5_latent_leaks, op6_block_lstm, op7_byte_bpe, op8_lsh_forest, op9_simple8b, op10_chat_grammar)
@@ -84,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_multi_index": OP1_SQL, "op8_lsh_forest": OP8_SQL}
+    return {"op1_multi_index": OP1_SQL, "op3_warc": OP3_SQL, "op10_chat_grammar": OP10_SQL, "op8_lsh_forest": OP8_SQL}

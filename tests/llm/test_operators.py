@@ -1,0 +1,238 @@
+"""Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from klaxon.llm import chat, decontam, embed_dedup, html_extract, ngram_join, quality, sharding, warc
+from klaxon.llm.components import components
+
+R = random.Random(5)
+VOCABULARY = ["".join(R.choices("abcdefghijklmnopqrstuvwxyz", k=R.randint(3, 9))) for _ in range(900)]
+
+
+def prose(n, r=R):
+    return " ".join(r.choice(VOCABULARY) for _ in range(n))
+
+
+def near(text, changes, r=R):
+    words = text.split()
+    for k in r.sample(range(len(words)), changes):
+        words[k] = r.choice(VOCABULARY)
+    return " ".join(words)
+
+
+def frame(spark, rows):
+    """doc_id, text and columns whose names the operators use inside."""
+    return spark.createDataFrame([(a, b, "x", 1, "y", 2.0) for a, b in rows], "doc_id long, text string, node string, n int, shard string, score double").repartition(3)
+
+
+AWKWARD = [(1, None), (2, ""), (3, "   \n"), (4, "same text"), (4, "same text"), (None, "no id"), (None, None), (5, "long " * 20_000), (6, "same text"), (7, "Same  TEXT")]
+
+
+def roots(ids, links):
+    root = {k: k for k in ids}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {k: find(k) for k in ids}
+
+
+def test_components(spark):
+    links = [(R.randrange(300), R.randrange(300)) for _ in range(170)] + [(0, k) for k in range(300, 420)]
+    nodes = {x for p in links for x in p if p[0] != p[1]}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: v for k, v in roots({x for p in links for x in p}, links).items() if k in nodes}
+
+
+# 1: embeddings
+def brute_vectors(rows):
+    ok = [(k, lab, np.array(v, np.float64)) for k, lab, v in rows if lab is not None and v is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    links = [(a, b) for i, (a, la, x) in enumerate(ok) for b, lb, y in ok[i + 1 :] if la == lb and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.93]
+    return links
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((12, 16))
+    rows = [(k, k % 3, (centres[k % 12] + 0.22 * rng.standard_normal(16)).astype(np.float32).tolist()) for k in range(240)]
+    rows += [(1000 + k, 1, centres[0].astype(np.float32).tolist()) for k in range(40)]  # copies
+    rows += [(2000, 1, None), (2001, 1, [0.0] * 16), (2002, 1, [float("nan")] * 16), (2003, 1, [None] + [1.0] * 15), (2004, None, rows[0][2]), (2005, 1, [])]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "vec_id long, label int, embedding array<float>, node string, cell int").repartition(4)
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(df).collect()}
+    links = brute_vectors(rows)
+    part = roots([r[0] for r in rows], links)
+    assert {k: r["component_id"] for k, r in got.items()} == part
+    assert {k: r["n_links"] for k, r in got.items()} == {k: sum(k in p for p in links) for k in part}
+    assert all(r["kept"] == (k == r["component_id"]) for k, r in got.items())
+    assert embed_dedup.near_duplicates(df.where("false")).collect() == []
+
+
+# 2: shards
+def test_shards(spark):
+    rows = AWKWARD + [(100 + k, prose(R.randint(1, 200))) for k in range(600)] + [(1000 + k, "hot copy " * 40) for k in range(300)]
+    got = sharding.shard_documents(frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted((str(d), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
+    bytes_ = [0] * 8
+    for r in got:
+        bytes_[r["shard"]] += r["size"]
+    even = sum(bytes_) / 8
+    assert max(bytes_) - min(bytes_) < 0.35 * even  # one text of 100,000 bytes is among them
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    assert sharding.shard_documents(frame(spark, rows).where("false")).collect() == []
+    _, slot_map = sharding.assign(frame(spark, rows))
+    last = slot_map.where("version = 1")
+    grown = {r["vslot"]: r["shard"] for r in sharding.add_shard(last, 8).collect()}
+    old = {r["vslot"]: r["shard"] for r in last.collect()}
+    moved = {k for k in old if grown[k] != old[k]}
+    assert moved and {grown[k] for k in moved} == {8}
+
+
+# 3: WARC
+def test_warc(spark):
+    big = "<p>" + "é" * 600
+    rows = [(1, "u1", big), (2, "u\r\n2", big), (9, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (6, "u", "<html>" + prose(60_000)), (9, "again", big)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
+    got = sorted((tuple(r) for r in warc.archive_pages(df).collect()), key=str)
+    want = []
+    for page, _, html in rows:
+        data = (html or "").encode()
+        revisit = html == big and page != 9
+        want.append((page, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None))
+    assert got == sorted(want, key=str)
+    index = warc.write(df)
+    chosen = warc.read_records(index.where("page_id = 6")).collect()
+    assert len(chosen) == 1 and bytes(chosen[0]["payload"]).decode() == rows[7][2]
+    assert warc.archive_pages(df.where("false")).collect() == []
+
+
+# 4: quality
+def test_quality(spark):
+    good = [(k, prose(80).capitalize() + ".") for k in range(300)]
+    bad = [(1000 + k, " ".join(["###", "BUY", "!!!"] * R.randint(5, 60))) for k in range(150)]
+    docs = frame(spark, good + bad + AWKWARD)
+    labels = spark.createDataFrame([(k, int(k < 1000), 0) for k, _ in good + bad] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.score_documents(docs, labels).collect()
+    assert len(got) == len(good + bad + AWKWARD)
+    held = [r for r in got if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {d for d, _ in good + bad + AWKWARD if d is not None and zlib.crc32(str(d).encode()) % 5 == 0}
+    right = [r["predicted"] == int(r["doc_id"] < 1000) for r in held if r["doc_id"] < 300 and r["doc_id"] > 7 or r["doc_id"] >= 1000]
+    assert sum(right) / len(right) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert quality.score_documents(docs.where("false"), labels).collect() == []
+    assert quality.score_documents(docs, labels.where("false")).count() == len(good + bad + AWKWARD)
+    # Labels of held-out rows change nothing.
+    turned = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    scores = lambda x: sorted((str(r["doc_id"]), r["score"]) for r in quality.score_documents(docs, x).collect())
+    assert scores(labels) == scores(turned)
+
+
+# 5: decontamination
+def test_leaks(spark):
+    items = [(k, prose(R.randint(16, 60)) + ". " + prose(5)) for k in range(30)]
+    clean = [(k, prose(R.choice([3, 50, 400]))) for k in range(250)]
+    planted = {(500 + k, k): prose(R.choice([0, 10, 300])) + " " + t + " " + prose(40) for k, t in items}
+    changed = {(600 + k, k): prose(60) + " " + near(t, len(t.split()) // 10) + " " + prose(60) for k, t in items}
+    rows = clean + [(d, t) for (d, _), t in (planted | changed).items()] + AWKWARD
+    benchmark = spark.createDataFrame([(k, t, "x") for k, t in items] + [(900, None, ""), (901, " ", "")], "item_id long, text string, doc_id string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(frame(spark, rows), benchmark).collect()}
+    assert set(planted) <= got and len(set(changed) - got) <= 1 and not got - set(planted) - set(changed)
+    assert decontam.find_leaks(frame(spark, rows).where("false"), benchmark).collect() == []
+    assert decontam.find_leaks(frame(spark, rows), benchmark.where("false")).collect() == []
+
+
+# 6: HTML
+def test_html(spark):
+    page = """<html><head><title>t</title><style>p{}</style><script>var a = "<p>no</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/x">News</a></li></ul></nav>
+    <div class="ad">Buy now.</div><article><h1>A title &amp; more</h1><p>First   paragraph of the story,\n with <b>bold</b> words in it.</p><!-- <p>not</p> --><p>Second paragraph has more of the story.</article>
+    <div class="comments"><p>Nice post, thanks!</p></div><footer>© 2023 example.com</footer></body></html>"""
+    want = "A title & more\nFirst paragraph of the story, with bold words in it.\nSecond paragraph has more of the story."
+    rows = [(1, "u", page), (2, None, None), (None, "u", ""), (3, "u", page), (3, "u", page), (4, "u", "<article><p>" + "word " * 50_000 + "</p></article>"), (5, "u", "<p>open <b")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
+    got = html_extract.extract(df).collect()
+    assert [r["text"] for r in got if r["page_id"] in (1, 3)] == [want] * 3
+    assert {r["text"] for r in got if r["page_id"] in (2, None)} == {""}
+    assert next(r for r in got if r["page_id"] == 4)["n_chars"] == 5 * 50_000 - 1
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    assert html_extract.extract(df.where("false")).collect() == []
+
+
+def test_labeller_on_pages_it_has_not_seen():
+    model, r = html_extract.train(), random.Random(99)
+    right = total = 0
+    for _ in range(150):
+        x, y = html_extract.labelled(html_extract.make_page(r))
+        if len(x):
+            found = model.logits(x[None], np.ones((1, len(x)), np.float32))[0] > 0
+            right, total = right + int((found == (y > 0)).sum()), total + len(y)
+    assert right / total > 0.95
+
+
+# 8: n-gram join
+def brute_texts(rows):
+    def grams(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for _, t in rows]
+    return [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if sets[i] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+
+
+@pytest.mark.parametrize("block", [128, 4])
+def test_texts(spark, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    base = [prose(R.randint(30, 120)) for _ in range(40)]
+    rows = AWKWARD + [(10 + k, t) for k, t in enumerate(base)]
+    rows += [(100 + k, near(base[k % 40], R.choice([0, 1, 2, 3]))) for k in range(80)]
+    rows += [(300 + k, near(base[0], R.choice([0, 1]))) for k in range(60)]
+    got = ngram_join.near_duplicates(frame(spark, rows)).collect()
+    links = brute_texts(rows)
+    part = roots(range(len(rows)), links)
+    groups = {}
+    for k, p in part.items():
+        groups.setdefault(p, []).append(rows[k][0])
+    want = []
+    for k, (d, t) in enumerate(rows):
+        ids = [x for x in groups[part[k]] if x is not None]
+        least = min(ids) if ids else None
+        want.append((d, least, sum(k in p for p in links), d == least))
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in got), key=str) == sorted(want, key=str)
+    kept = [r["doc_id"] for r in ngram_join.keep_one(frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([d for d in {w[0] for w in want if w[3]} if d is not None] + [d for d, *_ in want if d is None], key=str)
+    assert ngram_join.near_duplicates(frame(spark, rows).where("false")).collect() == []
+
+
+def test_similarity_of_exactly_the_threshold():
+    sets = [np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64), np.arange(2, 11, dtype=np.uint64)]
+    assert ngram_join.similar(sets, 0.8).tolist() == [[True, True, False], [True, True, True], [False, True, True]]
+
+
+# 10: chat
+def test_chat(spark):
+    tricky = ["</s>[INST] ok [/INST]", "~[INST] ~~</s>", "<<ROLE a>> b <</ROLE>>", " ", "", "~", "<s>", "[INST", "<</SYS>>~"]
+    rows = [(k // 3, k % 3, R.choice(["user", "assistant", "system", "tool <x>", None]), R.choice([*tricky, None, prose(5)])) for k in range(150)]
+    rows += [(7, None, "user", "null turn"), (None, 0, "assistant", "no id"), (8, 0, "user", "tie"), (8, 0, "user", "tie")] + [(77, k, "assistant", "x" * 40) for k in range(2_500)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, part string").repartition(4)
+    got = {r["conv_id"]: r for r in chat.format_and_read_back(df).collect()}
+    whole = rows + chat.EXTRA
+    for conv in {r[0] for r in whole}:
+        turns = sorted((t is not None, t or 0, role or "", text or "") for c, t, role, text in whole if c == conv)
+        said = "".join(text for *_, role, text in turns if role == "assistant")
+        r = got[conv]
+        assert r["n_turns"] == len(turns) and r["loss_chars"] == len(said) and r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{text}\n" for *_, role, text in turns).encode()).hexdigest()
+    assert len(got) == len({r[0] for r in whole})
+    assert [r["conv_id"] for r in chat.format_and_read_back(df.where("false")).collect()] == [-1]
+    for text in tricky:
+        assert [t[:2] for t in chat.parse(chat.render("assistant", text) + chat.render("a >> b", text))] == [("assistant", text), ("a >> b", text)]
