@@ -5,8 +5,9 @@ longest common subsequence of words, and weaker matches by whether the item's an
 
 The SVD: A holds a row for each passage of PASSAGE words. Each task sums A'(A W) over its passages for one random matrix W (terms by
 RANK + 16), and as A'A is positive, the Nystrom formula turns the sum into A's right singular vectors without another pass. How near
-is near enough comes from simulated leaks: windows of items with a fifth of the words replaced and moved by up to a half
-stride must pass with the probability RECALL.
+is near enough comes from simulated leaks, for each item on its own: windows of it with a fifth of the words replaced and moved by up to
+a half stride must pass with the probability RECALL. Every word of the benchmark is a term however common it is, as a widely leaked item
+makes its own words common; the idf has a floor above 0.
 
 A window is projected only if as many of its words are terms as a leak of that kind has at least, which loses no such leak. Items are
 taken in blocks of ITEM_BLOCK, so a task holds the terms of a block at most.
@@ -33,10 +34,12 @@ from .common import save, slices, text_or_empty
 from .components import run_groups
 
 PASSAGE, RANK, ITEM_BLOCK = 32, 64, 2_000
-#: Windows for items from so many words on; the first is for shorter ones too. A word in over STOP of the passages is no term of the SVD.
-WINDOWS, SHORT, STOP = (12, 24), 6, 0.05
+#: Windows for items from so many words on; the first is for shorter ones too.
+WINDOWS, SHORT = (12, 24), 6
 #: Least share of a window's words that are terms, in a leak; least weighted share of an item in order, alone and with its answer.
 TERMS, ALONE, WITH_ANSWER, RECALL = 0.75, 0.6, 0.45, 0.99
+#: Simulated leaks of each item.
+SIMULATED = 100
 
 _word = re.compile(r"\w+")
 _sentence = re.compile(r"[.!?](?:\s|$)|\n")
@@ -126,27 +129,18 @@ def document_frequency(tokens: DataFrame, n_terms: int) -> tuple[np.ndarray, int
     return out[:-1], int(out[-1])
 
 
-@dataclass
-class Weights:
-    """idf of terms, at last of words that are none and of fillings, so that -1 and -2 index them; whether a term takes part in the SVD."""
-
-    idf: np.ndarray
-    sought: np.ndarray
-
-
-def weigh(df: np.ndarray, n: int) -> Weights:
+def weigh(df: np.ndarray, n: int) -> np.ndarray:
+    """idf of terms, at last of words that are none and of fillings, so that -1 and -2 index them."""
     idf = np.maximum(np.log((n + 1) / (df + 1)), 0.1)
-    sought = (df <= STOP * n) | (df <= 5)
-    other = idf[sought].mean() if sought.any() else 1.0
-    return Weights(np.concatenate([idf, [0.0, other]]).astype(np.float32), np.concatenate([sought, [False, False]]))
+    return np.concatenate([idf, [0.0, idf.mean()]]).astype(np.float32)
 
 
 _sums = pa.schema([("block", pa.int64()), ("sum", pa.binary())])
 
 
-def latent_directions(tokens: DataFrame, w: Weights, rank: int = RANK, seed: int = 5) -> np.ndarray:
+def latent_directions(tokens: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
     """(terms, rank): the leading right singular vectors of the passages' TF-IDF matrix."""
-    n_terms, wide, block = len(w.idf) - 2, min(rank + 16, max(1, len(w.idf) - 2)), 1024
+    n_terms, wide, block = len(idf) - 2, min(rank + 16, max(1, len(idf) - 2)), 1024
     kind = "<i2" if n_terms < 32_000 else "<i4"
     omega = np.random.default_rng(seed).standard_normal((n_terms, wide)).astype(np.float32)
 
@@ -155,9 +149,9 @@ def latent_directions(tokens: DataFrame, w: Weights, rank: int = RANK, seed: int
         for batch in batches:
             for part in slices(batch, "tokens", 256 << 10):
                 rows = _passages(_flat(part.column("tokens").to_pylist(), kind, PASSAGE)[0])
-                weight = w.idf[rows]
+                weight = idf[rows]
                 size = np.sqrt((weight * weight).sum(1))
-                at, column = np.nonzero(w.sought[rows])
+                at, column = np.nonzero(rows >= 0)
                 if not len(at):
                     continue
                 term, value = rows[at, column], weight[at, column] / size[at]
@@ -196,7 +190,7 @@ class Segments:
     item: np.ndarray
     offset: np.ndarray
     least_terms: int
-    cosine: float
+    cosine: np.ndarray  # what windows must reach
 
 
 def _project(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -207,10 +201,10 @@ def _project(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
     return z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-9)
 
 
-def segment(items: Items, w: Weights, table: np.ndarray, seed: int = 3) -> list[Segments]:
+def segment(items: Items, idf: np.ndarray, table: np.ndarray, seed: int = 3) -> list[Segments]:
     rng = np.random.default_rng(seed)
     out = []
-    n_terms = len(w.idf) - 2
+    n_terms = len(idf) - 2
     for k, width in enumerate(WINDOWS):
         upper = WINDOWS[k + 1] if k + 1 < len(WINDOWS) else math.inf
         mine = [i for i, t in enumerate(items.tokens) if (len(t) >= width or k == 0 and len(t) >= SHORT) and len(t) < upper]
@@ -226,17 +220,17 @@ def segment(items: Items, w: Weights, table: np.ndarray, seed: int = 3) -> list[
         vectors = _project(np.stack(rows), table)
         least = math.ceil(TERMS * min(width, min(len(items.tokens[i]) for i in mine)))
         # Simulated leaks: other text around an item, a fifth of its words replaced, seen from the window that fits best.
-        stride, seen = width // 4, []
-        for _ in range(max(1, 600 // len(mine))):
-            for i in mine:
-                t = items.tokens[i].copy()
-                swap = rng.random(len(t)) < 0.2
-                t[swap] = rng.integers(-1, n_terms, int(swap.sum()))
+        stride, cosine, owner = width // 4, np.zeros(len(owner), np.float32), np.array(owner)
+        for i in mine:
+            seen, t, own = [], items.tokens[i], owner == i
+            for _ in range(SIMULATED):
+                changed = np.where(rng.random(len(t)) < 0.2, rng.integers(-1, n_terms, len(t)), t)
                 around = [rng.integers(-1, n_terms, width + int(rng.integers(0, stride))) for _ in range(2)]
-                line = np.concatenate([around[0], t, around[1]])
+                line = np.concatenate([around[0], changed, around[1]])
                 windows = np.lib.stride_tricks.sliding_window_view(line, width)[::stride]
-                seen.append(float((_project(windows, table) @ vectors[np.array(owner) == i].T).max()))
-        out.append(Segments(width, vectors, np.array(owner), np.array(offset), least, float(np.quantile(seen, 1 - RECALL))))
+                seen.append(float((_project(windows, table) @ vectors[own].T).max()))
+            cosine[own] = np.quantile(seen, 1 - RECALL)
+        out.append(Segments(width, vectors, owner, np.array(offset), least, cosine))
     return out
 
 
@@ -264,11 +258,11 @@ def _stands_in(needle: np.ndarray, place: np.ndarray) -> bool:
     return n <= len(place) and any((place[k : k + n] == needle).all() for k in np.flatnonzero(place[: len(place) - n + 1] == needle[0]))
 
 
-def search(tokens: DataFrame, items: Items, w: Weights, directions: np.ndarray) -> DataFrame:
-    n_terms = len(w.idf) - 2
+def search(tokens: DataFrame, items: Items, idf: np.ndarray, directions: np.ndarray) -> DataFrame:
+    n_terms = len(idf) - 2
     kind = "<i2" if n_terms < 32_000 else "<i4"
-    table = np.concatenate([directions * (w.idf[:-2] * w.sought[:-2])[:, None], np.zeros((2, directions.shape[1]), np.float32)])
-    kinds = segment(items, w, table)
+    table = np.concatenate([directions * idf[:-2, None], np.zeros((2, directions.shape[1]), np.float32)])
+    kinds = segment(items, idf, table)
     masks = []
     for t in items.tokens:
         m: dict[int, int] = {}
@@ -302,7 +296,7 @@ def search(tokens: DataFrame, items: Items, w: Weights, directions: np.ndarray)
         place = flat[lo:hi]
         if _count_in_order(masks[i], len(item), place.tolist()) < 0.4 * len(item):
             return None
-        share = _in_order(item, place, w.idf)
+        share = _in_order(item, place, idf)
         answer = len(items.answers[i]) >= 3 and _stands_in(items.answers[i], place)
         if share >= ALONE or share >= WITH_ANSWER and answer:
             return share, answer, lo - int(starts[text]), lo - int(starts[text]) + int((place != -2).sum())
@@ -343,6 +337,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             continue
         tokens = save(tokenise(docs, items.terms), "tokens")
         df, n = document_frequency(tokens, len(items.terms))
-        w = weigh(df, n)
-        out = out.unionByName(search(tokens, items, w, latent_directions(tokens, w)))
+        idf = weigh(df, n)
+        out = out.unionByName(search(tokens, items, idf, latent_directions(tokens, idf)))
     return out

@@ -152,6 +152,20 @@ def test_leaks(spark):
     assert decontam.find_leaks(frame(spark, rows), benchmark.where("false")).collect() == []
 
 
+def leaks_of(spark, rows, items):
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(frame(spark, rows), benchmark).collect()}
+
+
+def test_item_in_most_passages(spark):
+    r = random.Random(11)
+    items = [(k, prose(24, r)) for k in range(200)]
+    rows = [(k, items[0][1]) for k in range(60)] + [(100 + k, prose(40, r)) for k in range(20)] + [(200, prose(8, r) + " " + items[1][1])]
+    assert leaks_of(spark, rows, items) == {(k, 0) for k in range(60)} | {(200, 1)}
+    few = [(k, items[0][1]) for k in range(8)] + [(100 + k, prose(20, r)) for k in range(12)]
+    assert leaks_of(spark, few, items) == {(k, 0) for k in range(8)}
+
+
 # 6: HTML
 def test_html(spark):
     page = """<html><head><title>t</title><style>p{}</style><script>var a = "<p>no</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/x">News</a></li></ul></nav>
