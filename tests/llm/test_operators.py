@@ -166,6 +166,22 @@ def test_item_in_most_passages(spark):
     assert leaks_of(spark, few, items) == {(k, 0) for k in range(8)}
 
 
+def test_leaks_among_words_outside_the_benchmark(spark):
+    r = random.Random(12)
+    items = [(k, prose(24, r)) for k in range(100)]
+    other = lambda n: [f"out{r.randrange(10**9)}" for _ in range(n)]
+    rows, planted = [(5000 + k, " ".join(other(200))) for k in range(20)], set()
+    for k, text in items:
+        for before in (0, r.randrange(1, 60)):
+            words = text.split()
+            for x in r.sample(range(24), 5):
+                words[x] = other(1)[0]
+            planted.add((len(planted), k))
+            rows.append((len(planted) - 1, " ".join([*other(before), *words, *other(40)])))
+    got = leaks_of(spark, rows, items)
+    assert not got - planted and len(planted & got) >= 0.97 * len(planted)
+
+
 # 6: HTML
 def test_html(spark):
     page = """<html><head><title>t</title><style>p{}</style><script>var a = "<p>no</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/x">News</a></li></ul></nav>
