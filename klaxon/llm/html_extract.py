@@ -2,12 +2,13 @@
 path (tags, classes and ids, hashed), its words (hashed) and a few numbers, and classes every block as main text or not with both sides of
 the page in view.
 
-A block is the text between two block-level tags; inline tags and <br> don't end one. The content of scripts, styles and the like, and
-comments, are no blocks. The labeller is trained on pages that `make_page` composes from a seed (TRAIN_PAGES of them), where each block's label is known: no
+A block is the text between two block-level tags; inline tags and <br> don't end one. Comments and the content of script, style, textarea,
+title, iframe and of closed noscript, template, select and svg elements are no blocks; all other text is, that of math and object too. The labeller is trained on pages that `make_page` composes from a seed (TRAIN_PAGES of them), where each block's label is known: no
 page of the input takes part in training, so the model is the same for every input.
 
 Defined results: a null html is empty and gives an empty text; null ids and URLs are kept; repeated rows are kept; pages of one block or
-thousands are labelled whole; an unclosed comment or script runs to the page's end, a tag cut off there is dropped; an empty table gives an
+thousands are labelled whole; an unclosed comment, script, style,
+textarea, title or iframe runs to the page's end, other unclosed or self-closed elements hide nothing, a tag cut off there is dropped; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -30,9 +31,14 @@ from .common import slices
 PATH, WORDS, NUMBERS, HIDDEN = 256, 64, 8, 24
 TRAIN_PAGES, EPOCHS, SEED = 2400, 10, 17
 
+_inside = r"[^<]*+(?:<(?!/?NAME\b)[^<]*+)*+"
+#: What an element holds, with elements of its own name up to one level deep, and its end.
+_closed = r"[^<]*+(?:(?:<(?!/?NAME\b)|<NAME\b[^>]*>INSIDE</NAME\s*>)[^<]*+)*+</NAME\s*>".replace("INSIDE", _inside)
 _markup = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|svg|iframe|object|select|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"
+    r"|<(script|style|textarea|title|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>" + _closed.replace("NAME", r"\2") +
+    r"|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>" + _closed.replace("NAME", "svg") +
     r"|<[!?][^>]*(?:>|\Z)"
     r"|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^<>]*(?:>|(?=<)|\Z)",
@@ -43,7 +49,10 @@ _parts = re.compile(r"[a-z]+")
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Elements without content; those that stand inside a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object svg "
+    "math annotation mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
+)
 #: An opening tag ends an open element of these.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ends_p = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -88,7 +97,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if in_link:
                 links += len(piece)
         at = m.end()
-        tag = m[2]
+        tag = m[3]
         if not tag:
             continue
         tag = tag.lower()
@@ -111,8 +120,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     break
         elif tag == "br":
             text.append(" ")
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, _tokens(tag, m[3])))
+        if tag not in VOID and not m[4].endswith("/"):
+            stack.append((tag, _tokens(tag, m[4])))
             in_link += tag == "a"
     if at < len(page):
         path = path if text else tuple(x for _, own in stack for x in own)

@@ -198,6 +198,23 @@ def test_html(spark):
     assert html_extract.extract(df.where("false")).collect() == []
 
 
+def test_elements_that_hide_nothing():
+    def texts(page):
+        return [text for _, text, _ in html_extract.blocks(page)]
+
+    for tag in ('<svg class="i" viewBox="0 0 1 1"/>', "<svg/>", "<math/>", "<svg>", "<noscript>", "<math>", "<object>", "<select>", "<template>"):
+        for tail in ("", "<p>Two</p><svg><text>no</text></svg><noscript>no</noscript><select><option>no</select><template>no</template>"):
+            assert texts(f"<p>One</p>{tag}<p>more</p>{tail}") == ["One", "more", *(["Two"] if tail else [])], tag
+    assert texts('<p>An <svg class="i" /> icon</p>') == ["An icon"]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><p>An <object data='a'>old text</object> here</p>") == ["Let x=1 be", "An old text here"]
+    for tag in ("script", "style", "textarea", "title", "iframe", "noscript", "svg", "select", "template"):
+        assert texts(f"<p>One</p><{tag} a='>'>no <b>no</b></{tag.upper()} ><p>Two</p>") == ["One", "Two"], tag
+    for tag in ("script", "style", "textarea", "title", "iframe"):
+        assert texts(f"<p>One</p><{tag}>no <b>no</b>") == ["One"], tag
+    for tag in ("svg", "template"):
+        assert texts(f"<p>One</p><{tag}>no<{tag}>no</{tag}>no</{tag}><p>Two</p>") == ["One", "Two"], tag
+
+
 def test_labeller_on_pages_it_has_not_seen():
     model, r = html_extract.train(), random.Random(99)
     right = total = 0
