@@ -148,11 +148,6 @@ def fit(feats: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, pairs: i
     return rank(np.stack(rows["x"].to_numpy()), rows["quality"].to_numpy(), pairs)
 
 
-def threshold_at(scored: DataFrame, share: float) -> float:
-    """The score below which this share of all documents lies."""
-    return scored.approxQuantile("score", [share], 0.001)[0]
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     feats = save(featurise(docs), "features")
