@@ -10,6 +10,8 @@ the parser then returns something else is it escaped.
 
 A conversation is rendered and read back turn by turn, in runs of rows sorted by conversation and turn: memory holds a part of
 a conversation (PART_TURNS turns), never all of one. Long conversations give several parts, which concatenated are its rendering.
+The digest of a conversation is a running hash over its turns in order, so one conversation, or all rows of a null id, is the work of one
+task in time, though not in memory; a very long text is rendered and parsed whole.
 
 Defined results: null texts and roles count as empty, a null turn comes first, turns that tie are sorted by role and text,
 repeated rows are turns of their own, rows of a null conversation id form one conversation; an empty table gives an empty result.

@@ -1,10 +1,11 @@
-"""What the operators of this subpackage share: reading tables, shared scratch space, cutting lineage."""
+"""What the operators of this subpackage share: reading tables, scratch tables in the shared folder (which cut lineage), samples."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,33 +16,51 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode; on a
+    cluster that is an error, as executors could not read each other's files there."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='klaxon-')}"
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='klaxon-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/klaxon-{uuid.uuid4().hex}/{name}"
+#: Scratch folders that this driver made and that still exist.
+_made: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, which Spark removes once nothing refers to it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    folder = f"{shared_dir(spark)}/klaxon-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return f"{folder}/{name}"
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again; compressed, unlike a checkpoint."""
+    """df written as a table in the shared folder and read again. This cuts its lineage, and unlike a checkpoint works df out once."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_mark() -> int:
+    """What free() takes."""
+    return len(_made)
+
+
+def free(mark: int = 0, upto: int | None = None) -> None:
+    """Deletes the scratch folders made from one mark to another (to now). Results that read them must have been written elsewhere:
+    operators return plans over scratch tables, so only their caller knows when those can go."""
+    gone = _made[mark:upto]
+    del _made[mark:upto]
+    for folder in gone:
+        store, base = fs.FileSystem.from_uri(folder)
+        if store.get_file_info(base).type != fs.FileType.NotFound:
+            store.delete_dir(base)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

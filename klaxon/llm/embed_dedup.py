@@ -2,21 +2,27 @@
 vector lies in the cell of its two nearest centroids and visits cells in the order of the summed distances of its halves (the order
 of the multi-sequence algorithm) until the target recall; what it meets there is verified by cosine in double precision.
 
-The codebooks and the number of visits come from a bounded sample (SAMPLE vectors); every vector is indexed. The number of visits is the
-one at which a vector turned to just the threshold, in a random direction, is met with probability `target`.
+The codebooks and the number of visits come from a bounded sample (SAMPLE vectors, or 16 for each centroid if that is more); every vector
+is indexed. The number of centroids grows with the root of the largest label's size, so a cell's size doesn't grow. The number of
+visits is the one at which a vector turned to just the threshold, in a random direction, is met with probability `target`.
+
+A target of 1 asks for the exact way: a vector visits every cell that can hold a link, by the triangle inequality on the distances of
+its halves to the centroids and the cells' radii, which come from all vectors. That finds every link, with more visits.
 
 Of two cells, only vectors of the lower one visit the higher, so a pair is met once; a pair in one cell is met from both ends and counts for
 one at each. Equal vectors of a label are one node. A cell's vectors and its visitors are split into blocks of BLOCK, and each pair of
 blocks is a task's group: what it returns is sums and a forest, linear in its rows.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with nothing;
-vectors of different lengths don't link; null vec_ids take part but name no component (its smallest non-null id does; null if none);
+vectors of different lengths don't link; equal vectors tie and are one node; null vec_ids take part but name no component (its smallest non-null id does; null if none);
 repeated rows are copies, linked to each other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sample_of, save
+from .common import sample_of, save
 from .components import components, forest, run_groups
 
-THRESHOLD, TARGET = 0.93, 0.995
-SAMPLE, BLOCK, MOST_CENTROIDS = 4096, 512, 256
+THRESHOLD, TARGET = 0.93, 0.999
+SAMPLE, BLOCK = 4096, 512
 
 
 def valid_vectors(df: DataFrame) -> DataFrame:
@@ -108,27 +114,70 @@ def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[:, :half], x[:, half:] if x.shape[1] > 1 else x[:, :half] * 0
 
 
-def fit(nodes: DataFrame, threshold: float, target: float, seed: int = 7) -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
-    """By vector length: two codebooks and the number of visits. From the SAMPLE nodes of lowest hash; with n nodes in all, a
-    codebook has about sqrt(n / BLOCK * 4) centroids."""
+@dataclass
+class Index:
+    """Of one vector length: two codebooks, and either the number of visits or the radii of the codebooks' cells."""
+
+    halves: list[np.ndarray]
+    visits: int = 1
+    radii: list[np.ndarray] | None = None
+
+    def distances(self, x: np.ndarray) -> list[np.ndarray]:
+        return [_distances(p, c) for p, c in zip(_split(x), self.halves, strict=True)]
+
+
+def fit(nodes: DataFrame, threshold: float, target: float, seed: int = 7) -> dict[int, Index]:
+    """By vector length. From the nodes of lowest hash; with n nodes in the largest label, a codebook has about sqrt(n / BLOCK * 4) centroids."""
     rng = np.random.default_rng(seed)
-    n = nodes.count()
-    rows = sample_of(nodes.select("node", "vec"), "node", SAMPLE).select("vec").collect()
+    n = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    k = max(1, math.ceil(math.sqrt(4 * n / BLOCK)))
+    rows = sample_of(nodes.select("node", "vec"), "node", max(SAMPLE, 16 * k)).select("vec").collect()
     by_length: dict[int, list[bytes]] = {}
     for r in rows:
         by_length.setdefault(len(r["vec"]), []).append(bytes(r["vec"]))
-    k = int(np.clip(np.ceil(np.sqrt(4 * n / BLOCK)), 2, MOST_CENTROIDS))
     index = {}
     for length, vecs in by_length.items():
         x = unit(vecs)
         halves = [fit_codebook(p, k, rng) for p in _split(x)]
-        index[length] = (*halves, max(1, calibrate(x, halves, threshold, target, rng)))
+        index[length] = Index(halves, 1 if target >= 1 else max(1, calibrate(x, halves, threshold, target, rng)))
+    if target >= 1:
+        for found in index.values():
+            found.radii = [np.zeros(len(c)) for c in found.halves]
+        for r in _radii(nodes, index).collect():  # a row for each centroid
+            index[r["length"]].radii[r["half"]][r["centroid"]] = r["radius"]
     return index
 
 
-def place(nodes: DataFrame, index: dict) -> DataFrame:
+def _by_length(vecs: list[bytes], index: dict[int, Index]):
+    """(index, rows, unit vectors) for each length that has an index."""
+    for length in {len(v) for v in vecs} & index.keys():
+        rows = [k for k, v in enumerate(vecs) if len(v) == length]
+        yield index[length], rows, unit([vecs[k] for k in rows])
+
+
+def _radii(nodes: DataFrame, index: dict[int, Index]) -> DataFrame:
+    """length, half, centroid, radius: the largest distance of the centroid's own vectors in that half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most: dict[tuple[int, int, int], float] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                vecs = batch.slice(start, 512).column("vec").to_pylist()
+                for found, rows, x in _by_length(vecs, index):
+                    for half, d in enumerate(found.distances(x)):
+                        for c, r in zip(d.argmin(1).tolist(), np.sqrt(d.min(1)).tolist(), strict=True):
+                            key = (len(vecs[rows[0]]), half, c)
+                            most[key] = max(most.get(key, 0.0), r)
+        if most:
+            yield pa.RecordBatch.from_pylist([{"length": a, "half": b, "centroid": c, "radius": r} for (a, b, c), r in most.items()])
+
+    return nodes.select("vec").mapInArrow(run, "length long, half long, centroid long, radius double").groupBy("length", "half", "centroid").agg(F.max("radius").alias("radius"))
+
+
+def place(nodes: DataFrame, index: dict[int, Index], threshold: float) -> DataFrame:
     """nodes with cell and visits (the cells to visit, own one included, lower ones left out). A length that the sample doesn't hold
     has one cell."""
+    reach = max(0.0, 2 - 2 * threshold) + 1e-9  # the largest squared distance of two linked unit vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,14 +185,16 @@ def place(nodes: DataFrame, index: dict) -> DataFrame:
                 part = batch.slice(start, 512)
                 vecs = part.column("vec").to_pylist()
                 cells, visits = [0] * len(vecs), [[0]] * len(vecs)
-                for length in {len(v) for v in vecs} & index.keys():
-                    rows = [k for k, v in enumerate(vecs) if len(v) == length]
-                    ca, cb, n = index[length]
-                    xa, xb = _split(unit([vecs[k] for k in rows]))
-                    da, db = _distances(xa, ca), _distances(xb, cb)
-                    own = da.argmin(1) * len(cb) + db.argmin(1)
-                    for k, c, v in zip(rows, own.tolist(), traverse(da, db, n).tolist(), strict=True):
-                        cells[k], visits[k] = c, [c, *(x for x in v if x > c)]
+                for found, rows, x in _by_length(vecs, index):
+                    da, db = found.distances(x)
+                    own = da.argmin(1) * db.shape[1] + db.argmin(1)
+                    if found.radii:
+                        la, lb = (np.maximum(np.sqrt(d) - r, 0) ** 2 for d, r in zip((da, db), found.radii, strict=True))
+                        there = [np.flatnonzero(a[:, None] + b <= reach).tolist() for a, b in zip(la, lb, strict=True)]
+                    else:
+                        there = traverse(da, db, found.visits).tolist()
+                    for k, c, v in zip(rows, own.tolist(), there, strict=True):
+                        cells[k], visits[k] = c, [c, *(y for y in v if y > c)]
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("label"), part.column("vec"), part.column("copies"), pa.array(cells, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], ["node", "label", "vec", "copies", "cell", "visits"])
 
     return nodes.select("node", "label", "vec", "copies").mapInArrow(run, "node binary, label long, vec binary, copies long, cell int, visits array<int>")
@@ -195,8 +246,9 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, target: float =
     """vec_id, n_links, component_id, kept."""
     rows = save(valid_vectors(df), "vectors")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
-    nodes = cut(nodes)
-    found = cut(meet(place(nodes, fit(nodes, threshold, target)), threshold))
+    nodes = save(nodes, "nodes")
+    placed = save(place(nodes, fit(nodes, threshold, target), threshold), "placed")
+    found = save(meet(placed, threshold), "met")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     joined = components(found.where("b IS NOT NULL"))
     per_node = nodes.select("node", "copies", "least_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).join(links, "node", "left")

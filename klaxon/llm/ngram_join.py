@@ -1,21 +1,25 @@
-"""N-gram Jaccard join by a MinHash LSH forest. Each text has TREES signatures of DEPTH MinHash values; a tree sorts the texts by
-their signature, so texts that share a prefix stand together, as in a trie. Matched prefixes are shortened until the model of
-the forest gives the target recall at the threshold:
+"""N-gram Jaccard join by a MinHash LSH forest. Each text has TREES signatures of DEPTH MinHash values. A tree's signatures are sorted,
+so its texts stand as in a prefix trie, and the longest common prefix of neighbours shows where branches begin:
 
 1. Texts with equal shingle sets are one class from the start.
-2. Full prefixes: every class is compared with the first of its bucket, and equal ones merge. This takes near copies together at
-   the cost of one comparison each.
-3. The prefix is shortened to `depth_for(...)`, the longest for which a pair at the threshold meets in some tree with the target
-   probability. In buckets that hold several merged classes, all pairs of different classes are compared, in blocks.
+2. Longest prefixes: each text meets the first texts of the deepest branches that it stands in (of the NEAREST longest matches in all
+   trees), and similar ones merge. This takes near copies together at the cost of a few comparisons each.
+3. Prefixes are shortened where that can find more: a branch whose texts are one class is done; where a shorter prefix takes several
+   classes together, all pairs of different classes are compared, in blocks. No prefix gets shorter than `depth_for(...)`, at
+   which a pair at the threshold meets in some tree with the target probability.
 4. Links are counted inside the components, exactly and over all pairs, in blocks; so a link can be missed only where it is the
    sole way between two parts of a component, with the probability that the target leaves.
 
+A target of 1 asks for the exact way: instead of the forest, each text is looked up by the smallest hashes of its shingles, so many that
+two texts at the threshold must share one (prefix filter). It meets all pairs, at a higher cost for long texts.
+
 Every comparison is of whole shingle sets (of 64-bit hashes). Tasks give forests and sums, not pairs, so what they return is linear in
 their rows even in large groups of near copies.
 
 Words are what white space parts, in lower case. A shingle is five words in a row; a shorter text is one shingle. Defined results: a
-null text or one without words links with nothing; rows with null ids take part, and a class id is the smallest id of the class
-(null if it has none); repeated rows are copies of each other; an empty table gives an empty result; other columns are ignored.
+null text or one without words links with nothing; a very long text is one set of shingles like others, held by the task that compares it; rows
+with null ids take part, and a class id is the smallest id of the class, nulls left out (null if it has none); equal sets tie and are one
+node; repeated rows are copies of each other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, save, slices, text_or_empty
+from .common import save, slices, text_or_empty
 from .components import block_pairs, components, forest, run_groups
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET = 16, 8, 0.9995
-#: Texts of a block; two blocks meet in a task.
-BLOCK = 128
+#: Texts of a block; two blocks meet in a task. Longest matches that a text meets first.
+BLOCK, NEAREST = 128, 3
 
 _rng = np.random.default_rng(20240229)
 _byte = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,31 +147,85 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return (both * den >= num * (sizes[:, None] + sizes - both)) & (both > 0)
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text), node (128-bit hash of the shingle set, null without words), sig."""
+def filter_hashes(shingle_set: np.ndarray, threshold: float) -> np.ndarray:
+    """The smallest hashes of a sorted set, so many that a set of this similarity has one of its own smallest among them."""
+    least = -(-round(threshold * 1_000_000) * len(shingle_set) // 1_000_000)
+    return shingle_set[: len(shingle_set) - least + 1]
+
+
+def sign(docs: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), node (128-bit hash of the shingle set, null without words), sig: its MinHash values, or
+    if `exact` its filter_hashes()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 sets = shingles(part.column("text").to_pylist())
                 full = [s for s in sets if len(s)]
-                sigs = iter(signatures(full))
+                sigs = iter([filter_hashes(s, threshold).astype(">u8") for s in full] if exact else signatures(full).astype(">u4"))
                 nodes, sig = [], []
                 for s in sets:
                     nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    sig.append(next(sigs).astype(">u4").tobytes() if len(s) else None)
+                    sig.append(next(sigs).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(nodes, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "text_key", "node", "sig"])
 
     text = text_or_empty()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, node binary, sig binary")
 
 
-def buckets(nodes: DataFrame, depth: int) -> DataFrame:
-    """key, node of the buckets that hold several nodes."""
+def tries(nodes: DataFrame, depth: int) -> DataFrame:
+    """key, node, lcp, first of the texts that share a prefix of at least `depth` with another in a tree. key names the tree and that
+    prefix; lcp is the length of the prefix shared with the text before in sorted order (0 for the first of a key), and first the first
+    text of the branch of that length. Trees are dealt out by key and sorted; a walk keeps one row and the begin of each branch."""
+    rest = DEPTH - depth
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = nodes.select("node", "sig", tree.alias("tree")).select("node", F.expr(f"xxhash64(tree, substring(sig, tree * {DEPTH * 4} + 1, {depth * 4}))").alias("key"))
+    rows = nodes.select("node", "sig", tree.alias("tree")).select(
+        F.expr(f"xxhash64(tree, substring(sig, tree * {DEPTH * 4} + 1, {depth * 4}))").alias("key"), F.expr(f"substring(sig, tree * {DEPTH * 4} + {depth * 4 + 1}, {rest * 4})").alias("rest"), "node"
+    )
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins: list[bytes] = [b""] * (rest + 1)  # of the last row, the first text of its branch of each length
+        last: tuple | None = None  # key, rest, node, lcp, first
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            before = [] if last is None else [last]
+            keys = np.concatenate([np.array([x[0] for x in before], np.int64), batch.column("key").to_numpy()])
+            values = np.frombuffer(b"".join([*(x[1] for x in before), *batch.column("rest").to_pylist()]) or bytearray(), ">u4").reshape(len(keys), rest)
+            nodes_ = [*(x[2] for x in before), *batch.column("node").to_pylist()]
+            lcp = np.zeros(len(keys), np.int64)
+            common = np.logical_and.accumulate(values[1:] == values[:-1], axis=1).sum(1)
+            lcp[1:] = np.where(keys[1:] == keys[:-1], depth + common, 0)
+            at, first = np.arange(len(keys)), np.full(len(keys), -1)
+            pool = [*begins, *nodes_]
+            for d in range(depth, DEPTH + 1):
+                # Where the branch of this length begins; one that began in an earlier batch is at the head of the pool.
+                begin = np.where(lcp < d, at + rest + 1, -1)
+                if before:
+                    begin[0] = d - depth
+                begin = np.maximum.accumulate(begin)
+                first = np.where(lcp == d, begin, first)
+                begins[d - depth] = pool[begin[-1]]
+            firsts = [pool[k] if k >= 0 else None for k in first.tolist()]
+            lengths = lcp.tolist()
+            if before:
+                lengths[0], firsts[0] = last[3], last[4]
+            matched = np.array(lengths) >= depth
+            keep = np.flatnonzero(matched[:-1] | (lcp[1:] >= depth)).tolist()
+            last = (int(keys[-1]), values[-1].tobytes(), nodes_[-1], lengths[-1], firsts[-1])
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array([nodes_[k] for k in keep], pa.binary()), pa.array([lengths[k] for k in keep], pa.int32()), pa.array([firsts[k] for k in keep], pa.binary())], ["key", "node", "lcp", "first"])
+        if last is not None and last[3] >= depth:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[2]], pa.binary()), pa.array([last[3]], pa.int32()), pa.array([last[4]], pa.binary())], ["key", "node", "lcp", "first"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "rest", "node").mapInArrow(walk, "key long, node binary, lcp int, first binary")
+
+
+def filtered(nodes: DataFrame) -> DataFrame:
+    """key, node, lcp, first as tries() gives them, for signatures that are filter_hashes(): a key is a hash that several texts hold."""
+    rows = nodes.select("node", F.explode(F.expr("transform(sequence(0, cast(length(sig) / 8 AS int) - 1), k -> xxhash64(substring(sig, k * 8 + 1, 8)))")).alias("key"))
     several = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    return rows.join(several, "key")
+    return rows.join(several, "key").select("key", "node", F.when(F.col("node") != F.col("first"), 1).otherwise(0).alias("lcp"), "first")
 
 
 def _linked_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -194,10 +252,10 @@ _edges = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _largest(rows: DataFrame) -> DataFrame:
-    """rows of the buckets that hold several classes, with big (the bucket's largest class) and n_big (its nodes there)."""
+    """rows of the branches that hold several classes, with big (the branch's largest class), n_big (its nodes there) and rest (all others)."""
     sizes = rows.groupBy("key", "class").agg(F.count("*").alias("c"))
-    big = sizes.groupBy("key").agg(F.max(F.struct("c", F.col("class").alias("big"))).alias("b"), F.count("*").alias("classes"))
-    return rows.join(big.where("classes > 1").select("key", F.col("b.big"), F.col("b.c").alias("n_big")), "key")
+    big = sizes.groupBy("key").agg(F.max(F.struct("c", F.col("class").alias("big"))).alias("b"), F.sum("c").alias("n"), F.count("*").alias("classes"))
+    return rows.join(big.where("classes > 1").select("key", F.col("b.big"), F.col("b.c").alias("n_big"), (F.col("n") - F.col("b.c")).alias("rest")), "key")
 
 
 def _with_class(df: DataFrame, classes: DataFrame) -> DataFrame:
@@ -207,14 +265,15 @@ def _with_class(df: DataFrame, classes: DataFrame) -> DataFrame:
 def link_classes(nodes: DataFrame, texts_of, threshold: float = THRESHOLD, target: float = TARGET) -> tuple[DataFrame, DataFrame]:
     """(node, component) of the nodes that have a link, and (node, text) of all candidates. texts_of(candidates) gives the text of
     each candidate node."""
-    found = cut(buckets(nodes, depth_for(threshold, target)).select("key", "node", "n"))
+    found = save(filtered(nodes) if target >= 1 else tries(nodes, depth_for(threshold, target)), "branches")
     texts = save(texts_of(found.select("node").distinct()), "candidate-texts")
-    deep = buckets(nodes, DEPTH).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    edges = cut(_linked_pairs(deep, texts, threshold))
+    longest = found.where("lcp > 0").groupBy("node").agg(F.slice(F.sort_array(F.collect_set(F.struct("lcp", "first")), False), 1, NEAREST).alias("met"))
+    met = longest.select(F.col("node").alias("b"), F.explode("met.first").alias("a")).select("a", "b").distinct()
+    edges = save(_linked_pairs(met, texts, threshold), "links")
     classes = components(edges)
-    # Nodes outside the largest class of their bucket meet its nodes, and each other. Nodes of one class need no comparison, so a
+    # Nodes outside the largest class of their branch meet its nodes, and each other. Nodes of one class need no comparison, so a
     # large class is met by each of the others but not by itself.
-    rows = cut(_largest(_with_class(found, classes)).where("n > n_big").withColumn("rest", F.col("n") - F.col("n_big")))
+    rows = save(_largest(_with_class(found.select("key", "node"), classes)), "shortened")
     inside = F.col("class") == F.col("big")
     blocks = {x: F.ceil(F.col(x) / BLOCK).cast("int") for x in ("n_big", "rest")}
     own = F.pmod(F.xxhash64("node"), F.when(inside, blocks["n_big"]).otherwise(blocks["rest"])).cast("int")
@@ -261,47 +320,53 @@ def count_links(classes: DataFrame, copies: DataFrame, texts: DataFrame, thresho
     return part.groupBy("node").agg(F.sum("n").alias("links"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, *, links: bool = True) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text), class_id (smallest doc_id of the class), n_links (documents linked directly; null if
-    `links` is off), kept (doc_id = class_id, null equal to null)."""
-    signed = save(sign(docs), "signatures")
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key")).alias("source"))
-    nodes = save(nodes, "nodes")
+def _classes(docs: DataFrame, threshold: float, target: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, text_key, node of every row; node, copies, least (the first of its rows), class of every node; node, component; node, text)."""
+    signed = save(sign(docs, threshold, target >= 1), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("least")
+    nodes = save(signed.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"), first), "nodes")
 
     def texts_of(candidates: DataFrame) -> DataFrame:
-        source = nodes.join(candidates, "node", "left_semi").select("node", F.col("source.doc_id").alias("id"), F.col("source.text_key").alias("key"))
+        source = nodes.join(candidates, "node", "left_semi").select("node", F.col("least.doc_id").alias("id"), F.col("least.text_key").alias("key"))
         text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
         met = source.join(text, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.xxhash64("text")))
         return met.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows give a text several times
 
     classes, texts = link_classes(nodes.select("node", "sig"), texts_of, threshold, target)
-    classes = cut(classes)
-    per_node = nodes.select("node", "copies", F.col("source.doc_id").alias("least_id")).join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    ids = per_node.groupBy("class").agg(F.min("least_id").alias("class_id"))
-    per_node = per_node.join(ids, "class")
-    if links:
-        counted = count_links(classes, nodes.select("node", "copies"), texts, threshold)
-        per_node = per_node.join(counted, "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
-    else:
-        per_node = per_node.withColumn("n_links", F.lit(None).cast("long"))
+    classes = save(classes, "classes")
+    per_node = nodes.select("node", "copies", "least").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    return signed.select("doc_id", "text_key", "node"), per_node, classes, texts
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), class_id (smallest doc_id of the class), n_links (documents linked directly), kept
+    (doc_id = class_id, null equal to null)."""
+    signed, per_node, classes, texts = _classes(docs, threshold, target)
+    ids = per_node.groupBy("class").agg(F.min("least.doc_id").alias("class_id"))
+    counted = count_links(classes, per_node.select("node", "copies"), texts, threshold)
+    per_node = per_node.join(ids, "class").join(counted, "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     rows = signed.join(per_node.select("node", "class_id", "n_links"), "node", "left")
     alone = F.col("node").isNull()
     return rows.select(
         "doc_id",
         "text_key",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone & F.lit(links), F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """The rows of docs, with all their columns, that stay if one document of each class does: the one of the smallest id. Of rows that
-    repeat its id and text, one stays. Rows of a class without ids all stay."""
-    found = cut(near_duplicates(docs, threshold, target, links=False).select("doc_id", "text_key", "kept"))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_or_empty()) == F.col("gone_key")), "left_anti")
-    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "text_key").count().where("count > 1")
-    if repeated.isEmpty():
-        return rows
-    one = rows.where("doc_id IS NOT NULL").withColumn("_key", F.xxhash64(text_or_empty())).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return one.unionByName(rows.where("doc_id IS NULL"))
+    """The rows of docs, with all their columns whatever their names, that stay if one document of each class does: the one of the smallest id
+    (nulls last), then of the smallest text hash; of rows that repeat its id and text, one. Rows without words all stay."""
+    signed, per_node, _, _ = _classes(docs, threshold, target)
+    first = per_node.groupBy("class").agg(F.min("least").alias("first"))
+    per_node = per_node.join(first, "class").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"))
+    gone = signed.join(per_node, "node").where(~F.col("doc_id").eqNullSafe(F.col("first_id")) | (F.col("text_key") != F.col("first_key")))
+    gone = save(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone")
+    # The rows travel as one struct, so that none of their columns can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("key"))
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    if not signed.where("node IS NOT NULL").groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+        words = F.coalesce(F.col("row.text").rlike(r"[^ \t\n\r\f\x0b]"), F.lit(False))
+        rows = rows.where(words).dropDuplicates(["id", "key"]).unionByName(rows.where(~words))
+    return rows.select("row.*")

@@ -8,7 +8,9 @@ An id of 2**60 or more can't be packed: its place holds 0, and the escapes list
 
 Files are written in ascending doc_id order by range partitions; Spark's commit of their list makes a file count, so tasks that ran
 twice or were lost leave at most files that nothing refers to. Defined results: a null text counts as empty; null ids come first and
-are read back as null; repeated rows are kept; an empty table gives no files and an empty result; other columns are ignored.
+are read back as null; rows that tie on doc_id and text are equal, and repeated rows are kept; a very long text is encoded whole, in one task;
+the strings of the tokenizer's added tokens are those tokens, as the library has it; an empty table gives no files and an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 _limits = np.array([(1 << int(b)) - 1 for b in BITS], dtype=np.uint64)
 _needs = np.searchsorted(_limits, np.arange(1 << 16, dtype=np.uint64)).astype(np.uint8)
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
+#: The most tasks that read files; up to it, one a file.
+MOST_READERS = 20_000
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,8 +149,9 @@ class WordIds(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.most = most
+        added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(map(re.escape, added))})") if added else None
         vocabulary = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
@@ -217,12 +222,20 @@ class WordIds(dict):
         if len(self) > self.most:
             self.prune()
         get, words = self.__getitem__, []
-        for text in texts:
+
+        def find(text: str) -> list[str]:
             low = text.lower()
             # The tokenizer composes (NFC), then lowers letter by letter; where that is what str.lower() did, lower texts share words.
-            if "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", low):
+            if "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", low) and not (self.added and self.added.search(low)):
                 text = low
-            parts = self.part.findall(text)
+            return self.part.findall(text)
+
+        for text in texts:
+            if self.added and self.added.search(text):
+                # The library cuts a text at its added tokens first; each is one id, and what is between is a text of its own.
+                parts = [w for k, x in enumerate(self.added.split(text)) for w in ([x] if k % 2 else find(x))]
+            else:
+                parts = find(text)
             words.append(np.fromiter(map(get, parts), np.int32, len(parts)))
         self.settle()
         counts = np.fromiter(map(len, words), np.int64, len(words))
@@ -254,7 +267,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, *
     part, file_no, path, n_ids, n_docs, n_bytes, folder. (part, file_no) is in doc_id order."""
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     folder = scratch_path(spark, "token-ids")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("tie", F.crc32("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]  # the second parts rows of one id, if there are very many
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,8 +336,9 @@ def read_back(files: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
+    parts = max(1, min(MOST_READERS, files.count()))
     listed = starts(files).select("folder", "path", "start")
-    return listed.repartition(F.col("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartition(parts, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_of_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
