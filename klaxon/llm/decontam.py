@@ -11,24 +11,26 @@ corpus. Every word of the benchmark is a term however common it is, as a widely
 makes its own words common; the idf has a floor above 0.
 
 All windows are projected, whatever words they hold. Before words are compared in order, a place must hold as much of the item in any
-order, which loses nothing. Items are taken in blocks of ITEM_BLOCK, so a task holds the terms of a block at most.
-
-Defined results: null or empty texts hold no leak, and null or wordless items match nothing; an item of fewer than SHORT words matches only
-word for word; null ids are kept; repeated rows each give their rows, and a document gives a row for each item that it holds (the
-best place); an empty corpus or benchmark gives an empty result; other columns are ignored.
+order, which loses nothing. Terms, frequencies, the SVD and the thresholds are fitted once, for all items; the search then takes items
+in blocks of ITEM_BLOCK, whose size changes what a task holds but not what is found. The driver holds the benchmark's words, and a task
+also the directions of all terms (a benchmark's distinct words, 256 bytes for each).
+
+Defined results: null or empty texts hold no leak, and null or wordless items match nothing; a very long text is searched whole; an item of
+fewer than SHORT words matches only word for word; items that tie (equal texts) are found each; null ids are kept; repeated rows each give
+their rows, and a document gives a row for each item that it holds (the best place); an empty corpus or benchmark gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import save, slices, text_or_empty
@@ -59,8 +61,11 @@ class Items:
     answers: list[np.ndarray]
     terms: dict[str, int]
 
+    def part(self, begin: int, end: int) -> Items:
+        return Items(self.ids[begin:end], self.tokens[begin:end], self.answers[begin:end], self.terms)
+
 
-def read_items(rows: list) -> Items:
+def read_items(rows: Iterable) -> Items:
     terms: dict[str, int] = {}
     ids, tokens, answers = [], [], []
     for item_id, text in rows:
@@ -217,42 +222,67 @@ def _windows(flat: np.ndarray, width: int, table: np.ndarray) -> np.ndarray:
     return _unit(parts[: n - 3] + parts[1 : n - 2] + parts[2 : n - 1] + parts[3:])
 
 
-def segment(items: Items, idf: np.ndarray, table: np.ndarray, seed: int = 3) -> list[Segments]:
-    rng = np.random.default_rng(seed)
-    out = []
+def _kind_of(length: int) -> list[int]:
+    """The places in WINDOWS of the widths that search for an item of so many words."""
+    return [k for k, width in enumerate(WINDOWS) if (length >= width or k == 0 and length >= SHORT) and (k + 1 == len(WINDOWS) or length < WINDOWS[k + 1])]
+
+
+def _segments_of(words: np.ndarray, width: int, table: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """(unit vectors, offsets) of the windows of an item."""
+    offsets = sorted({*range(0, max(1, len(words) - width + 1), width // 2), max(0, len(words) - width)})
+    rows = [np.pad(words[at : at + width], (0, max(0, width - len(words))), constant_values=-2) for at in offsets]
+    return _project(np.stack(rows), table), offsets
+
+
+_simulated = pa.schema([("item", pa.int64()), ("kind", pa.int64()), ("draw", pa.int64()), ("best", pa.list_(pa.float32()))])
+
+
+def least_cosines(spark: SparkSession, items: Items, idf: np.ndarray, table: np.ndarray, seed: int = 3) -> list[np.ndarray]:
+    """For each width, what windows must reach for each item (nan where the width doesn't search for it): simulated leaks, other text around
+    an item, a fifth of its words replaced, seen from the window that fits best. Items are simulated by Spark's tasks, each from a seed of
+    its own."""
     n_terms = len(idf) - 2
     common = np.cumsum(np.exp(-idf[:-2].astype(np.float64)))
-    others = (lambda n: np.full(n, -1), lambda n: rng.integers(0, n_terms, n), lambda n: np.searchsorted(common, rng.random(n) * common[-1]))
+    tokens = items.tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                rng, t = np.random.default_rng([seed, i]), tokens[i]
+                others = (lambda n: np.full(n, -1), lambda n: rng.integers(0, n_terms, n), lambda n: np.searchsorted(common, rng.random(n) * common[-1]))  # noqa: B023
+                for k in _kind_of(len(t)):
+                    width, stride = WINDOWS[k], WINDOWS[k] // 4
+                    own, _ = _segments_of(t, width, table)
+                    quarters = (2 * width + len(t)) // stride + 2
+                    at = width + rng.integers(0, stride, (SIMULATED, 1)) + np.arange(len(t))
+                    for draw, other in enumerate(others):
+                        lines = other((SIMULATED, quarters * stride))
+                        line, word = np.nonzero(rng.random((SIMULATED, len(t))) >= 0.2)
+                        lines[line, at[line, word]] = t[word]
+                        near = (_windows(lines.ravel(), width, table) @ own.T).max(1)
+                        best = np.maximum.reduceat(near, np.arange(SIMULATED) * quarters)
+                        yield pa.RecordBatch.from_pylist([{"item": i, "kind": k, "draw": draw, "best": best.tolist()}], schema=_simulated)
+
+    parts = max(1, min(len(tokens), spark.sparkContext.defaultParallelism * 4))
+    found = save(spark.range(0, len(tokens), 1, parts).mapInArrow(run, "item long, kind long, draw long, best array<float>"), "simulated")
+    out = [np.full(len(tokens), np.nan, np.float32) for _ in WINDOWS]
+    each = found.select("item", "kind", "draw", F.explode("best").alias("best"))
+    low = F.percentile("best", F.lit(1 - RECALL))
+    for r in each.groupBy("item", "kind", "draw").agg(low.alias("low")).groupBy("item", "kind").agg(F.min("low").alias("low")).collect():  # a row or two for each item
+        out[r["kind"]][r["item"]] = r["low"]
+    # What all items' leaks reach together holds for each item too, so that one that stands out is no harder to find.
+    for r in each.groupBy("kind", "draw").agg(low.alias("low")).groupBy("kind").agg(F.min("low").alias("low")).collect():
+        out[r["kind"]] = np.minimum(out[r["kind"]], np.float32(r["low"]))
+    return out
+
+
+def segment(items: Items, cosines: list[np.ndarray], table: np.ndarray) -> list[Segments]:
+    out = []
     for k, width in enumerate(WINDOWS):
-        upper = WINDOWS[k + 1] if k + 1 < len(WINDOWS) else math.inf
-        mine = [i for i, t in enumerate(items.tokens) if (len(t) >= width or k == 0 and len(t) >= SHORT) and len(t) < upper]
-        if not mine:
-            continue
-        rows, owner, offset = [], [], []
-        for i in mine:
-            t = items.tokens[i]
-            for at in sorted({*range(0, max(1, len(t) - width + 1), width // 2), max(0, len(t) - width)}):
-                rows.append(np.pad(t[at : at + width], (0, max(0, width - len(t))), constant_values=-2))
-                owner.append(i)
-                offset.append(at)
-        vectors = _project(np.stack(rows), table)
-        # Simulated leaks: other text around an item, a fifth of its words replaced, seen from the window that fits best.
-        stride, cosine, owner = width // 4, np.zeros(len(owner), np.float32), np.array(owner)
-        seen: list[list[np.ndarray]] = [[] for _ in others]
-        for i in mine:
-            t, own = items.tokens[i], owner == i
-            quarters = (2 * width + len(t)) // stride + 2
-            at = width + rng.integers(0, stride, (SIMULATED, 1)) + np.arange(len(t))
-            for draw, best in zip(others, seen, strict=True):
-                lines = draw((SIMULATED, quarters * stride))
-                line, word = np.nonzero(rng.random((SIMULATED, len(t))) >= 0.2)
-                lines[line, at[line, word]] = t[word]
-                near = (_windows(lines.ravel(), width, table) @ vectors[own].T).max(1)
-                best.append(np.maximum.reduceat(near, np.arange(SIMULATED) * quarters))
-            cosine[own] = min(np.quantile(best[-1], 1 - RECALL) for best in seen)
-        # What all items' leaks reach together holds for each item too, so that one that stands out is no harder to find.
-        cosine = np.minimum(cosine, min(np.quantile(best, 1 - RECALL) for best in seen))
-        out.append(Segments(width, vectors, owner, np.array(offset), cosine))
+        mine = [(i, *_segments_of(t, width, table)) for i, t in enumerate(items.tokens) if k in _kind_of(len(t))]
+        if mine:
+            owner = np.repeat([i for i, _, _ in mine], [len(offsets) for *_, offsets in mine])
+            out.append(Segments(width, np.concatenate([v for _, v, _ in mine]), owner, np.array([x for *_, offsets in mine for x in offsets]), cosines[k][owner]))
     return out
 
 
@@ -280,11 +310,11 @@ def _stands_in(needle: np.ndarray, place: np.ndarray) -> bool:
     return n <= len(place) and any((place[k : k + n] == needle).all() for k in np.flatnonzero(place[: len(place) - n + 1] == needle[0]))
 
 
-def search(tokens: DataFrame, items: Items, idf: np.ndarray, directions: np.ndarray) -> DataFrame:
+def search(tokens: DataFrame, items: Items, cosines: list[np.ndarray], idf: np.ndarray, table: np.ndarray) -> DataFrame:
+    """The leaks of the items; cosines as least_cosines() gives them for these."""
     n_terms = len(idf) - 2
     kind = "<i2" if n_terms < 32_000 else "<i4"
-    table = np.concatenate([directions * idf[:-2, None], np.zeros((2, directions.shape[1]), np.float32)])
-    kinds = segment(items, idf, table)
+    kinds = segment(items, cosines, table)
     masks = []
     for t in items.tokens:
         m: dict[int, int] = {}
@@ -296,38 +326,47 @@ def search(tokens: DataFrame, items: Items, idf: np.ndarray, directions: np.ndar
     sizes = np.array([len(t) for t in items.tokens])
     slacks = np.maximum(4, sizes // 4)
 
-    def plausible(flat: np.ndarray, i: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Which places hold enough of the item's words, in any order."""
-        holds = np.zeros(len(idf), bool)
-        holds[items.tokens[i]] = True
-        at = np.flatnonzero(holds[flat])
-        weight = np.concatenate([[0.0], np.cumsum(idf[flat[at]], dtype=np.float64)])
-        first, last = np.searchsorted(at, lo), np.searchsorted(at, hi)
-        return (last - first >= WORDS * sizes[i]) & (weight[last] - weight[first] >= WITH_ANSWER * idf[items.tokens[i]].sum() * (1 - 1e-5))
+    needs = WITH_ANSWER * np.array([idf[t].sum(dtype=np.float64) for t in items.tokens]) * (1 - 1e-5)
+    #: Which terms an item has: item * n_terms + term, sorted.
+    has = np.unique(np.concatenate([np.unique(t).astype(np.int64) + i * n_terms for i, t in enumerate(items.tokens)]))
+
+    def plausible(flat: np.ndarray, i: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which places hold enough of their item's words, in any order."""
+        out = np.zeros(len(i), bool)
+        span = np.arange(int((hi - lo).max(initial=1)))
+        rows = max(1, 1_000_000 // len(span))
+        for k in range(0, len(i), rows):
+            own, at = i[k : k + rows, None], lo[k : k + rows, None] + span
+            t = np.where(at < hi[k : k + rows, None], flat[np.minimum(at, len(flat) - 1)], -2).astype(np.int64)
+            sought = own * n_terms + t
+            held = (t >= 0) & (has[np.minimum(np.searchsorted(has, sought), len(has) - 1)] == sought)
+            own = own[:, 0]
+            out[k : k + rows] = (held.sum(1) >= WORDS * sizes[own]) & ((idf[t] * held).sum(1, dtype=np.float64) >= needs[own])
+        return out
 
     def candidates(flat: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int, int], float]:
         """(text, item, where it would begin, in steps) -> cosine."""
-        found: dict[tuple[int, int, int], float] = {}
+        found: list[tuple[np.ndarray, ...]] = []
         for s in kinds:
             stride = s.width // 4
             z = _windows(flat, s.width, table)
-            near_at: list[tuple[np.ndarray, ...]] = []
             for k in range(0, len(z), 4096):
                 near = z[k : k + 4096] @ s.vectors.T
                 x, y = np.divmod(np.flatnonzero(near >= s.cosine), near.shape[1])
-                near_at.append((((x + k) * stride).astype(np.int32), y.astype(np.int32), near[x, y]))
-            at, y, cosine = map(np.concatenate, zip(*near_at, strict=True))
-            order = np.argsort(s.item[y], kind="stable")
-            at, y, cosine = at[order], y[order], cosine[order]
-            ends = np.flatnonzero(np.diff(s.item[y], append=-1)) + 1
-            for k, end in zip([0, *ends.tolist()], ends.tolist(), strict=False):
-                i = int(s.item[y[k]])
-                step, text = (at[k:end] - s.offset[y[k:end]]) // 8, np.searchsorted(starts, at[k:end] + s.width // 2, "right") - 1
-                lo, hi = np.maximum(starts[text], step * 8 - slacks[i]), np.minimum(starts[text + 1], step * 8 + 8 + sizes[i] + slacks[i])
-                keep = plausible(flat, i, lo, hi)
-                for t, b, c in zip(text[keep].tolist(), step[keep].tolist(), cosine[k:end][keep].tolist(), strict=True):
-                    found[t, i, b] = max(found.get((t, i, b), 0.0), c)
-        return found
+                at = (x + k) * stride
+                found.append((np.searchsorted(starts, at + s.width // 2, "right") - 1, s.item[y], (at - s.offset[y]) // 8, near[x, y]))
+        text, i, step, cosine = map(np.concatenate, zip(*found, strict=True))
+        if not len(step):
+            return {}
+        low, wide = int(step.min()), int(np.ptp(step)) + 1
+        key, place = np.unique((text * len(items.ids) + i) * wide + step - low, return_inverse=True)
+        best = np.full(len(key), -1.0, np.float32)
+        np.maximum.at(best, place, cosine)
+        step, key = key % wide + low, key // wide
+        text, i = np.divmod(key, len(items.ids))
+        lo, hi = np.maximum(starts[text], step * 8 - slacks[i]), np.minimum(starts[text + 1], step * 8 + 8 + sizes[i] + slacks[i])
+        keep = np.flatnonzero(plausible(flat, i, lo, hi))
+        return dict(zip(zip(text[keep].tolist(), i[keep].tolist(), step[keep].tolist(), strict=True), best[keep].tolist(), strict=True))
 
     def check(flat: np.ndarray, starts: np.ndarray, text: int, i: int, begin: int) -> tuple[float, bool, int, int] | None:
         item = items.tokens[i]
@@ -370,14 +409,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), item_id, cosine, share (weighted, of the item in order), answer (whether the item's answer
     stands there), word_from, word_to."""
     spark = docs.sparkSession
+    items = read_items(benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator())
     out = spark.createDataFrame([], RESULT)
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator()
-    while some := list(islice(rows, ITEM_BLOCK)):
-        items = read_items([tuple(r) for r in some])
-        if not items.ids:
-            continue
-        tokens = save(tokenise(docs, items.terms), "tokens")
-        df, n = document_frequency(tokens, len(items.terms))
-        idf = weigh(df, n)
-        out = out.unionByName(search(tokens, items, idf, latent_directions(tokens, idf)))
+    if not items.ids:
+        return out
+    tokens = save(tokenise(docs, items.terms), "tokens")
+    idf = weigh(*document_frequency(tokens, len(items.terms)))
+    directions = latent_directions(tokens, idf)
+    table = np.concatenate([directions * idf[:-2, None], np.zeros((2, directions.shape[1]), np.float32)])
+    cosines = least_cosines(spark, items, idf, table)
+    for k in range(0, len(items.ids), ITEM_BLOCK):
+        out = out.unionByName(search(tokens, items.part(k, k + ITEM_BLOCK), [c[k : k + ITEM_BLOCK] for c in cosines], idf, table))
     return out

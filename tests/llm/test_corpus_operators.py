@@ -293,6 +293,87 @@ def test_leaks_among_words_outside_the_benchmark(spark):
     assert not got - planted and len(planted & got) >= 0.97 * len(planted)
 
 
+def brute_leaks(rows, items):
+    """Every place of every document compared with every item, in plain Python."""
+    words = [decontam.words_of(t or "") for _, t in rows]
+    texts = [(k, decontam.words_of(t or ""), t or "") for k, t in items]
+    terms = {w for _, ws, _ in texts for w in ws}
+    df, n = {}, 0
+    for ws in words:
+        for k in range(0, len(ws), decontam.PASSAGE):
+            n += 1
+            for w in set(ws[k : k + decontam.PASSAGE]) & terms:
+                df[w] = df.get(w, 0) + 1
+    idf = {w: max(np.log((n + 1) / (df.get(w, 0) + 1)), 0.1) for w in terms}
+
+    def in_order(item, place):
+        best = [(0.0, 0)] * (len(place) + 1)
+        count = [0] * (len(place) + 1)
+        weight = [0.0] * (len(place) + 1)
+        for w in item:
+            c0, w0 = count[:], weight[:]
+            for k, x in enumerate(place):
+                count[k + 1] = max(c0[k + 1], count[k], c0[k] + 1 if x == w else 0)
+                weight[k + 1] = max(w0[k + 1], weight[k], w0[k] + idf[w] if x == w else 0)
+        return count[-1], weight[-1]
+
+    found = set()
+    for (d, _), ws in zip(rows, words, strict=True):
+        for i, item, text in texts:
+            if not item:
+                continue
+            if len(item) < decontam.SHORT:
+                if any(ws[k : k + len(item)] == item for k in range(len(ws))):
+                    found.add((d, i))
+                continue
+            total, own, slack = sum(idf[w] for w in item), set(item), max(4, len(item) // 4)
+            last = [decontam.words_of(x) for x in decontam._sentence.split(text)]
+            answer = [x for x in last if x][-1]
+            for begin in range(-slack, len(ws), 4):
+                place = ws[max(0, begin - slack) : max(0, begin + 8 + len(item) + slack)]
+                held = [w for w in place if w in own]
+                if len(held) < decontam.WORDS * len(item) or sum(idf[w] for w in held) < decontam.WITH_ANSWER * total:
+                    continue
+                count, weight = in_order(item, place)
+                answered = len(answer) >= 3 and any(place[k : k + len(answer)] == answer for k in range(len(place)))
+                if count >= decontam.WORDS * len(item) and weight / total >= (decontam.WITH_ANSWER if answered else decontam.ALONE):
+                    found.add((d, i))
+                    break
+    return found
+
+
+@pytest.mark.parametrize("block", [2_000, 5])
+def test_leaks_against_brute_force(spark, monkeypatch, block):
+    """Paraphrases of every strength, short items, equal items, long texts; in one block of items and in many."""
+    monkeypatch.setattr(decontam, "ITEM_BLOCK", block)
+    r = random.Random(31)
+    items = [(k, prose(r.choice([8, 14, 24, 40]), r) + ". " + prose(4, r)) for k in range(24)]
+    items += [(30, "two words"), (31, prose(5, r)), (32, items[3][1]), (33, None), (34, prose(4, r) + " x"), (None, prose(20, r))]
+    rows = [(k, prose(r.choice([3, 60, 300]), r)) for k in range(40)]
+    for k, text in items:
+        n = len((text or "").split())
+        for change in (0, n // 10, n // 5, n // 3, n // 2):
+            if text:
+                rows.append((100 + len(rows), prose(r.choice([0, 20, 90]), r) + " " + near(text, change, r) + " " + prose(30, r)))
+    rows += [(900, prose(9_000, r) + " " + items[5][1] + " " + prose(50, r)), (901, None), (None, items[0][1])]
+    want = brute_leaks(rows, items)
+    got = leaks_of(spark, rows, items)
+    print(len(want), len(got - want), len(want - got))
+    assert len(want) > 60 and len(want & got) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    r = random.Random(32)
+    items = [(k, prose(r.choice([10, 30]), r)) for k in range(23)]
+    rows = [(k, prose(60, r)) for k in range(30)] + [(100 + k, prose(10, r) + " " + near(t, 2, r)) for k, t in items]
+    found = []
+    for block in (2_000, 5):
+        monkeypatch.setattr(decontam, "ITEM_BLOCK", block)
+        benchmark = spark.createDataFrame(items, "item_id long, text string")
+        found.append(sorted((x["doc_id"], x["item_id"], round(x["cosine"], 4), round(x["share"], 6), x["word_from"], x["word_to"]) for x in decontam.find_leaks(frame(spark, rows), benchmark).collect()))
+    assert found[0] == found[1] and len(found[0]) >= 22
+
+
 # 6: HTML
 def test_html(spark):
     page = """<html><head><title>t</title><style>p{}</style><script>var a = "<p>no</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/x">News</a></li></ul></nav>
