@@ -327,8 +327,26 @@ def search(tokens: DataFrame, items: Items, cosines: list[np.ndarray], idf: np.n
     slacks = np.maximum(4, sizes // 4)
 
     needs = WITH_ANSWER * np.array([idf[t].sum(dtype=np.float64) for t in items.tokens]) * (1 - 1e-5)
-    #: Which terms an item has: item * n_terms + term, sorted.
+    # Which terms an item has: by item as item * n_terms + term, and by term.
     has = np.unique(np.concatenate([np.unique(t).astype(np.int64) + i * n_terms for i, t in enumerate(items.tokens)]))
+    having, of_term = np.divmod(has, n_terms)
+    order = np.argsort(of_term, kind="stable")
+    having, first_of_term = having[order], np.searchsorted(of_term[order], np.arange(n_terms + 1))
+
+    def weights_before(flat: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """(steps of 8 words + 1, items): the weight of each item's words, in any order, before each step; for the items from begin to end."""
+        at = np.flatnonzero(flat >= 0)
+        t = flat[at]
+        n = first_of_term[t + 1] - first_of_term[t]
+        ends = np.cumsum(n)
+        item = having[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first_of_term[t] - ends + n, n)]
+        key, weight = np.repeat(at // 8, n) * (end - begin) + item - begin, np.repeat(idf[t], n)
+        if end - begin < len(items.ids):
+            mine = (item >= begin) & (item < end)
+            key, weight = key[mine], weight[mine]
+        out = np.zeros((len(flat) // 8 + 1, end - begin))
+        out[1:] = np.bincount(key, weight, (len(out) - 1) * (end - begin)).reshape(-1, end - begin)
+        return np.cumsum(out, axis=0, out=out)
 
     def plausible(flat: np.ndarray, i: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Which places hold enough of their item's words, in any order."""
@@ -356,6 +374,17 @@ def search(tokens: DataFrame, items: Items, cosines: list[np.ndarray], idf: np.n
                 at = (x + k) * stride
                 found.append((np.searchsorted(starts, at + s.width // 2, "right") - 1, s.item[y], (at - s.offset[y]) // 8, near[x, y]))
         text, i, step, cosine = map(np.concatenate, zip(*found, strict=True))
+        # Most places that are near in the latent space hold too little of the item; whole steps around a place bound what it holds.
+        lo, hi = np.maximum(starts[text] // 8, step - (slacks[i] + 7) // 8), np.minimum(starts[text + 1] // 8, step + 1 + ((sizes + slacks)[i] + 7) // 8)
+        keep = np.zeros(len(i), bool)
+        wide = max(1, 4_000_000 // (len(flat) // 8 + 1))
+        for begin in range(0, len(items.ids), wide):
+            end = min(begin + wide, len(items.ids))
+            mine = slice(None) if wide >= len(items.ids) else np.flatnonzero((i >= begin) & (i < end))
+            if len(i[mine]):
+                before = weights_before(flat, begin, end)
+                keep[mine] = before[hi[mine], i[mine] - begin] - before[lo[mine], i[mine] - begin] >= needs[i[mine]]
+        text, i, step, cosine = text[keep], i[keep], step[keep], cosine[keep]
         if not len(step):
             return {}
         low, wide = int(step.min()), int(np.ptp(step)) + 1
@@ -384,7 +413,7 @@ def search(tokens: DataFrame, items: Items, cosines: list[np.ndarray], idf: np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "tokens", 256 << 10):
+            for part in slices(batch, "tokens", max(16 << 10, min(256 << 10, (50 << 20) // len(items.ids)))):
                 tokens_ = part.column("tokens").to_pylist()
                 flat, starts = _flat(tokens_, kind, PASSAGE)
                 best: dict[tuple[int, int], tuple] = {}
