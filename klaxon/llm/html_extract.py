@@ -3,10 +3,11 @@ path (tags, classes and ids, hashed), its words (hashed) and a few numbers, and
 the page in view.
 
 A block is the text between two block-level tags; inline tags and <br> don't end one. Comments and the content of script, style, textarea,
-title, iframe and of closed noscript, template, select and svg elements are no blocks; all other text is, that of math and object too. The labeller is trained on pages that `make_page` composes from a seed (TRAIN_PAGES of them), where each block's label is known: no
-page of the input takes part in training, so the model is the same for every input.
+title, iframe and of closed noscript, template, select and svg elements are no blocks; all other text is, that of math and object too. The labeller is trained on pages that
+`make_page` composes from a seed (TRAIN_PAGES of them, laid out as sites of named parts, bare divisions, tables, documentation and
+threads), where each block's label is known: no page of the input takes part in training, so the model is the same for every input.
 
-Defined results: a null html is empty and gives an empty text; null ids and URLs are kept; repeated rows are kept; pages of one block or
+Defined results: a null html is empty and gives an empty text; null ids and URLs are kept; repeated rows are kept, and equal pages give equal texts; pages of one block or
 thousands are labelled whole; an unclosed comment, script, style,
 textarea, title or iframe runs to the page's end, other unclosed or self-closed elements hide nothing, a tag cut off there is dropped; an empty table gives an
 empty result; other columns are ignored.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-PATH, WORDS, NUMBERS, HIDDEN = 256, 64, 8, 24
-TRAIN_PAGES, EPOCHS, SEED = 2400, 10, 17
+PATH, WORDS, NUMBERS, HIDDEN = 512, 64, 8, 24
+TRAIN_PAGES, EPOCHS, SEED = 2000, 10, 17
 
 _inside = r"[^<]*+(?:<(?!/?NAME\b)[^<]*+)*+"
 #: What an element holds, with elements of its own name up to one level deep, and its end.
@@ -227,134 +228,256 @@ class Labeller:
 
 # Words that pages use to name their parts, and that stand in them: fixed values of the page maker.
 NAMES = {
-    "nav": "nav navbar navigation menu topnav mainmenu submenu breadcrumb breadcrumbs pagination pager tabs skip toc sitemap dropdown links".split(),
+    "nav": "nav navbar navigation menu topnav mainmenu submenu breadcrumb breadcrumbs pagination pager tabs skip toc sitemap dropdown links tree".split(),
     "header": "header masthead banner top topbar branding logo site-header tagline site-title".split(),
     "footer": "footer bottom copyright site-footer legal colophon credits foot".split(),
     "aside": "sidebar side aside widget related popular trending recommended rail more-stories most-read tags tagcloud archive author-box bio teaser promo-list".split(),
     "notice": "cookie cookies consent notice gdpr alert popup modal overlay banner-notice warning subscribe-wall paywall newsletter toast message disclaimer".split(),
     "ad": "ad ads advert advertisement adsense sponsor sponsored promo promotion ad-slot ad-container banner-ad google-ad commercial partner dfp adbox".split(),
     "form": "form search searchbox login signup subscribe contact-form comment-form register newsletter-form fields".split(),
-    "comments": "comments comment comment-list commentlist respond replies reply discussion disqus thread user-comment responses feedback".split(),
+    "comments": "comments comment comment-list commentlist respond replies reply discussion disqus thread user-comment responses feedback answers".split(),
     "share": "share social sharing follow share-buttons addthis likes".split(),
-    "main": "article content post entry story main body text entry-content post-content article-body story-body blog-post page-content maintext post-body prose copy".split(),
+    "main": "article content post entry story main body text entry-content post-content article-body story-body blog-post page-content maintext post-body prose copy markdown-body document question".split(),
     "any": "wrapper container page row col inner outer wrap clearfix site box block grid group section layout region column large center left right".split(),
 }
-LABELS = "Home|About|About us|Contact|News|Products|Services|Blog|Login|Sign up|Sign in|Help|FAQ|Search|Next|Previous|More|Read more|Share|Tweet|Follow us|Subscribe|Privacy|Terms|Terms of use|Cookies|Accept|Reject all|Sitemap|Careers|Press|Reply|Like|Categories|Tags|Archive|Related|Popular|Comments|Start|Kontakt|Impressum|Datenschutz|Suche|Accueil|Recherche|Mentions|Inicio|Contacto|Buscar|Aviso".split("|")
+LABELS = "Home|About|About us|Contact|News|Products|Services|Blog|Login|Sign up|Sign in|Help|FAQ|Search|Next|Previous|More|Read more|Share|Tweet|Follow us|Subscribe|Privacy|Terms|Terms of use|Cookies|Accept|Reject all|Sitemap|Careers|Press|Reply|Like|Categories|Tags|Archive|Related|Popular|Comments|Index|Forum|Shop|Members|API|Guide|Download|Start|Kontakt|Impressum|Datenschutz|Suche|Accueil|Recherche|Mentions|Inicio|Contacto|Buscar|Aviso".split("|")
 SHORT_TEXT = {
-    "notice": "We use cookies to improve your experience|By using this site you accept our cookies|Please enable JavaScript|This site uses cookies. Learn more.|Subscribe to continue reading|You have 3 free articles left".split("|"),
-    "footer": "© 2023 {s}|&copy; {s} &middot; {t}|All rights reserved.|Copyright 2021 {s}. All rights reserved.|Powered by {s}|{t}".split("|"),
-    "ad": "Advertisement|Sponsored: {t}|{t}|Buy now! {t}|Ad".split("|"),
-    "form": "Your email|Name|Send|Submit|Password|Leave a comment|Search this site".split("|"),
-    "share": "Share on Facebook|Tweet this|Share this|Email|Print".split("|"),
-    "comments": "3 comments|{s} says:|{t}|{t}|Reply|{t} {t}|Posted by {s} at 10:32".split("|"),
-    "aside": "Related articles|{s}|{t}|Most read|About the author|{t}".split("|"),
+    "notice": "We use cookies on this site|By going on you accept our cookies|JavaScript is needed here|This site uses cookies. Learn more.|Subscribe to continue reading|You have {n} free articles left|{t}".split("|"),
+    "footer": "© {y} {s}|(c) {y} {s} - {t}|All rights reserved|Copyright {y} {s}. All rights reserved.|Powered by {s}|{t}|{s}, {n} {w} Street".split("|"),
+    "ad": "Advertisement|Sponsored: {t}|{t}|Buy {w} now! {t}|Ad|Save {n}% on {w}".split("|"),
+    "form": "Your email|Name|Send|Submit|Password|Leave a comment|Search this site|{w}:".split("|"),
+    "share": "Share on {w}|Tweet this|Share this|Email|Print|{n} shares".split("|"),
+    "comments": "{n} comments|{s} says:|{t}|{t}|Reply|{t} {t}|Posted by {s}, {n} days ago|{t} {t} {t}|#{n} {s} wrote|{n} votes".split("|"),
+    "aside": "Related articles|{s}|{t}|Most read|About the author|{t}|{w} ({n})|{t} {t}".split("|"),
     "header": "{s}|{t}|The {s} Times".split("|"),
+    "nav": "{w}".split("|"),
 }
+COMMON = ["the of and to in is that for it with as on be this", "der die und in den von zu das mit sich ist", "de la le et les des en un du une que est", "de la que el en los del se las por un para"]
 
 
-def make_page(r: random.Random) -> list[tuple[str, bool]]:
-    """Pieces of a page and whether the text of each is main text."""
-    syllables = ["".join(r.choice("bcdfghjklmnpqrstvwzéüñç") + r.choice("aeiouäèó") + r.choice(["", "n", "r", "s", "t"]) for _ in range(1)) for _ in range(60)]
-    common = r.choice(["the of and to in is that for it with as on be this", "der die und in den von zu das mit sich ist", "de la le et les des en un du une que est", "de la que el en los del se las por un para"]).split()
-    out: list[tuple[str, bool]] = []
-    put = lambda s, main=False: out.append((s, main))
-
-    def word() -> str:
-        return r.choice(common) if r.random() < 0.4 else "".join(r.choices(syllables, k=r.choice([1, 2, 2, 3, 4])))
-
-    def sentence(n: int | None = None) -> str:
-        words = [word() for _ in range(n or r.randint(2, 22))]
-        if r.random() < 0.3:
-            words = [w + r.choice(["", "", ","]) for w in words]
+PARAGRAPHS = ["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>", "<p class='t'>{}</p>"]
+
+
+class _Page:
+    """Pieces of a made page, and whether the text of each is main text."""
+
+    def __init__(self, r: random.Random):
+        self.r, self.pieces = r, []
+        self.syllables = [r.choice("bcdfghjklmnpqrstvwxyzéüñç") + r.choice("aeiouäèó") + r.choice(["", "n", "r", "s", "t"]) for _ in range(60)]
+        self.common = r.choice(COMMON).split()
+        self.named = r.random() < 0.75  # whether this site names its parts
+        self.paragraph = r.choice(PARAGRAPHS)
+        self.noise = r.choice(["~~", "@@", "==", "^", "::", ">>"]) if r.random() < 0.15 else ""
+
+    def put(self, piece: str, main: bool = False) -> None:
+        self.pieces.append((piece, main))
+
+    def word(self) -> str:
+        r = self.r
+        return r.choice(self.common) if r.random() < 0.4 else "".join(r.choices(self.syllables, k=r.choice([1, 2, 2, 3, 4])))
+
+    def sentence(self, n: int | None = None) -> str:
+        r = self.r
+        words = [self.word() + (r.choice(["", "", ","]) if r.random() < 0.1 else "") for _ in range(n or r.randint(2, 22))]
         s = " ".join(words)
         return s[0].upper() + s[1:] + r.choice([".", ".", ".", "", "?", "!"])
 
-    def prose() -> str:
-        s = " ".join(sentence() for _ in range(r.choice([1, 1, 2, 3, 5, 8]))) if r.random() < 0.8 else sentence(r.choice([1, 1, 1, 2, 3]))
-        if r.random() < 0.12:
-            s = " ".join(w + r.choice(["###", "%%%", "&amp;&amp;&amp;", "***", "$$$", " |", "!!"]) for w in s.split())
-        if r.random() < 0.05:
+    def prose(self) -> str:
+        r = self.r
+        s = " ".join(self.sentence() for _ in range(r.choice([1, 1, 2, 3, 5, 8])))
+        if self.noise and r.random() < 0.6:
+            s = " ".join(w + (self.noise if r.random() < 0.7 else "") for w in s.split()).replace(">", "&gt;")
+        x = r.random()
+        if x < 0.06:
             s = s.upper()
-        if r.random() < 0.08:
-            s = " ".join([r.choice([word(), sentence(4)])] * r.randint(3, 60))
-        if r.random() < 0.2:
-            s = s.replace(" ", f" <{(t := r.choice(['b', 'em', 'i', 'strong', 'span']))}>{word()}</{t}> ", 1)
-        if r.random() < 0.15:
-            s += f' <a href="/{word()}">{word()}</a> {word()}.'
-        if r.random() < 0.1:
-            s = f"<b>{s}<br>"
+        elif x < 0.12:
+            s = " ".join([r.choice([self.word(), self.sentence(3)])] * r.randint(3, 50))
+        elif x < 0.3:
+            tag = r.choice(["em", "strong", "span", "code", "i", "font"])
+            s = s.replace(" ", f" <{tag}>{self.word()}</{tag}> ", 1)
+        elif x < 0.45:
+            s += f' <a href="/{self.word()}">{self.word()} {self.word()}</a> {self.sentence(3)}'
+        elif x < 0.5:
+            s = s.replace(". ", ".<br>", 2)
+        elif x < 0.6:  # it begins with marked words
+            tag = r.choice(["b", "strong", "em", "a", "span", "u"])
+            s = f"<{tag}>{self.sentence(r.randint(1, 4))}</{tag}> {s}"
         return s
 
-    def named(kind: str, tags: list[str]) -> tuple[str, str]:
-        tag = r.choice(tags)
-        plain = tag in ("nav", "header", "footer", "aside", "form", "article", "main") and r.random() < 0.5
-        names = "" if plain else " ".join([r.choice(NAMES[kind]), *r.choices(NAMES["any"], k=r.choice([0, 0, 1]))])
-        return f"<{tag}" + (f' {r.choice(["class", "class", "class", "id"])}="{names}"' if names else "") + ">", f"</{tag}>"
-
-    def fill(kind: str) -> str:
-        return r.choice(SHORT_TEXT[kind]).replace("{s}", r.choice([word().title(), f"{word()}.example.com", f"{word()} {word()}".title()])).replace("{t}", sentence())
-
-    def region(kind: str) -> None:
+    def fill(self, kind: str) -> str:
+        r = self.r
+        s = r.choice(SHORT_TEXT[kind]).replace("{s}", r.choice([self.word().title(), f"{self.word()} {self.word()}".title(), f"{self.word()}.example"]))
+        return s.replace("{t}", self.sentence()).replace("{w}", self.word()).replace("{n}", str(r.randint(1, 99))).replace("{y}", str(r.randint(1998, 2025)))
+
+    def tag(self, kind: str, tags: list[str]) -> tuple[str, str]:
+        """An element of one of these tags, named after its kind if the site names its parts and its tag doesn't say it."""
+        r, tag = self.r, self.r.choice(tags)
+        says = tag in ("nav", "header", "footer", "aside", "form", "article", "main")
+        names = [r.choice(NAMES[kind]), *r.choices(NAMES["any"], k=r.choice([0, 0, 1]))] if self.named and not (says and r.random() < 0.6) else r.choices(NAMES["any"], k=r.choice([0, 0, 1]))
+        return f"<{tag}" + (f' {r.choice(["class", "class", "id"])}="{" ".join(names)}"' if names else "") + ">", f"</{tag}>"
+
+    def menu(self, tags: list[str]) -> None:
+        r = self.r
+        a, b = self.tag("nav", tags)
+        form = r.choice(["<li>{}</li>", "<li>{}</li>", "{}", "<div>{}</div>", "{} | ", "{}<br>", "<p>{}</p>"])
+        listed = form.startswith("<li")
+        self.put(a + "<ul>" * listed)
+        for _ in range(r.randint(2, 12)):
+            label = r.choice(LABELS) if r.random() < 0.6 else " ".join(self.word() for _ in range(r.choice([1, 1, 2, 3])))
+            self.put(form.replace("{}", f'<a href="/{self.word()}">{label}</a>' if r.random() < 0.93 else label))
+        self.put("</ul>" * listed + b)
+
+    def region(self, kind: str, tags: list[str] | None = None) -> None:
+        r = self.r
         if kind == "nav":
-            a, b = named("nav", ["nav", "nav", "div", "ul", "div"])
-            put(a + ("<ul>" if r.random() < 0.6 else ""))
-            for _ in range(r.randint(2, 9)):
-                label = r.choice(LABELS) if r.random() < 0.5 else word()
-                put(r.choice(["<li>{}</li>", "<li>{}</li>", "{}<span>|</span>", "<div>{}</div>"]).replace("{}", f'<a href="/{word()}">{label}</a>'))
-            put(("</ul>" if r.random() < 0.9 else "") + b)
-            return
-        tags = {"header": ["header", "header", "div"], "footer": ["footer", "footer", "div"], "aside": ["aside", "aside", "div", "section"], "form": ["form", "form", "div"], "comments": ["section", "div", "ol"], "share": ["div", "ul"]}
-        a, b = named(kind, tags.get(kind, ["div", "div", "section", "aside" if kind == "ad" else "div"]))
-        put(a)
+            return self.menu(tags or ["nav", "nav", "div", "ul", "div"])
+        usual = {"header": ["header", "header", "div"], "footer": ["footer", "footer", "div"], "aside": ["aside", "aside", "div", "section"], "form": ["form", "form", "div"], "comments": ["section", "div", "ol"], "share": ["div", "ul"]}
+        a, b = self.tag(kind, tags or usual.get(kind, ["div", "div", "section"]))
+        self.put(a)
+        if kind == "aside" and r.random() < 0.4:
+            self.put(f"<h3>{self.fill(kind)}</h3>")
+        linked = kind in ("aside", "share", "footer") and r.random() < 0.5
         for _ in range({"footer": 2, "ad": 1, "notice": 1, "header": 2}.get(kind, r.randint(1, 6))):
-            t = fill(kind)
-            if kind in ("comments", "aside") and r.random() < 0.3:
-                t = " ".join(sentence() for _ in range(3))
-            put(r.choice(["{}", "<p>{}</p>", "<p>{}</p>", "<div>{}</div>", "<h3>{}</h3>" if kind in ("aside", "comments") else "<p>{}</p>", "<li><a href='#'>{}</a></li>" if kind in ("aside", "share", "footer") else "<span>{}</span>"]).replace("{}", t))
-        put(b)
-
-    def article() -> None:
-        kind = r.random()
-        a, b = named("main", ["article", "article", "article", "main", "div", "div", "section"]) if kind < 0.85 else ("", "")
-        put(a)
-        head = r.random()
-        if head < 0.7:
-            h = f"<h1>{sentence(r.randint(3, 9))}</h1>"
-            put(f"<header>{h}</header>" if r.random() < 0.1 else h, True)
-        inside = r.random() < 0.25
-        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
+            t = self.fill(kind)
+            if kind == "comments" and r.random() < 0.4:
+                t = self.prose()
+            self.put(f"<li><a href='#'>{t}</a></li>" if linked else r.choice(["{}", "<p>{}</p>", "<p>{}</p>", "<div>{}</div>", "<span>{}</span><br>"]).replace("{}", t))
+        if kind == "form":
+            self.put(f"<input><button>{self.fill(kind)}</button>")
+        self.put(b)
+        return None
+
+    def body(self, inside: tuple[str, ...] = ("ad", "share", "aside", "notice", "form")) -> None:
+        """Main text: a title, paragraphs, lists, tables, code; at times with other parts between."""
+        r = self.r
+        if r.random() < 0.75:
+            t = self.sentence(r.randint(2, 9))
+            self.put(r.choice(["<h1>{}</h1>", "<h1>{}</h1>", "<h2>{}</h2>", "<header><h1>{}</h1></header>", "<p><b>{}</b></p>"]).replace("{}", t), True)
+        mixed = inside and r.random() < 0.25
+        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14, 30])):
             x = r.random()
-            if x < 0.78:
-                put(f"<p>{prose()}" + ("</p>" if r.random() < 0.85 else ""), True)
-            elif x < 0.84:
-                put(f"<h2>{sentence(r.randint(2, 6))}</h2>", True)
-            elif x < 0.9:
-                put("<ul>" + "".join(f"<li>{sentence()}</li>" for _ in range(r.randint(2, 5))) + "</ul>", True)
-            elif x < 0.94:
-                put(f"<blockquote>{prose()}</blockquote>", True)
+            if x < 0.04:
+                same = f"<p>{self.sentence(r.randint(1, 6))}</p>"  # some pages repeat a line
+                for _ in range(r.randint(2, 12)):
+                    self.put(same, True)
+            elif x < 0.12:
+                self.put(f"<p>{self.sentence(r.randint(1, 3))}</p>", True)
+            elif x < 0.7:
+                self.put((self.paragraph if r.random() < 0.9 else r.choice(PARAGRAPHS)).replace("{}", self.prose()), True)
+            elif x < 0.78:
+                self.put(f"<h{r.choice('234')}>{self.sentence(r.randint(1, 6))}</h{r.choice('234')}>", True)
+            elif x < 0.85:
+                tag = r.choice(["ul", "ul", "ol"])
+                self.put(f"<{tag}>" + "".join(f"<li>{self.sentence()}</li>" for _ in range(r.randint(2, 6))) + f"</{tag}>", True)
+            elif x < 0.89:
+                self.put(f"<blockquote>{self.prose()}</blockquote>", True)
+            elif x < 0.93:
+                self.put(f"<pre><code>{self.word()}({self.word()}) = {self.word()}</code></pre>", True)
             elif x < 0.97:
-                put(f"<pre>{sentence()}</pre>" if r.random() < 0.5 else f"<table><tr><td>{word()}</td><td>{sentence()}</td></tr></table>", True)
+                self.put("<table>" + "".join(f"<tr><td>{self.word()}</td><td>{self.sentence(4)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>", True)
             else:
-                put(f"<div>{prose()}</div>", True)
-            if inside and r.random() < 0.2:
-                region(r.choice(["ad", "ad", "share", "aside", "notice", "form"]))
-        put(b)
-
-    put(f'<!DOCTYPE html><html lang="en"><head><title>{sentence()}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>')
-    wrap = r.random() < 0.4
-    if wrap:
-        put(f'<div class="{r.choice(NAMES["any"])}">')
-    before = [k for k, p in (("notice", 0.2), ("header", 0.35), ("nav", 0.75), ("ad", 0.4), ("form", 0.12), ("share", 0.1), ("aside", 0.15)) if r.random() < p]
-    after = [k for k, p in (("share", 0.15), ("ad", 0.25), ("comments", 0.4), ("form", 0.15), ("aside", 0.35), ("nav", 0.2), ("footer", 0.75), ("notice", 0.15)) if r.random() < p]
-    if r.random() < 0.3:
-        r.shuffle(before)
-    for k in before:
-        region(k)
-    article()
-    for k in after:
-        region(k)
-    put(("</div>" if wrap else "") + r.choice(["</body></html>", "</body></html>", ""]))
-    return out
+                self.put(f"<dl><dt>{self.word()}</dt><dd>{self.sentence()}</dd></dl><figure><img><figcaption>{self.sentence(5)}</figcaption></figure>", True)
+            if mixed and r.random() < 0.2:
+                named, self.named = self.named, True  # nothing else tells such a part from the text around it
+                self.region(r.choice(inside))
+                self.named = named
+
+    def some(self, *chances: tuple[str, float]) -> None:
+        for kind, p in chances:
+            if self.r.random() < p:
+                self.region(kind)
+
+
+def _site(p: _Page, main: list[str]) -> None:
+    """Parts above, main text in an element or bare, parts below."""
+    p.some(("notice", 0.2), ("header", 0.4), ("nav", 0.75), ("ad", 0.35), ("form", 0.15), ("share", 0.1), ("aside", 0.2))
+    if p.r.random() < 0.9:
+        a, b = p.tag("main", main)
+        p.put(a)
+        p.body()
+        p.put(b)
+    else:
+        p.body(())
+    p.some(("share", 0.2), ("ad", 0.25), ("comments", 0.4), ("form", 0.2), ("aside", 0.4), ("nav", 0.25), ("footer", 0.75), ("notice", 0.15))
+
+
+def _table_site(p: _Page) -> None:
+    """A layout of table cells: a bar above, a menu, the text, a column beside it, a line below."""
+    r = p.r
+    p.put(f'<center><table width="{r.choice(["100%", "760"])}" border="0"><tr><td colspan="3">')
+    p.some(("header", 0.8), ("nav", 0.4), ("ad", 0.2))
+    left, right = r.random() < 0.8, r.random() < 0.5
+    p.put("</td></tr><tr>")
+    if left:
+        p.put('<td width="150" valign="top">')
+        p.menu(["div", "p", "font", "table"])
+        p.some(("form", 0.2), ("ad", 0.2))
+        p.put("</td>")
+    p.put('<td valign="top">')
+    p.body(("ad",))
+    p.put("</td>")
+    if right:
+        p.put("<td>")
+        p.some(("aside", 0.8), ("ad", 0.4))
+        p.put("</td>")
+    p.put('</tr><tr><td colspan="3" align="center">')
+    if r.random() < 0.5:
+        p.put(p.fill("footer"))
+    else:
+        p.some(("footer", 0.8), ("nav", 0.3))
+    p.put("</td></tr></table></center>")
+
+
+def _docs_site(p: _Page) -> None:
+    """A tree of pages at one side, breadcrumbs, the text with code and tables, contents of the page, links to its neighbours."""
+    p.some(("header", 0.6), ("nav", 0.6), ("form", 0.3))
+    a, b = p.tag("any", ["div", "div", "section"])
+    p.put(a)
+    p.menu(["nav", "aside", "div"])
+    c, d = p.tag("main", ["main", "div", "article"])
+    p.put(c)
+    p.some(("nav", 0.3))
+    p.body(())
+    p.some(("nav", 0.4), ("form", 0.1))
+    p.put(d)
+    p.some(("nav", 0.3))
+    p.put(b)
+    p.some(("footer", 0.6))
+
+
+def _thread_site(p: _Page) -> None:
+    """A post with its readers' answers below."""
+    p.some(("header", 0.5), ("nav", 0.8), ("form", 0.2))
+    a, b = p.tag("main", ["div", "article", "section", "td"])
+    p.put("<table><tr>" * (a[1:3] == "td") + a)
+    p.body(())
+    p.put(b + "</tr></table>" * (a[1:3] == "td"))
+    p.some(("share", 0.2), ("ad", 0.2))
+    for _ in range(p.r.choice([1, 1, 2, 3])):
+        p.region("comments")
+    p.some(("form", 0.4), ("aside", 0.3), ("footer", 0.7))
+
+
+def make_page(r: random.Random) -> list[tuple[str, bool]]:
+    """Pieces of a page and whether the text of each is main text."""
+    p = _Page(r)
+    p.put(f"<html><head><title>{p.sentence(4)}</title><script>if (a < b) {{ {p.word()}() }}</script></head><body>")
+    outer = p.tag("any", ["div"]) if r.random() < 0.4 else ("", "")
+    p.put(outer[0])
+    x = r.random()
+    if x < 0.35:
+        _site(p, ["article", "article", "main", "div"])
+    elif x < 0.65:
+        p.named = p.named or r.random() < 0.6
+        _site(p, ["div", "div", "section"])
+    elif x < 0.78:
+        _table_site(p)
+    elif x < 0.89:
+        _docs_site(p)
+    else:
+        _thread_site(p)
+    p.put(outer[1] + r.choice(["</body></html>", "</body></html>", ""]))
+    return p.pieces
 
 
 def labelled(pieces: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray]:
@@ -391,7 +514,7 @@ def train(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> L
             for row, j in enumerate(runs[k]):
                 y[row, : len(data[j][1])] = data[j][1]
             x[..., :PATH] *= rng.random((len(x), 1, PATH)) > 0.1  # some names are unknown on other sites
-            x[..., PATH : PATH + WORDS] *= rng.random((*x.shape[:2], 1)) > 0.3
+            x[..., PATH : PATH + WORDS] *= rng.random((*x.shape[:2], 1)) > 0.5
             _, g = model.gradients(x, mask, y)
             step += 1
             rate = 0.01 * min(1, step / 20) * (1 - 0.95 * step / (total + 1))

@@ -30,7 +30,7 @@ from .common import sample_of, slices, text_or_empty
 
 MOST_LABELLED, MOST_PAIRS, FOLDS, CUT = 20_000, 200_000, 5, 0.3
 #: Places for hashed words, and as many for hashed runs of bytes. Ridge of the weights of each kind of feature.
-HASHED, RIDGE_SURFACE, RIDGE_CONTENT = 512, 1e-3, 3e-2
+HASHED, RIDGE_SURFACE, RIDGE_CONTENT = 512, 1e-3, 3e-1
 
 #: Bytes of each kind; those from 128 on are parts of letters.
 _kinds = {
