@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from .. import schema
 
+#: Fixed value: what counts as white space at the ends of a text.
+SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACE))
+
+
 def lookup(key: Column, table: dict) -> Column:
     """The value of key in a small fixed table, or null."""
     return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[key]
@@ -24,7 +30,7 @@ def classify_type(message: Column) -> Column:
 
 
 def map_priority(severity: Column, alarm_class: Column, alarm_type: Column) -> Column:
-    cls, sev = F.lower(F.trim(F.coalesce(alarm_class, F.lit("")))), F.lower(F.trim(F.coalesce(severity, F.lit(""))))
+    cls, sev = F.lower(strip(F.coalesce(alarm_class, F.lit("")))), F.lower(strip(F.coalesce(severity, F.lit(""))))
     return (
         F.when(cls.isin(schema.SAFETY_CLASSES) | F.coalesce(alarm_type, F.lit("")).isin(schema.SAFETY_TYPES), "CRITICAL")
         .when(sev.isin(list(schema.SEVERITY_PRIORITY)), lookup(sev, schema.SEVERITY_PRIORITY))
@@ -36,7 +42,7 @@ def map_priority(severity: Column, alarm_class: Column, alarm_type: Column) -> C
 def zone_of(asset: Column) -> Column:
     """Block and floor of a structured asset id; its first part if it has fewer than four; UNASSIGNED if blank."""
     parts = F.split(asset, "-")
-    return F.when(F.trim(F.coalesce(asset, F.lit(""))) == "", "UNASSIGNED").when(F.size(parts) >= 4, F.concat_ws("-", parts[1], parts[3])).otherwise(parts[0])
+    return F.when(strip(F.coalesce(asset, F.lit(""))) == "", "UNASSIGNED").when(F.size(parts) >= 4, F.concat_ws("-", parts[1], parts[3])).otherwise(parts[0])
 
 
 def severity(priority: Column) -> Column:

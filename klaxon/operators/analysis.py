@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.alarms import active, floor_to, micros, severity, step
-from .sessions import gap_sessions, positions
+from .sessions import HOUR, gap_sessions, neighbours, positions
 
 
 def bad_actors(alarms: DataFrame, top: int | None = 10) -> DataFrame:
@@ -61,15 +61,16 @@ def co_occurrence(alarms: DataFrame, window_min: int = 15, min_pairs: int = 3, m
 
 
 def pre_incident_sequences(alarms: DataFrame, top: int | None = 8, gap_min: int = 30, depth: int = 5, anchor: str = "CRITICAL") -> DataFrame:
-    """sequence, occurrences: the last `depth` steps, repeats in a row left out, up to the last anchor alarm of each session. Windows by
-    session keep `depth` steps; a session's steps are never gathered."""
+    """sequence, occurrences: the last `depth` steps, repeats in a row left out, up to the last anchor alarm of each session. A session's
+    rows are cut at every day, so a stream without a silence is not one task's work, and each day gives its last `depth` steps."""
     rows = gap_sessions(active(alarms).select("ts", "seq", "tag", "level", "priority"), gap_min)
     last = rows.where(F.col("priority") == anchor).groupBy("session").agg(F.max(F.struct("ts", "seq")).alias("cut"))
     rows = rows.join(last, "session").where(F.struct("ts", "seq") <= F.col("cut")).withColumn("step", step())
-    w = Window.partitionBy("session").orderBy("ts", "seq")
-    steps = rows.withColumn("before", F.lag("step").over(w)).where("before IS NULL OR before <> step")
-    back = Window.partitionBy("session").orderBy(F.desc("ts"), F.desc("seq"))
-    steps = steps.withColumn("k", F.row_number().over(back)).where(F.col("k") <= depth)
+    steps = neighbours(rows, ["session"], {"step": F.col("step")}, 24 * HOUR).where("prev.step IS NULL OR prev.step <> step").select("session", "ts", "seq", "step")
+    steps = steps.withColumn("day", F.floor(micros("ts") / (24 * HOUR)))
+    for part in (["session", "day"], ["session"]):
+        back = Window.partitionBy(*part).orderBy(F.desc("ts"), F.desc("seq"))
+        steps = steps.withColumn("k", F.row_number().over(back)).where(F.col("k") <= depth)
     kept = steps.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "step"))).alias("s")).where("size(s) >= 2")
     out = kept.groupBy(F.array_join(F.transform("s", lambda x: x["step"]), " -> ").alias("sequence")).agg(F.count("*").alias("occurrences"))
     return out if top is None else out.orderBy(F.desc("occurrences"), "sequence").limit(top)

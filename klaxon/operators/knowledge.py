@@ -34,20 +34,25 @@ def count_signature(history: DataFrame, key: str) -> DataFrame:
 
 def match(signatures: DataFrame, history: DataFrame, min_overlap: float = 0.5) -> DataFrame:
     """The best confirmed case of each incident: same root tag, types that overlap by min_overlap, a bonus for the same zone (null equals
-    null); of equal scores the newest. The best is an aggregate, so a common root tag is not one task's sort."""
-    past = history.select(*(F.col(c).alias(f"h_{c}") for c in ("id", "signature", "root_tag", "alarm_types", "zone", "confirmed_cause", "action_taken", "operator", "confirmed_at")))
-    both = signatures.join(past, F.col("root_tag") == F.col("h_root_tag"))
-    union = F.size(F.array_union("alarm_types", "h_alarm_types"))
-    overlap = F.when(union > 0, F.size(F.array_intersect("alarm_types", "h_alarm_types")) / union).otherwise(0.0)
+    null); of equal scores the newest. What is compared are shapes (root tag, types, zone): of the history the newest case of each,
+    of the incidents each once. So a common root tag costs pairs of its shapes, and not of its incidents and confirmations."""
+    kinds = F.array_join(F.array_sort(F.array_distinct("alarm_types")), "\x1f").alias("kinds")
+    case = F.struct("confirmed_at", "id", "signature", "confirmed_cause", "action_taken", "operator")
+    past = history.groupBy("root_tag", kinds, "zone").agg(F.max(case).alias("case"), F.first("alarm_types").alias("past_types"))
+    past = past.select(F.col("root_tag").alias("past_tag"), F.col("zone").alias("past_zone"), "past_types", "case")
+    shapes = signatures.groupBy("root_tag", kinds, "zone").agg(F.first("alarm_types").alias("alarm_types"))
+    both = shapes.join(past, F.col("root_tag") == F.col("past_tag"))
+    union = F.size(F.array_union("alarm_types", "past_types"))
+    overlap = F.when(union > 0, F.size(F.array_intersect("alarm_types", "past_types")) / union).otherwise(0.0)
     both = both.withColumn("jaccard", overlap).where((F.col("jaccard") >= min_overlap) & (F.col("jaccard") > 0))
-    both = both.withColumn("score", F.col("jaccard") + F.when(F.col("zone").eqNullSafe(F.col("h_zone")), ZONE_BONUS).otherwise(0.0))
-    best = both.groupBy("incident_id").agg(F.max(F.struct("score", "h_confirmed_at", "h_id", "h_signature", "h_confirmed_cause", "h_action_taken", "h_operator")).alias("b"))
-    seen = history.groupBy(F.col("signature").alias("h_signature")).agg(F.count("*").alias("times_seen"))
-    best = best.select("incident_id", "b.*").join(seen, "h_signature")
-    return best.select(
-        "incident_id", F.col("h_confirmed_cause").alias("confirmed_cause"), F.col("h_action_taken").alias("action_taken"), F.col("h_operator").alias("operator"),
-        F.col("h_confirmed_at").alias("confirmed_at"), "times_seen", F.bround("score", 2).alias("match_strength"),
-    )
+    both = both.withColumn("score", F.col("jaccard") + F.when(F.col("zone").eqNullSafe(F.col("past_zone")), ZONE_BONUS).otherwise(0.0))
+    best = both.groupBy("root_tag", "kinds", "zone").agg(F.max(F.struct("score", "case")).alias("b"))
+    seen = history.groupBy(F.col("signature").alias("seen_signature")).agg(F.count("*").alias("times_seen"))
+    best = best.select(F.col("root_tag").alias("best_tag"), F.col("kinds").alias("best_kinds"), F.col("zone").alias("best_zone"), "b.score", "b.case.*").join(seen, F.col("signature") == F.col("seen_signature")).drop("signature")
+    met = (F.col("root_tag") == F.col("best_tag")) & (F.col("kinds") == F.col("best_kinds")) & F.col("zone").eqNullSafe(F.col("best_zone"))
+    return signatures.select("incident_id", "root_tag", kinds, "zone").join(best, met).select(
+        "incident_id", "confirmed_cause", "action_taken", "operator", "confirmed_at", "times_seen", F.bround("score", 2).alias("match_strength")
+    )
 
 
 def newest(history: DataFrame, top: int | None = 100) -> DataFrame:
@@ -93,13 +98,15 @@ def recommend(ranked: DataFrame, *, chattering: DataFrame | None = None, co_occu
     tag, known = F.col("tag"), F.col("times_seen").isNotNull()
     nonempty = lambda c: F.nullif(F.col(c), F.lit(""))
     rule = lambda on, priority, action, why, tags, source: F.when(on, F.struct(priority.alias("priority"), action.alias("action"), why.alias("why"), tags.alias("tags"), F.lit(source).alias("source")))
-    resolved = F.coalesce(F.concat(F.lit("; last resolved by "), nonempty("operator"), F.lit(" on "), F.substring(F.col("confirmed_at").cast("string"), 1, 10), F.lit(".")), F.lit("."))
+    says = lambda key, *between: F.concat(*(x for pair in zip(map(F.lit, schema.SAYS[key]), [*between, F.lit("")], strict=False) for x in pair))
+    resolved = F.coalesce(says("resolved", nonempty("operator"), F.substring(F.col("confirmed_at").cast("string"), 1, 10)), F.lit("."))
+    playbook = F.coalesce(lookup(F.col("level"), schema.ACTIONS), F.lit(schema.ACTIONS["GENERAL"]))
     rules = F.array(
-        rule(known, F.lit(1), F.coalesce(nonempty("action_taken"), nonempty("confirmed_cause"), F.concat(F.lit("Apply the previously confirmed fix for "), tag, F.lit("."))), F.concat(F.lit("This failure signature has been confirmed "), F.col("times_seen").cast("string"), F.lit("× before"), resolved), F.array(tag), "knowledge base"),
-        rule(F.lit(True), F.when(known, 2).otherwise(1), F.concat(F.lit("Inspect "), tag, F.lit(" first — "), F.coalesce(lookup(F.col("level"), schema.ACTIONS), F.lit(schema.ACTIONS["GENERAL"]))), F.coalesce(nonempty("explanation"), lookup(F.col("level"), schema.CAUSE_HINTS), F.lit("highest-ranked candidate")), F.array(tag), "root-cause + playbook"),
-        rule(F.col("chatter_pct").isNotNull(), F.lit(2), F.concat(F.lit("Widen the deadband / add on-delay on "), tag, F.lit(" before chasing a process cause.")), F.concat(tag, F.lit(" chatters ("), F.format_string("%.1f", "chatter_pct"), F.lit("% of its activations repeat within 60 s) — the alarm load here is an instrument-tuning problem, not a plant upset.")), F.array(tag), "chattering analysis"),
-        rule(F.col("partners").isNotNull(), F.lit(3), F.concat(F.lit("Check "), F.array_join(F.slice("partners", 1, 2), ", "), F.lit(" in the same sweep — they alarm together with "), tag, F.lit(".")), F.lit("These sources co-fire with the lead candidate, so they likely share a cause or a common feed."), F.col("partners"), "co-occurrence"),
-        rule(F.col("masks").isNotNull(), F.lit(3), F.concat(F.lit("Clear or rationalise the standing alarm(s) in "), F.col("zone"), F.lit(" — they mask new events.")), F.lit("A permanently-active alarm in this console trains operators to ignore the annunciator."), F.col("masks"), "standing alarms"),
+        rule(known, F.lit(1), F.coalesce(nonempty("action_taken"), nonempty("confirmed_cause"), says("apply", tag)), F.concat(says("confirmed", F.col("times_seen").cast("string")), resolved), F.array(tag), "knowledge base"),
+        rule(F.lit(True), F.when(known, 2).otherwise(1), F.concat(says("inspect", tag), playbook), F.coalesce(nonempty("explanation"), lookup(F.col("level"), schema.CAUSE_HINTS), says("ranked")), F.array(tag), "root-cause + playbook"),
+        rule(F.col("chatter_pct").isNotNull(), F.lit(2), says("widen", tag), F.concat(tag, says("chatters", F.format_string("%.1f", "chatter_pct"))), F.array(tag), "chattering analysis"),
+        rule(F.col("partners").isNotNull(), F.lit(3), says("check", F.array_join(F.slice("partners", 1, 2), ", "), tag), says("partners"), F.col("partners"), "co-occurrence"),
+        rule(F.col("masks").isNotNull(), F.lit(3), says("clear", F.col("zone")), says("masks"), F.col("masks"), "standing alarms"),
     )
     out = top.select("incident_id", F.posexplode(rules).alias("ordinal", "r")).where("r IS NOT NULL").select("incident_id", "ordinal", "r.*")
     # At most five rows an incident: of equal actions the first by priority and rule.
@@ -108,6 +115,29 @@ def recommend(ranked: DataFrame, *, chattering: DataFrame | None = None, co_occu
     return out.select("incident_id", place.alias("place"), "priority", "action", "why", "tags", "source")
 
 
+def answers(recommended: DataFrame, signatures: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row for each incident: incident_id, signature (root_tag, alarm_types, zone), known_case, recommendations (at most five)."""
+    listed = recommended.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("place", "priority", "action", "why", "tags", "source"))).alias("recommendations"))
+    known = matches.select("incident_id", F.lit(True).alias("known"))
+    shape = F.struct("root_tag", "alarm_types", "zone").alias("signature")
+    return listed.join(signatures.select("incident_id", shape), "incident_id", "left").join(known, "incident_id", "left").select("incident_id", "signature", F.coalesce("known", F.lit(False)).alias("known_case"), "recommendations")
+
+
+def incident_tables(rows: DataFrame, ranked: DataFrame, found: DataFrame, unit: str | None = None) -> dict[str, DataFrame]:
+    """The rows that a newly found set of incidents adds to the tables incidents, incident_alarms and candidates."""
+    order = F.row_number().over(Window.partitionBy("incident_id").orderBy("ts", "seq"))
+    return {
+        "incidents": found.select("incident_id", F.col("start_ts").alias("started_at"), F.lit(unit).cast("string").alias("unit"), "alarm_count", F.lit("open").alias("status")),
+        "incident_alarms": rows.select("incident_id", "tag", "description", "priority", F.col("ts").alias("occurred_at"), order.alias("sequence_rank")),
+        "candidates": candidates_table(ranked).withColumnRenamed("candidate_tag", "tag"),
+    }
+
+
+def with_json_types(history: DataFrame) -> DataFrame:
+    """history with alarm_types as JSON text, as it is exported."""
+    return history.withColumn("alarm_types", F.to_json("alarm_types"))
+
+
 def candidates_table(ranked: DataFrame, method: str = "initiation-rate") -> DataFrame:
     """The ranked rows as a candidates table, with the method that made them."""
     return ranked.select("incident_id", "rank", F.col("tag").alias("candidate_tag"), "confidence", "explanation", F.lit(method).alias("method"))
@@ -135,7 +165,7 @@ def incident_status(found: DataFrame, history: DataFrame) -> DataFrame:
 def incident_detail(found: DataFrame, rows: DataFrame, ranked: DataFrame, history: DataFrame) -> DataFrame:
     """incidents with arrays of their alarms, candidates and confirmations. An incident's rows are gathered, so ask for few."""
     nest = lambda df, name, order: df.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in (*order, "incident_id"))))).alias(name))
-    out = found
+    out, some = found, found.select("incident_id")
     for df, name, order in ((rows.select("incident_id", "ts", "seq", "tag", "level", "priority"), "alarms", ["ts", "seq"]), (ranked.select("incident_id", "rank", "tag", "confidence"), "candidates", ["rank"]), (history.select("incident_id", "confirmed_at", "id", "confirmed_cause"), "confirmations", ["confirmed_at", "id"])):
-        out = out.join(nest(df, name, order), "incident_id", "left")
+        out = out.join(nest(df.join(some, "incident_id", "left_semi"), name, order), "incident_id", "left")
     return out

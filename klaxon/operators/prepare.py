@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.alarms import floor_to, minutes
 from .sessions import neighbours
@@ -37,17 +36,21 @@ def episodes(tx: DataFrame) -> DataFrame:
 
 def align_tags(samples: DataFrame, width_min: int = 1, limit: int = 3) -> DataFrame:
     """ts, tag, value on the grid that all tags share: means by cell, gaps filled on the line between neighbours for their first
-    `limit` cells, ends held for as many; what is not filled is null. The grid spans the stream; a cell is made for each tag."""
+    `limit` cells, ends held for as many; what is not filled is null. The grid spans the stream; a cell is made for each tag. A known
+    cell fills those after it, at most `limit`; the empty grid is made by tag and run of 1,000 cells, so no task holds a tag's whole span."""
     cells = samples.groupBy(floor_to("ts", width_min).alias("ts"), "tag").agg(F.avg("value").alias("value"))
-    span = cells.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    grid = span.select(F.explode(F.expr(f"sequence(lo, hi, interval {width_min} minutes)")).alias("ts"))
-    tags = cells.select("tag").distinct()
-    full = grid.join(tags).join(cells, ["ts", "tag"], "left").withColumn("i", F.expr(f"timestampdiff(MINUTE, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div {width_min}"))
-    known = F.when(F.col("value").isNotNull(), F.struct("value", "i"))
-    w = Window.partitionBy("tag").orderBy("ts")
-    full = full.withColumns({"p": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "n": F.first(known, True).over(w.rowsBetween(1, Window.unboundedFollowing))})
-    line = F.col("p.value") + F.coalesce((F.col("n.value") - F.col("p.value")) * (F.col("i") - F.col("p.i")) / (F.col("n.i") - F.col("p.i")), F.lit(0.0))
-    return full.select("ts", "tag", F.coalesce("value", F.when(F.col("i") - F.col("p.i") <= limit, line)).alias("value"))
+    place = F.expr(f"timestampdiff(MINUTE, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div {width_min}")
+    cells = cells.where("ts IS NOT NULL").select("tag", "ts", place.alias("i"), F.lit(0).alias("seq"), "value")
+    span = cells.agg(F.min("i").alias("lo"), F.max("i").alias("hi"))  # one row
+    runs = cells.select("tag").distinct().join(F.broadcast(span)).select("tag", "lo", "hi", F.explode(F.expr("sequence(lo div 1000, hi div 1000)")).alias("run"))
+    grid = runs.repartition("tag", "run").select("tag", F.explode(F.expr("sequence(greatest(lo, run * 1000), least(hi, run * 1000 + 999))")).alias("i"))
+    known = neighbours(cells.where("value IS NOT NULL"), ["tag"], {"i": F.col("i"), "value": F.col("value")}, width_min * 60_000_000 * 1000)
+    upto = F.least(F.col("i") + limit, F.coalesce(F.col("next.i") - 1, F.col("i") + limit))
+    known = known.select("tag", F.col("i").alias("from"), "value", "next", F.explode(F.sequence("i", upto)).alias("i"))
+    line = F.col("value") + F.coalesce((F.col("next.value") - F.col("value")) * (F.col("i") - F.col("from")) / (F.col("next.i") - F.col("from")), F.lit(0.0))
+    filled = known.select("tag", "i", F.when(F.col("i") == F.col("from"), F.col("value")).otherwise(line).alias("value"))
+    ts = F.expr(f"timestampadd(MINUTE, cast(i * {width_min} AS int), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    return grid.join(filled, ["tag", "i"], "left").select(ts.alias("ts"), "tag", "value")
 
 
 def pivot_tags(aligned: DataFrame, tags: list[str]) -> DataFrame:

@@ -8,18 +8,17 @@ from pyspark.sql import Window
 
 from .. import schema
 from ..functions.alarms import active, lookup, minutes, plain_number, severity, signature, whole_percent
-from .sessions import gap_sessions
+from .sessions import gap_sessions, numbered
 
 PRIOR_STRENGTH = 5.0
 
 
 def segment_incidents(alarms: DataFrame, gap_min: float = 15, min_alarms: int = 3, min_tags: int = 2, priorities: tuple[str, ...] = ("CRITICAL", "HIGH")) -> DataFrame:
-    """The ACTIVE alarms with incident_id, INC-00000 and on in time order; null outside of qualifying sessions. One task numbers a row
-    for each session that qualifies."""
+    """The ACTIVE alarms with incident_id, INC-00000 and on in time order; null outside of qualifying sessions."""
     rows = gap_sessions(active(alarms).drop("incident_id"), gap_min)
     stats = rows.groupBy("session").agg(F.count("*").alias("n"), F.count_distinct("tag").alias("tags"), F.max(F.col("priority").isin(*priorities)).alias("sig"))
-    ok = stats.where((F.col("n") >= min_alarms) & (F.col("tags") >= min_tags) & F.col("sig"))
-    ok = ok.select("session", F.format_string("INC-%05d", F.row_number().over(Window.orderBy("session")) - 1).alias("incident_id"))
+    ok = numbered(stats.where((F.col("n") >= min_alarms) & (F.col("tags") >= min_tags) & F.col("sig")).select("session"), "session")
+    ok = ok.select("session", F.format_string("INC-%05d", "number").alias("incident_id"))
     return rows.join(ok, "session", "left").drop("session")
 
 

@@ -42,6 +42,17 @@ def positions(df: DataFrame, width: int = HOUR) -> DataFrame:
     return rows.join(sizes, "_bucket").withColumn("pos", F.col("_offset") + F.row_number().over(inside) - 1).drop("_us", "_bucket", "_offset")
 
 
+def numbered(df: DataFrame, key: str, block: int = 10_000) -> DataFrame:
+    """df with `number`, from 0 in the order of its unique whole-number column `key`. Numbers inside a block of keys, and one row for each
+    block in one task."""
+    rows = df.withColumn("_block", F.floor(F.col(key) / block))
+    sizes = rows.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_block").orderBy(key)
+    return rows.join(sizes, "_block").withColumn("number", F.col("_offset") + F.row_number().over(inside) - 1).drop("_block", "_offset")
+
+
 def neighbours(df: DataFrame, keys: list[str], columns: dict[str, Column], width: int = 24 * 30 * HOUR) -> DataFrame:
     """df with structs `prev` and `next` of `columns`, of the rows before and after in the order of (ts, seq) for each key. A key's
     rows are cut at every `width` of time, so a source that makes half of all alarms is not one task's work."""

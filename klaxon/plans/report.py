@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import SparkSession
 
 from ..operators import rootcause
@@ -36,4 +38,18 @@ def report(service: Service, truth=None, top: int = 10) -> str:
     parts = [("Bad actors", service.bad_actors(top)), ("Chattering", service.chattering(top)), ("Floods", service.floods().orderBy("window_start").limit(top)), ("Co-occurrence", service.co_occurrence(top)), ("Sequences", service.sequences()), ("Incidents", service.incident_list(top)), ("Root cause", service.root_cause(3).orderBy("incident_id", "rank"))]
     if truth is not None:
         parts.append(("Validation", rootcause.validate(service.ranked, truth)))
-    return "\n".join(f"== {name}\n{df._show_string(top, 60)}" for name, df in parts)
+    return "\n".join(f"== {name}\n{as_text(df, top)}" for name, df in parts)
+
+
+def as_text(df, rows: int, width: int = 60) -> str:
+    """The first rows as a table of text."""
+    lines = [df.columns, *([str(v) for v in r] for r in df.take(rows))]
+    lines = [[c if len(c) <= width else c[: width - 1] + "…" for c in line] for line in lines]
+    sizes = [max(map(len, column)) for column in zip(*lines, strict=True)]
+    return "\n".join("  ".join(c.ljust(n) for c, n in zip(line, sizes, strict=True)).rstrip() for line in lines) + "\n"
+
+
+def dump(service: Service, path: str) -> None:
+    """The dashboard's payload as one JSON file on the driver."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(service.payload(), f, ensure_ascii=False)

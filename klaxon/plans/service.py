@@ -86,6 +86,24 @@ class Service:
         matches = knowledge.match(self.signatures().join(some, "incident_id", "left_semi"), self.store.read("kb_confirmations"))
         return knowledge.recommend(ranked, chattering=analysis.chattering(self.alarms, top=60), co_occurrence=analysis.co_occurrence(self.alarms, top=60), matches=matches)
 
+    def recommendation_answers(self, incident_id: str | None = None, top: int = 12) -> DataFrame:
+        """One row for each incident, with its signature, whether its case is known, and its recommendations."""
+        matches = knowledge.match(self.signatures(), self.store.read("kb_confirmations"))
+        return knowledge.answers(self.recommendations(incident_id, top), self.signatures(), matches)
+
+    def record_incidents(self, unit: str | None = None) -> int:
+        """Appends the incidents that the store doesn't hold yet, their alarms and their candidates; returns how many. Parquet has no
+        transaction over tables: `incidents` is written last, so an incident in it has its other rows."""
+        new = self.incidents.join(self.store.read("incidents").select("incident_id"), "incident_id", "left_anti").persist()
+        some = new.select("incident_id")
+        n = new.count()
+        if n:
+            tables = knowledge.incident_tables(self.labelled.join(some, "incident_id", "left_semi"), self.ranked.join(some, "incident_id", "left_semi"), new, unit)
+            for name in ("incident_alarms", "candidates", "incidents"):
+                self.store.append(tables[name], name)
+        new.unpersist()
+        return n
+
     def confirm(self, incident_id: str, *, confirmed_cause: str | None = None, action_taken: str = "", operator: str = "operator", correct: bool | None = None) -> dict:
         one = self.signatures().where(F.col("incident_id") == incident_id)
         row = knowledge.confirmation(one, self.ranked, cause=confirmed_cause, action=action_taken, operator=operator, correct=correct).persist()
@@ -104,12 +122,13 @@ class Service:
         history = self.store.read("kb_confirmations")
         return to_json(knowledge.stats(history)) | {"engine_accuracy": to_json(knowledge.engine_accuracy(history))}
 
-    def payload(self) -> dict:
-        """Everything the dashboard shows, for a file that it reads offline. Each list is short by its limit."""
+    def payload(self, longest: int = 5_000) -> dict:
+        """Everything the dashboard shows, for a file that it reads offline. Each list is short by its limit; floods and cause hints,
+        which have none of their own, are cut at `longest` rows: the newest floods, the hints of the first tags by name."""
         rows = lambda df: to_json(df.agg(F.collect_list(F.struct("*")).alias("rows")))["rows"]
         return {
             "summary": self.summary(), "kpis": self.kpis(), "tags_status": rows(self.tags_status()), "bad_actors": rows(self.bad_actors()),
-            "chattering": rows(self.chattering(15)), "floods": rows(self.floods()), "co_occurrence": rows(self.co_occurrence(20)), "sequences": rows(self.sequences()),
-            "incidents": rows(self.incident_list(60)), "root_cause": rows(self.root_cause(60)), "cause_hints": {r["tag"]: r["hint"] for r in rows(self.cause_hints())},
-            "recommendations": rows(self.recommendations()), "kb_stats": self.kb_stats(),
+            "chattering": rows(self.chattering(15)), "floods": rows(self.floods().orderBy(F.desc("window_start")).limit(longest)), "co_occurrence": rows(self.co_occurrence(20)), "sequences": rows(self.sequences()),
+            "incidents": rows(self.incident_list(60)), "root_cause": rows(self.root_cause(60)), "cause_hints": {r["tag"]: r["hint"] for r in rows(self.cause_hints().orderBy("tag").limit(longest))},
+            "recommendations": rows(self.recommendation_answers()), "kb_stats": self.kb_stats(),
         }

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from . import schema
 from .functions.alarms import classify_type, map_priority, zone_of
 from .operators import analysis, knowledge, kpis, prepare, rootcause
+from .sources import alarm_log as log_source
 from .sources.alarm_log import AlarmLog
+from .sources.base import scratch_folder
+from .sources.store import ParquetStore
 from .sources.synthetic import SyntheticPlant
 
 GAP = 5
@@ -112,8 +115,13 @@ def _pick(values: list[str], index) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
 
 
+def _sql_text(value: str) -> str:
+    """A literal; tabs and line ends are written by their codes."""
+    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+
+
 def _sql_pick(values: list[str], index: str) -> str:
-    return f"[{', '.join(repr(v) for v in values)}][{index} % {len(values)} + 1]"
+    return f"[{', '.join(map(_sql_text, values))}][{index} % {len(values)} + 1]"
 
 
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,15 +162,16 @@ def query(sql: str | None):
     return keep
 
 
-def _ranked(spark, sf_dir):
-    rows = rootcause.segment_incidents(alarms(spark, sf_dir), GAP).where("incident_id IS NOT NULL")
-    return rows, rootcause.rank_candidates(rows), rootcause.incidents(rows)
+def _ranked(spark, sf_dir, a: DataFrame | None = None):
+    """Labelled alarms, candidates and incidents. Several parts of a query build on them, so they are worked out once, as the service does."""
+    rows = rootcause.segment_incidents(alarms(spark, sf_dir) if a is None else a, GAP).where("incident_id IS NOT NULL").persist()
+    return rows, rootcause.rank_candidates(rows).persist(), rootcause.incidents(rows).persist()
 
 
 def _history(spark, sf_dir):
     """Confirmations of every second incident, from the incidents themselves."""
     rows, ranked, found = _ranked(spark, sf_dir)
-    sig = rootcause.signatures(ranked, found)
+    sig = rootcause.signatures(ranked, found).persist()
     num = F.substring("incident_id", 5, 20).cast("long")
     kb = sig.join(found.select("incident_id", "start_ts"), "incident_id").where(num % 2 == 0).select(
         F.substring(F.sha1("incident_id"), 1, 16).alias("id"), "signature", "incident_id", "root_tag", "alarm_types", "zone", F.concat(F.lit("Investigate "), F.col("root_tag")).alias("confirmed_cause"),
@@ -432,6 +441,136 @@ def priorities_and_zones(spark, sf_dir):
     return raw_log(spark, sf_dir).groupBy(map_priority(F.col("AlarmSeverityName"), F.col("AlarmClassName"), classify_type(m)).alias("priority"), zone_of(asset).alias("zone")).agg(F.count("*").alias("n"))
 
 
+_CSV_MESSAGES = ['He said "fan, on" now', "two\nlines", "plain, comma", " Gas leak\t", ""]
+_CSV_ASSETS = [" A-B ", "1-JK1-JK1-00-D.01-AC", "X\t"]
+
+
+@query(f"""WITH r AS (SELECT CASE WHEN event_id % 50 = 0 THEN NULL ELSE date_trunc('minute', ts)::TIMESTAMP END AS ts, trim({_sql_pick(_CSV_ASSETS, "user_id")}, ' ' || chr(9)) AS tag, trim(upper({_sql_pick([" n2a", "A2A ", "A2N", "?"], "event_id")})) AS transition,
+  coalesce(nullif(trim({_sql_pick(_CSV_MESSAGES, "event_id")}, ' ' || chr(9)), ''), 'fallback error') AS message, {_sql_pick(_SEVERITIES, "user_id")} AS severity FROM events),
+t AS (SELECT *, {_sql_type("message")} AS level FROM r)
+SELECT ts, tag, transition, message, level, CASE WHEN level = 'GAS' THEN 'CRITICAL' WHEN lower(severity) = '1 - high' THEN 'HIGH' WHEN lower(severity) IN ('2 - medium', 'central battery system-medium') THEN 'MEDIUM' ELSE 'LOW' END AS priority,
+  CASE WHEN len(string_split(tag, '-')) >= 4 THEN string_split(tag, '-')[2] || '-' || string_split(tag, '-')[4] ELSE string_split(tag, '-')[1] END AS zone FROM t WHERE ts IS NOT NULL AND transition <> '?'""")
+def csv_log(spark, sf_dir):
+    """A CSV export with quotes, commas and line ends in its fields, written and read again."""
+    i, u, folder = F.col("event_id"), F.col("user_id"), scratch_folder(spark)
+    made = {
+        "DateTime": F.when(i % 50 == 0, "bad").otherwise(F.date_format("ts", "dd-MM-yyyy HH:mm")), "AssetID": _pick(_CSV_ASSETS, u), "AlarmSeverityName": _pick(_SEVERITIES, u),
+        "State": _pick([" n2a", "A2A ", "A2N", "?"], i), "TransactionMessage": F.lit("fallback error"), "ProcessedMessage": _pick(_CSV_MESSAGES, i),
+    }
+    columns = [made.get(c, F.lit("")).alias(c) for c in log_source.COLUMNS]
+    events(spark, sf_dir).select(*columns).write.csv(folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return AlarmLog.read(spark, folder).transitions.select("ts", "tag", "transition", "message", "level", "priority", "zone")
+
+
+@query(f"WITH {_RAW} SELECT count(*) FILTER (ts IS NULL OR (ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-09' AND transition = '?')) AS rejected FROM log")
+def rejected_in_a_window(spark, sf_dir):
+    return AlarmLog(raw_log(spark, sf_dir), start="2024-01-05 00:00:00", end="2024-01-09 00:00:00").rejected()
+
+
+@query(f"WITH {_AL} SELECT ts, seq, tag, level, priority, state, value, zone FROM al UNION ALL SELECT ts + INTERVAL 1 DAY, seq, tag, level, NULL, state, NULL, zone FROM al WHERE seq % 7 = 0")
+def store_round_trip(spark, sf_dir):
+    """Two appends, the second without some columns, read back by SQL."""
+    store, a = ParquetStore(spark, scratch_folder(spark)), alarms(spark, sf_dir)
+    store.append(a, "alarms")
+    store.append(a.where("seq % 7 = 0").select((F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), "seq", "tag", "level", "state", "zone"), "alarms")
+    return store.sql("SELECT ts, seq, tag, level, priority, state, value, zone FROM alarms")
+
+
+@query(f"""WITH {_AL}, g AS (SELECT 'G' || (seq % 97) AS incident_id, * FROM a WHERE seq % 3 = 0)
+SELECT incident_id, count(*) AS alarm_count, count(DISTINCT tag) AS tags, min(ts) AS start_ts, max(ts) AS end_ts FROM g GROUP BY 1""")
+def labelled_given(spark, sf_dir):
+    """Alarms that bring their incidents along keep them."""
+    given = alarms(spark, sf_dir).withColumn("incident_id", F.when(F.col("seq") % 3 == 0, F.concat(F.lit("G"), (F.col("seq") % 97).cast("string"))))
+    return rootcause.incidents(rootcause.labelled(given)).select("incident_id", "alarm_count", "tags", "start_ts", "end_ts")
+
+
+@query(f"""WITH {_SIG}, done AS (SELECT substr(sha1(incident_id || '|2024-02-01 00:00:00'), 1, 16) AS id, signature, incident_id, root_tag, 'Investigate ' || root_tag AS confirmed_cause, 'Reset' AS action_taken, 'op' AS operator, root_tag = 'U-003' AS engine_top_pick_correct FROM sig)
+SELECT *, count(*) OVER (PARTITION BY signature) AS times_seen FROM done""")
+def confirm_and_count(spark, sf_dir):
+    """Every incident confirmed, the first pick compared with one tag; how often each signature is then in the history."""
+    _, ranked, found = _ranked(spark, sf_dir)
+    rows = knowledge.confirmation(rootcause.signatures(ranked, found), ranked, action="Reset", operator="op", at="2024-02-01 00:00:00", confirmed_tag="U-003").persist()
+    seen = rows.groupBy("signature").agg(F.count("*").alias("times_seen"))
+    return rows.join(seen, "signature").select("id", "signature", "incident_id", "root_tag", "confirmed_cause", "action_taken", "operator", "engine_top_pick_correct", "times_seen")
+
+
+@query(f"WITH {_KB} SELECT date_trunc('day', confirmed_at)::TIMESTAMP AS day, count(*) AS total_count FROM kb JOIN (SELECT incident_id FROM ranked WHERE rank = 1) USING (incident_id) GROUP BY 1 HAVING date_trunc('day', confirmed_at)::TIMESTAMP >= TIMESTAMP '2024-01-10'")
+def recent_accuracy(spark, sf_dir):
+    _, ranked, _, _, kb = _history(spark, sf_dir)
+    return knowledge.recent_accuracy(knowledge.accuracy_by_day(kb, knowledge.candidates_table(ranked)), 10, "2024-01-20 00:00:00").select("day", "total_count")
+
+
+_TYPES = {"ERROR": "COMMS_FAULT", "PURCHASE": "FAN", "SIGNUP": "OFFLINE", "VIEW": "METER"}
+
+
+def _typed(a: DataFrame) -> DataFrame:
+    """The adapter's levels as real alarm types; clicks have a type that no table knows."""
+    out = F.lit("UNKNOWN")
+    for level, kind in _TYPES.items():
+        out = F.when(F.col("level") == level, kind).otherwise(out)
+    return a.withColumn("level", out)
+
+
+def _sql_case(column: str, table: dict, other: str) -> str:
+    return f"CASE {column} " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in table.items()) + f" ELSE {other} END"
+
+
+_TYPED = _RANKED.replace("upper(event_type) AS level", _sql_case("upper(event_type)", _TYPES, "'UNKNOWN'") + " AS level")
+_HINTS = {k: schema.CAUSE_HINTS[k] for k in _TYPES.values()}
+
+
+@query(f"WITH {_TYPED} SELECT incident_id, rank, tag, level, {_sql_case('level', _HINTS, 'NULL')} AS hint FROM ranked")
+def hints_by_type(spark, sf_dir):
+    return _ranked(spark, sf_dir, _typed(alarms(spark, sf_dir)))[1].select("incident_id", "rank", "tag", "level", "hint")
+
+
+@query(f"WITH {_TYPED} SELECT tag, arg_max({_sql_case('level', _HINTS, chr(39) + 'Investigate ' + chr(39) + ' || tag')}, incident_id) AS hint FROM ranked WHERE rank = 1 GROUP BY 1")
+def cause_hints_by_type(spark, sf_dir):
+    return rootcause.cause_hints(_ranked(spark, sf_dir, _typed(alarms(spark, sf_dir)))[1])
+
+
+_MASKED = f"{_TYPED}, {_EP.replace('n AS (', 'nn AS (').replace('FROM n)', 'FROM nn)')}"
+
+
+@query(f"""WITH {_MASKED}, k AS (SELECT zone, list_sort(list(DISTINCT tag))[1:2] AS masks FROM ep WHERE standing GROUP BY 1)
+SELECT incident_id, 1 AS place, 1 AS priority, 'Inspect ' || tag || ' first — ' || {_sql_case('level', {k: schema.ACTIONS[k] for k in _TYPES.values()}, "'" + schema.ACTIONS["GENERAL"] + "'")} AS action, tag AS tags, 'root-cause + playbook' AS source FROM ranked WHERE rank = 1
+UNION ALL SELECT incident_id, 2, 3, 'Clear or rationalise the standing alarm(s) in ' || inc.zone || ' — they mask new events.', array_to_string(masks, ','), 'standing alarms' FROM inc JOIN k ON k.zone = inc.zone""")
+def recommendations_by_type(spark, sf_dir):
+    """The playbook's answer to each alarm type, and alarms that stand in the incident's zone."""
+    a = _typed(alarms(spark, sf_dir))
+    _, ranked, found = _ranked(spark, sf_dir, a)
+    standing = prepare.episodes(a).where("standing").select("tag", "zone")
+    out = knowledge.recommend(ranked, standing=standing, zones=found)
+    return out.select("incident_id", "place", "priority", "action", F.array_join("tags", ",").alias("tags"), "source")
+
+
+@query(f"""WITH {_AL}, {_EP}, {_MIX}, {_ZONES}, {_STANDING}, s AS (SELECT * FROM sa WHERE days_standing >= 1 ORDER BY days_standing DESC, start_ts, tag, level LIMIT 15)
+SELECT (SELECT string_agg(priority || ' ' || alarm_count || ' ' || printf('%.1f', pct) || ' ' || printf('%.1f', delta_pct), ', ' ORDER BY target_pct) FROM mix) AS priority_mix,
+  (SELECT string_agg(zone || ' ' || alarm_count || ' ' || peak_per_window || ' ' || active_windows, ', ' ORDER BY zone) FROM z) AS zone_load,
+  coalesce((SELECT string_agg(tag || ' ' || level || ' ' || printf('%.1f', days_standing), ', ' ORDER BY start_ts, tag, level) FROM s), '') AS standing_alarms""")
+def summary_lists(spark, sf_dir):
+    """What the lists of the key figures hold."""
+    a = alarms(spark, sf_dir)
+    number = lambda x: F.format_string("%.1f", x)
+    text = lambda name, f: F.array_join(F.transform(name, f), ", ").alias(name)
+    return kpis.summary_kpis(a, prepare.episodes(a)).select(
+        text("priority_mix", lambda x: F.concat_ws(" ", x["priority"], x["alarm_count"].cast("string"), number(x["pct"]), number(x["delta_pct"]))),
+        text("zone_load", lambda x: F.concat_ws(" ", x["zone"], x["alarm_count"].cast("string"), x["peak_per_window"].cast("string"), x["active_windows"].cast("string"))),
+        text("standing_alarms", lambda x: F.concat_ws(" ", x["tag"], x["level"], number(x["days_standing"]))),
+    )
+
+
+@query(f"WITH {_INC} SELECT incident_id, start_ts AS started_at, alarm_count, (SELECT count(*) FROM lab WHERE lab.incident_id = inc.incident_id) AS alarms, 'open' AS status FROM inc")
+def recorded_incidents(spark, sf_dir):
+    """Incidents, their alarms and candidates as appended to the store's tables and read back."""
+    rows, ranked, found = _ranked(spark, sf_dir)
+    store = ParquetStore(spark, scratch_folder(spark))
+    for name, table in knowledge.incident_tables(rows, ranked, found).items():
+        store.append(table, name)
+    counts = store.read("incident_alarms").groupBy("incident_id").agg(F.count("*").alias("alarms"))
+    return store.read("incidents").join(counts, "incident_id").select("incident_id", "started_at", "alarm_count", "alarms", "status")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _made.items()}
 

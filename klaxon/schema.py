@@ -9,10 +9,15 @@ EPISODES = "tag string, level string, priority string, zone string, description
 META = "key string, value string"
 CONFIRMATIONS = "id string, signature string, incident_id string, root_tag string, alarm_types array<string>, zone string, confirmed_cause string, action_taken string, operator string, engine_top_pick_correct boolean, confirmed_at timestamp_ntz"
 
+INCIDENTS = "incident_id string, started_at timestamp_ntz, unit string, alarm_count long, status string"
+INCIDENT_ALARMS = "incident_id string, tag string, description string, priority string, occurred_at timestamp_ntz, operator_id string, sequence_rank int"
+CANDIDATES = "incident_id string, tag string, method string, rank int, confidence double, explanation string"
+
+# The order of priorities.
 PRIORITY_RANK = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}
-#: ISA-18.2 rationalisation target, in per cent.
+# ISA-18.2 rationalisation target, in per cent.
 TARGET_MIX = {"CRITICAL": 1.0, "HIGH": 4.0, "MEDIUM": 15.0, "LOW": 80.0}
-#: EEMUA-191: alarms per operator and ten minutes.
+# EEMUA-191, alarms per operator and ten minutes.
 TARGET_RATE, MANAGEABLE_PEAK, STANDING_HOURS = 1.0, 10.0, 24
 
 # Alarm types by the first pattern that the lower-case message matches, in this order.
@@ -35,6 +40,7 @@ TYPE_PATTERNS = [
     ("METER", r"consumption|meter"),
     ("POWER", r"battery"),
 ]
+# Priorities by severity text; classes and types that are critical whatever their severity.
 SEVERITY_PRIORITY = {"1 - high": "HIGH", "2 - medium": "MEDIUM", "3 - low": "LOW", "central battery system-medium": "MEDIUM"}
 SAFETY_CLASSES, SAFETY_TYPES = ["lifesafety"], ["GAS", "TRIP", "FIRE_SUPERVISORY"]
 
@@ -81,6 +87,21 @@ ACTIONS = {
     "GENERAL": "Review the point configuration and recent changes; the alarm is uncategorised.",
 }
 
+# The sentences of the recommendation rules, in the parts that stand around tags, zones and numbers.
+SAYS = {
+    "apply": ("Apply the previously confirmed fix for ", "."),
+    "confirmed": ("This failure signature has been confirmed ", "× before"),
+    "resolved": ("; last resolved by ", " on ", "."),
+    "inspect": ("Inspect ", " first — "),
+    "ranked": ("highest-ranked candidate",),
+    "widen": ("Widen the deadband / add on-delay on ", " before chasing a process cause."),
+    "chatters": (" chatters (", "% of its activations repeat within 60 s) — the alarm load here is an instrument-tuning problem, not a plant upset."),
+    "check": ("Check ", " in the same sweep — they alarm together with ", "."),
+    "partners": ("These sources co-fire with the lead candidate, so they likely share a cause or a common feed.",),
+    "clear": ("Clear or rationalise the standing alarm(s) in ", " — they mask new events."),
+    "masks": ("A permanently-active alarm in this console trains operators to ignore the annunciator.",),
+}
+
 # The synthetic plant. Name, unit, setpoint, noise, limits.
 PLANT_TAGS = [
     ("REACTOR_TEMP", "degC", 118.0, 0.6, {"LO": 108.0, "HI": 126.0, "HIHI": 132.0}),
@@ -94,6 +115,7 @@ PLANT_TAGS = [
     ("GRANULATOR_AMPS", "A", 310.0, 4.0, {"LO": 260.0, "HI": 360.0, "HIHI": 390.0}),
     ("RECYCLE_RATIO", "-", 4.5, 0.1, {"LO": 3.8, "HI": 5.4}),
 ]
+# Priorities of the synthetic plant's levels.
 LEVEL_PRIORITY = {"LO": "LOW", "HI": "LOW", "LOLO": "HIGH", "HIHI": "CRITICAL"}
 # Fault scenarios. Key, root cause, chain of (tag, level, delay in minutes).
 SCENARIOS = [

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.alarms import classify_type, map_priority, zone_of
+from ..functions.alarms import classify_type, map_priority, strip, zone_of
 from ..operators.prepare import alarm_events, episodes
 
 COLUMNS = "DateTime ProcessID AssetID AlarmSeverityName State TransactionMessage Stage AlarmClassName Year Month Day DayOfWeek Season Hour ProcessedMessage".split()
@@ -21,21 +21,23 @@ def encoding_of(spark: SparkSession, path: str) -> str:
     return "ISO-8859-1" if not bad.isEmpty() else "UTF-8"
 
 
-def read_raw(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """All columns as strings, with `seq`: the rows' order in the file."""
-    raw = spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in COLUMNS), encoding=encoding or encoding_of(spark, path), enforceSchema=False)
+def read_raw(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True) -> DataFrame:
+    """All columns as strings, with `seq`: the rows' order in the file. Quoted fields may hold doubled quotes and line ends; as a line
+    end may be part of a field, a file is one task's work, so give a large log as several files, or set multi_line off if no field
+    has line ends."""
+    raw = spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in COLUMNS), encoding=encoding or encoding_of(spark, path), enforceSchema=False, escape='"', multiLine=multi_line)
     return raw.withColumn("seq", F.monotonically_increasing_id())
 
 
 def typed(raw: DataFrame, pattern: str = "d-M-yyyy H:mm") -> DataFrame:
     """Every row of raw (COLUMNS and seq), projected; ts is null where the time can't be read."""
     col = lambda c: F.when(~F.col(c).isin(NULLS), F.col(c))
-    message = F.trim(F.coalesce(col("ProcessedMessage"), col("TransactionMessage"), F.lit("")))
+    message = strip(F.coalesce(col("ProcessedMessage"), col("TransactionMessage"), F.lit("")))
     rows = raw.select(
         F.try_to_timestamp(F.col("DateTime"), F.lit(pattern)).cast("timestamp_ntz").alias("ts"), "seq",
-        F.coalesce(col("AssetID"), F.lit("UNKNOWN-ASSET")).alias("tag"), F.upper(F.trim(F.coalesce("State", F.lit("")))).alias("transition"),
-        message.alias("message"), F.coalesce(F.trim(col("AlarmSeverityName")), F.lit("")).alias("severity"),
-        F.coalesce(F.trim(col("AlarmClassName")), F.lit("")).alias("alarm_class"), F.coalesce(col("Stage"), F.lit("Unknown")).alias("stage"),
+        strip(F.coalesce(col("AssetID"), F.lit("UNKNOWN-ASSET"))).alias("tag"), F.upper(strip(F.coalesce("State", F.lit("")))).alias("transition"),
+        message.alias("message"), F.coalesce(strip(col("AlarmSeverityName")), F.lit("")).alias("severity"),
+        F.coalesce(strip(col("AlarmClassName")), F.lit("")).alias("alarm_class"), F.coalesce(col("Stage"), F.lit("Unknown")).alias("stage"),
     )
     rows = rows.withColumn("level", classify_type(F.col("message")))
     return rows.withColumns({"priority": map_priority(F.col("severity"), F.col("alarm_class"), F.col("level")), "zone": zone_of(F.col("tag")), "description": F.substring("message", 1, 120)})
@@ -46,20 +48,20 @@ class AlarmLog:
 
     def __init__(self, raw: DataFrame, *, start: str | None = None, end: str | None = None, pattern: str = "d-M-yyyy H:mm"):
         self.all = typed(raw, pattern)
-        kept = self.all.where(F.col("ts").isNotNull() & F.col("transition").isin(KNOWN))
+        self.inside = F.col("ts").isNotNull()
         if start:
-            kept = kept.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+            self.inside &= F.col("ts") >= F.lit(start).cast("timestamp_ntz")
         if end:
-            kept = kept.where(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
-        self.transitions = kept
+            self.inside &= F.col("ts") <= F.lit(end).cast("timestamp_ntz")
+        self.transitions = self.all.where(self.inside & F.col("transition").isin(KNOWN))
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, **kw) -> AlarmLog:
         return cls(read_raw(spark, path), **kw)
 
     def rejected(self) -> DataFrame:
-        """One row: rows whose time or transition can't be read."""
-        return self.all.agg(F.count_if(F.col("ts").isNull() | ~F.col("transition").isin(KNOWN)).alias("rejected"))
+        """One row: rows whose time can't be read, and those between `start` and `end` whose transition can't be."""
+        return self.all.agg(F.count_if(F.col("ts").isNull() | (self.inside & ~F.col("transition").isin(KNOWN))).alias("rejected"))
 
     @cached_property
     def episodes(self) -> DataFrame:

@@ -1,10 +1,22 @@
-"""What a source offers."""
+"""What a source offers, and where tables for a while go."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir, which driver and executors share; in local mode a temporary one will do."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='klaxon-')}"
+    return f"{shared.rstrip('/')}/klaxon-core-{uuid.uuid4().hex}"
 
 
 class DataSource(Protocol):

@@ -11,7 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from .. import schema
 
-TABLES = {"process_samples": schema.SAMPLES, "alarms": schema.ALARMS, "episodes": schema.EPISODES, "kb_confirmations": schema.CONFIRMATIONS}
+TABLES = {"process_samples": schema.SAMPLES, "alarms": schema.ALARMS, "episodes": schema.EPISODES, "kb_confirmations": schema.CONFIRMATIONS, "incidents": schema.INCIDENTS, "incident_alarms": schema.INCIDENT_ALARMS, "candidates": schema.CANDIDATES}
 DAY = {"process_samples": "ts", "alarms": "ts", "episodes": "start_ts"}
 
 

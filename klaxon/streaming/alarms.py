@@ -20,11 +20,11 @@ def flood_windows(alarms: DataFrame, window_min: int = 10, threshold: int = 10,
     return counts.select(F.col("window.start").alias("window_start"), "alarm_count").where(F.col("alarm_count") > threshold)
 
 
-def incident_sessions(alarms: DataFrame, site: str = "site", gap_min: int = 15, min_alarms: int = 3, late: str = "15 minutes") -> DataFrame:
+def incident_sessions(alarms: DataFrame, site: str = "site", gap_min: int = 15, min_alarms: int = 3, min_tags: int = 2, priorities: tuple[str, ...] = ("CRITICAL", "HIGH"), late: str = "15 minutes") -> DataFrame:
     """Sessions of each site that qualify as incidents; they are numbered downstream, in batch."""
     rows = active(alarms).withWatermark("ts", late)
-    out = rows.groupBy(F.session_window("ts", f"{gap_min} minutes").alias("w"), site).agg(F.count("*").alias("alarm_count"), F.approx_count_distinct("tag").alias("tags"), F.max(F.col("priority").isin("CRITICAL", "HIGH")).alias("significant"))
-    return out.where((F.col("alarm_count") >= min_alarms) & (F.col("tags") >= 2) & F.col("significant")).select(site, F.col("w.start").alias("start_ts"), F.col("w.end").alias("closed_ts"), "alarm_count", "tags")
+    out = rows.groupBy(F.session_window("ts", f"{gap_min} minutes").alias("w"), site).agg(F.count("*").alias("alarm_count"), F.size(F.collect_set("tag")).alias("tags"), F.max(F.col("priority").isin(*priorities)).alias("significant"))
+    return out.where((F.col("alarm_count") >= min_alarms) & (F.col("tags") >= min_tags) & F.col("significant")).select(site, F.col("w.start").alias("start_ts"), F.col("w.end").alias("closed_ts"), "alarm_count", "tags")
 
 
 class EpisodeProcessor(StatefulProcessor):

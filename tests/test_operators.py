@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from klaxon import schema
 from klaxon.functions import alarms as fn
 from klaxon.operators import analysis, knowledge, kpis, prepare, rootcause
-from klaxon.operators.sessions import gap_sessions, neighbours, positions
+from klaxon.operators.sessions import gap_sessions, neighbours, numbered, positions
 
 T0 = datetime(2024, 1, 1)
 COLUMNS = "ts timestamp_ntz, seq long, tag string, level string, priority string, state string, value double, zone string, description string"
@@ -102,6 +102,42 @@ def test_sequences(spark):
     assert [tuple(r) for r in analysis.pre_incident_sequences(rows).collect()] == [("A:HI -> B:LO", 1)]
 
 
+def test_sequences_of_an_endless_session(spark):
+    """A session over many days, cut at every day, against plain Python."""
+    r = random.Random(4)
+    rows = alarms(spark, [(k * 20, f"T{r.randint(0, 2)}", "HI", "CRITICAL" if r.random() < 0.02 else "LOW") for k in range(400)])
+    kept = [(x["tag"], x["priority"]) for x in rows.orderBy("seq").collect()]
+    last = max(k for k, x in enumerate(kept) if x[1] == "CRITICAL")
+    steps = [f"{t}:HI" for k, (t, _) in enumerate(kept[: last + 1]) if not k or kept[k - 1][0] != t]
+    assert [tuple(x) for x in analysis.pre_incident_sequences(rows).collect()] == [(" -> ".join(steps[-5:]), 1)]
+
+
+@pytest.mark.parametrize("block", [1, 7, 10_000])
+def test_numbers_in_blocks(spark, block):
+    keys = random.Random(2).sample(range(500), 60)
+    got = {x["k"]: x["number"] for x in numbered(spark.createDataFrame([(k,) for k in keys], "k long"), "k", block).collect()}
+    assert got == {k: n for n, k in enumerate(sorted(keys))}
+
+
+def test_match_against_brute_force(spark):
+    r = random.Random(7)
+    kinds = lambda: sorted(r.sample("ABCD", r.randint(1, 3)))
+    sig = [(f"I{k}", r.choice("XY"), kinds(), r.choice(["Z", None]), "s") for k in range(40)]
+    past = [(f"c{k:02}", f"s{k % 5}", "I", r.choice("XY"), kinds(), r.choice(["Z", "W", None]), f"cause{k}", "", "op", True, at(r.randint(0, 6))) for k in range(60)]
+    want = {}
+    for i, tag, types, zone, _ in sig:
+        best = None
+        for c in past:
+            j = len(set(types) & set(c[4])) / len(set(types) | set(c[4]))
+            if c[3] == tag and j >= 0.5:
+                best = max(filter(None, [best, (j + 0.15 * (c[5] == zone), c[10], c[0], c[6])]))
+        if best:
+            want[i] = best[3]
+    frames = spark.createDataFrame(sig, "incident_id string, root_tag string, alarm_types array<string>, zone string, signature string"), spark.createDataFrame(past, schema.CONFIRMATIONS)
+    assert {x["incident_id"]: x["confirmed_cause"] for x in knowledge.match(*frames).collect()} == want
+    assert knowledge.with_json_types(frames[1]).where("id = 'c00'").first()["alarm_types"] == "[" + ",".join(f'"{t}"' for t in past[0][4]) + "]"
+
+
 def test_root_cause_ties_and_zero_span(spark):
     rows = alarms(spark, [(0, "B", "HI", "HIGH"), (0, "A", "HI", "HIGH"), (0, "B", "HI", "LOW")])
     lab = rootcause.labelled(rows)

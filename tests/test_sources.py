@@ -41,6 +41,27 @@ def test_log(spark, tmp_path, encoding):
     assert store.read("episodes").count() == 2 and store.meta()["kind"] == "real"
 
 
+def test_log_quotes_line_ends_and_white_space(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    lines = ['01-02-2024 10:00,1,"\t A-B ",3 - Low,N2A,m,,,,,,,,,"He said ""fan, on"" now"', '01-02-2024 10:01,1,C,3 - Low,\tA2A,m,,,,,,,,,"two\nlines"', "01-02-2024 10:02,1,C,3 - Low,?,m,,,,,,,,,x", "01-02-2024 11:00,1,C,3 - Low,?,m,,,,,,,,,x", "bad,1,C,3 - Low,A2N,m,,,,,,,,,x"]
+    path.write_text("\n".join([",".join(alarm_log.COLUMNS), *lines]))
+    log = alarm_log.AlarmLog.read(spark, str(path))
+    assert [(r["tag"], r["zone"], r["transition"], r["message"]) for r in log.transitions.orderBy("seq").collect()] == [("A-B", "A", "N2A", 'He said "fan, on" now'), ("C", "C", "A2A", "two\nlines")]
+    assert log.rejected().first()["rejected"] == 3
+    # Unknown transitions count inside the window only, bad times everywhere.
+    assert alarm_log.AlarmLog.read(spark, str(path), end="2024-02-01 10:30:00").rejected().first()["rejected"] == 2
+
+
+def test_commands(spark, tmp_path):
+    from klaxon.__main__ import main
+
+    path, store = tmp_path / "log.csv", str(tmp_path / "store")
+    path.write_text("\n".join([",".join(alarm_log.COLUMNS), *LINES]))
+    assert main(["ingest", store, str(path)], spark) == "2 rows rejected"
+    assert "== Bad actors\ntag" in main(["report", store], spark)
+    assert "summary" in json.loads(open(main(["dump", store, str(tmp_path / "p.json")], spark)).read())
+
+
 def test_store(spark, tmp_path):
     store = ParquetStore(spark, str(tmp_path / "s"))
     assert store.meta() == {} and store.read("alarms").collect() == []
@@ -73,6 +94,11 @@ def test_plant_and_service(spark, tmp_path):
     assert service.confirm("none") == {"error": "unknown incident"}
     assert service.kb_stats()["total"] == 2 and service.kb_stats()["engine_accuracy"]["confirmations"] == 2
     assert service.recommendations(first).where("source = 'knowledge base'").count() == 1
+    answer = service.recommendation_answers(first).first()
+    assert answer["known_case"] and answer["signature"]["root_tag"] and 1 <= len(answer["recommendations"]) <= 5
+    assert not service.recommendation_answers().where(f"incident_id <> '{first}' AND NOT known_case").isEmpty()
+    assert service.record_incidents("unit 1") == 4 and service.record_incidents() == 0
+    assert store.read("incidents").where("status = 'open' AND unit = 'unit 1'").count() == 4 and store.read("incident_alarms").count() == service.labelled.count() and store.read("candidates").count() == service.ranked.count()
     payload = service.payload()
     assert payload["summary"]["incidents"] == 4 and json.dumps(payload)
     assert "== Root cause" in report.report(service, plant.ground_truth(), 3)
