@@ -12,7 +12,7 @@ from .functions.alarms import classify_type, map_priority, zone_of
 from .operators import analysis, knowledge, kpis, prepare, rootcause
 from .sources import alarm_log as log_source
 from .sources.alarm_log import AlarmLog
-from .sources.base import scratch_folder
+from .sources.base import scratch_folder, written
 from .sources.store import ParquetStore
 from .sources.synthetic import SyntheticPlant
 
@@ -162,16 +162,22 @@ def query(sql: str | None):
     return keep
 
 
+def _labelled(spark, sf_dir, a: DataFrame | None = None):
+    return rootcause.segment_incidents(alarms(spark, sf_dir) if a is None else a, GAP).where("incident_id IS NOT NULL")
+
+
 def _ranked(spark, sf_dir, a: DataFrame | None = None):
-    """Labelled alarms, candidates and incidents. Several parts of a query build on them, so they are worked out once, as the service does."""
-    rows = rootcause.segment_incidents(alarms(spark, sf_dir) if a is None else a, GAP).where("incident_id IS NOT NULL").persist()
-    return rows, rootcause.rank_candidates(rows).persist(), rootcause.incidents(rows).persist()
+    """Labelled alarms, candidates and incidents. Several parts of a query build on the first, which is written as a table once: kept in
+    the cache instead, its plan would be part of every plan over it."""
+    rows = written(_labelled(spark, sf_dir, a))
+    return rows, rootcause.rank_candidates(rows), rootcause.incidents(rows)
 
 
 def _history(spark, sf_dir):
     """Confirmations of every second incident, from the incidents themselves."""
     rows, ranked, found = _ranked(spark, sf_dir)
-    sig = rootcause.signatures(ranked, found).persist()
+    ranked, found = written(ranked), written(found)
+    sig = written(rootcause.signatures(ranked, found))
     num = F.substring("incident_id", 5, 20).cast("long")
     kb = sig.join(found.select("incident_id", "start_ts"), "incident_id").where(num % 2 == 0).select(
         F.substring(F.sha1("incident_id"), 1, 16).alias("id"), "signature", "incident_id", "root_tag", "alarm_types", "zone", F.concat(F.lit("Investigate "), F.col("root_tag")).alias("confirmed_cause"),
@@ -287,17 +293,17 @@ def segment_incidents(spark, sf_dir):
 
 @query(f"WITH {_INC} SELECT * FROM inc")
 def incidents(spark, sf_dir):
-    return _ranked(spark, sf_dir)[2]
+    return rootcause.incidents(_labelled(spark, sf_dir))
 
 
 @query(f"WITH {_INC} SELECT * FROM inc ORDER BY alarm_count DESC, incident_id LIMIT 40")
 def incident_list(spark, sf_dir):
-    return rootcause.largest(_ranked(spark, sf_dir)[2])
+    return rootcause.largest(rootcause.incidents(_labelled(spark, sf_dir)))
 
 
 @query(f"WITH {_RATES} SELECT tag, appearances, initiations, initiation_rate, initiation_rate_smoothed FROM rates")
 def initiation_rates(spark, sf_dir):
-    return rootcause.initiation_rates(_ranked(spark, sf_dir)[0])
+    return rootcause.initiation_rates(_labelled(spark, sf_dir))
 
 
 @query(f"WITH {_RANKED} SELECT * FROM ranked")
@@ -489,7 +495,7 @@ SELECT *, count(*) OVER (PARTITION BY signature) AS times_seen FROM done""")
 def confirm_and_count(spark, sf_dir):
     """Every incident confirmed, the first pick compared with one tag; how often each signature is then in the history."""
     _, ranked, found = _ranked(spark, sf_dir)
-    rows = knowledge.confirmation(rootcause.signatures(ranked, found), ranked, action="Reset", operator="op", at="2024-02-01 00:00:00", confirmed_tag="U-003").persist()
+    rows = knowledge.confirmation(rootcause.signatures(ranked, found), ranked, action="Reset", operator="op", at="2024-02-01 00:00:00", confirmed_tag="U-003")
     seen = rows.groupBy("signature").agg(F.count("*").alias("times_seen"))
     return rows.join(seen, "signature").select("id", "signature", "incident_id", "root_tag", "confirmed_cause", "action_taken", "operator", "engine_top_pick_correct", "times_seen")
 

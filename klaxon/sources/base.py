@@ -19,6 +19,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/klaxon-core-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in a scratch folder, read back: several uses of it cost one computation, and its plan ends there. Who owns the
+    shared folder clears it; results read from it must have been taken before."""
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 class DataSource(Protocol):
     def process_samples(self) -> DataFrame: ...
 
