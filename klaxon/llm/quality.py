@@ -120,12 +120,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def pair_loss(w: np.ndarray, z: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """(loss, gradient, weight of each pair in the second derivative) of the pairs' logistic loss with a ridge."""
-    s = z @ w
-    d = s[better] - s[worse]
+    s = z @ w.astype(z.dtype)
+    d = (s[better] - s[worse]).astype(np.float64)
     p = _sigmoid(-d)
     n = len(d)
     by_row = (np.bincount(worse, p, len(z)) - np.bincount(better, p, len(z))) / n
-    return float(np.logaddexp(0, -d).mean() + 0.5 * (ridge * w * w).sum()), z.T @ by_row + ridge * w, p * (1 - p) / n
+    return float(np.logaddexp(0, -d).mean() + 0.5 * (ridge * w * w).sum()), z.T @ by_row.astype(z.dtype) + ridge * w, p * (1 - p) / n
 
 
 def rank(x: np.ndarray, y: np.ndarray, pairs: int = MOST_PAIRS, seed: int = 11) -> Ranker:
@@ -146,9 +146,9 @@ def rank(x: np.ndarray, y: np.ndarray, pairs: int = MOST_PAIRS, seed: int = 11)
         loss, gradient, curve = pair_loss(w, z, better, worse, ridge)
 
         def bend(v: np.ndarray) -> np.ndarray:
-            s = z @ v
+            s = z @ v.astype(z.dtype)
             c = curve * (s[better] - s[worse])  # noqa: B023
-            return z.T @ (np.bincount(better, c, len(z)) - np.bincount(worse, c, len(z))) + ridge * v
+            return z.T @ (np.bincount(better, c, len(z)) - np.bincount(worse, c, len(z))).astype(z.dtype) + ridge * v
 
         step, left = np.zeros(width), -gradient
         towards, size = left.copy(), float(left @ left)
@@ -161,12 +161,14 @@ def rank(x: np.ndarray, y: np.ndarray, pairs: int = MOST_PAIRS, seed: int = 11)
                 break
             towards = left + size / before * towards
         length = 1.0
-        while length > 1e-3 and pair_loss(w + length * step, z, better, worse, ridge)[0] > loss:
+        while (after := pair_loss(w + length * step, z, better, worse, ridge)[0]) > loss and length > 1e-3:
             length /= 2
+        if after > loss:
+            break
         w = w + length * step
-        if np.abs(gradient).max() < 1e-6:
+        if loss - after < 1e-7 * loss:
             break
-    s = z @ w
+    s = (z @ w.astype(z.dtype)).astype(np.float64)
     at = float(np.quantile(s, len(bad) / len(s)))
     # The slope is that of a logistic curve through CUT at the threshold.
     base, slope = math.log(CUT / (1 - CUT)), 1.0
