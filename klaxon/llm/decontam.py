@@ -10,8 +10,9 @@ a half stride must pass with the probability RECALL, whether the other words are
 corpus. Every word of the benchmark is a term however common it is, as a widely leaked item
 makes its own words common; the idf has a floor above 0.
 
-All windows are projected, whatever words they hold. Before words are compared in order, a place must hold as much of the item in any
-order, which loses nothing. Terms, frequencies, the SVD and the thresholds are fitted once, for all items; the search then takes items
+What is accepted in the end holds WITH_ANSWER of an item's weight in order, so its place holds that much in any order: sums of weights over
+steps of 8 words, cheap for all items at once, show where that can be. Windows are projected there and nowhere else, which loses
+nothing. Terms, frequencies, the SVD and the thresholds are fitted once, for all items; the search then takes items
 in blocks of ITEM_BLOCK, whose size changes what a task holds but not what is found. The driver holds the benchmark's words, and a task
 also the directions of all terms (a benchmark's distinct words, 256 bytes for each).
 
@@ -330,22 +331,29 @@ def search(tokens: DataFrame, items: Items, cosines: list[np.ndarray], idf: np.n
     # Which terms an item has: by item as item * n_terms + term, and by term.
     has = np.unique(np.concatenate([np.unique(t).astype(np.int64) + i * n_terms for i, t in enumerate(items.tokens)]))
     having, of_term = np.divmod(has, n_terms)
-    order = np.argsort(of_term, kind="stable")
-    having, first_of_term = having[order], np.searchsorted(of_term[order], np.arange(n_terms + 1))
+    # Items whose places reach equally many steps back and ahead are bounded together, so they get columns side by side.
+    reach_back, reach_ahead = (slacks + 7) // 8, 1 + (sizes + slacks + 7) // 8
+    item_of = np.lexsort((reach_ahead, reach_back))
+    column_of = np.argsort(item_of)
+    by_term = np.argsort(of_term, kind="stable")
+    columns, first_of_term = column_of[having[by_term]], np.searchsorted(of_term[by_term], np.arange(n_terms + 1))
+    pad = int(sizes.max(initial=0)) // 8 + 2
+    front, tail = pad + int(reach_back.max(initial=0)), int(reach_ahead.max(initial=0))
 
     def weights_before(flat: np.ndarray, begin: int, end: int) -> np.ndarray:
-        """(steps of 8 words + 1, items): the weight of each item's words, in any order, before each step; for the items from begin to end."""
+        """(front + steps of 8 words + tail + 1, columns from begin to end): the weight of each item's words, in any order, before each step."""
+        n = len(flat) // 8
         at = np.flatnonzero(flat >= 0)
         t = flat[at]
-        n = first_of_term[t + 1] - first_of_term[t]
-        ends = np.cumsum(n)
-        item = having[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first_of_term[t] - ends + n, n)]
-        key, weight = np.repeat(at // 8, n) * (end - begin) + item - begin, np.repeat(idf[t], n)
+        many = first_of_term[t + 1] - first_of_term[t]
+        ends = np.cumsum(many)
+        column = columns[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first_of_term[t] - ends + many, many)]
+        key, weight = np.repeat(at // 8, many) * (end - begin) + column - begin, np.repeat(idf[t], many)
         if end - begin < len(items.ids):
-            mine = (item >= begin) & (item < end)
+            mine = (column >= begin) & (column < end)
             key, weight = key[mine], weight[mine]
-        out = np.zeros((len(flat) // 8 + 1, end - begin))
-        out[1:] = np.bincount(key, weight, (len(out) - 1) * (end - begin)).reshape(-1, end - begin)
+        out = np.zeros((front + n + tail + 1, end - begin))
+        out[front + 1 : front + 1 + n] = np.bincount(key, weight, n * (end - begin)).reshape(n, end - begin)
         return np.cumsum(out, axis=0, out=out)
 
     def plausible(flat: np.ndarray, i: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -362,31 +370,62 @@ def search(tokens: DataFrame, items: Items, cosines: list[np.ndarray], idf: np.n
             out[k : k + rows] = (held.sum(1) >= WORDS * sizes[own]) & ((idf[t] * held).sum(1, dtype=np.float64) >= needs[own])
         return out
 
+    def bounded(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(step, item) of all places, whatever their words' order, whose surrounding whole steps hold enough of the item; sorted by both.
+        A place may begin before the first word."""
+        rows = len(flat) // 8 + pad
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        wide = max(1, 4_000_000 // (len(flat) // 8 + 1))
+        for begin in range(0, len(items.ids), wide):
+            end = min(begin + wide, len(items.ids))
+            before = weights_before(flat, begin, end)
+            k = begin
+            while k < end:
+                back, ahead, first = int(reach_back[item_of[k]]), int(reach_ahead[item_of[k]]), k
+                while k < end and reach_back[item_of[k]] == back and reach_ahead[item_of[k]] == ahead:
+                    k += 1
+                mine, at = slice(first - begin, k - begin), front - pad
+                held = before[at + ahead : at + ahead + rows, mine] - before[at - back : at - back + rows, mine]
+                step, column = np.divmod(np.flatnonzero(held >= needs[item_of[first:k]]), k - first)
+                found.append((step - pad, item_of[first + column]))
+        step, i = map(np.concatenate, zip(*found, strict=True))
+        order = np.lexsort((i, step))
+        return step[order], i[order]
+
     def candidates(flat: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int, int], float]:
         """(text, item, where it would begin, in steps) -> cosine."""
+        near_step, near_item = bounded(flat)
+        if not len(near_step):
+            return {}
+        open_ = (near_step + pad) * len(items.ids) + near_item  # sorted
         found: list[tuple[np.ndarray, ...]] = []
         for s in kinds:
+            # The windows that lie in such places.
             stride = s.width // 4
-            z = _windows(flat, s.width, table)
-            for k in range(0, len(z), 4096):
-                near = z[k : k + 4096] @ s.vectors.T
+            searched = np.zeros(len(items.ids), bool)
+            searched[s.item] = True
+            mine = searched[near_item]
+            first = np.clip(near_step[mine] * 8, 0, len(flat)) // stride
+            last = np.clip(near_step[mine] * 8 + 8 + sizes[near_item[mine]], 0, len(flat)) // stride + 1
+            edges = np.bincount(first, minlength=len(flat) // stride + 2) - np.bincount(last, minlength=len(flat) // stride + 2)
+            window = np.flatnonzero(np.cumsum(edges) > 0)
+            window = window[window * stride < len(flat)]
+            longer = np.concatenate([flat, np.full(s.width, -2, flat.dtype)])
+            for k in range(0, len(window), 4096):
+                at = window[k : k + 4096] * stride
+                near = _project(longer[at[:, None] + np.arange(s.width)], table) @ s.vectors.T
                 x, y = np.divmod(np.flatnonzero(near >= s.cosine), near.shape[1])
-                at = (x + k) * stride
-                found.append((np.searchsorted(starts, at + s.width // 2, "right") - 1, s.item[y], (at - s.offset[y]) // 8, near[x, y]))
+                step, i = (at[x] - s.offset[y]) // 8, s.item[y]
+                key = (step + pad) * len(items.ids) + i
+                keep = open_[np.minimum(np.searchsorted(open_, key), len(open_) - 1)] == key
+                x, step, i = x[keep], step[keep], i[keep]
+                found.append((np.searchsorted(starts, at[x] + s.width // 2, "right") - 1, i, step, near[x, y[keep]]))
+        if not found:
+            return {}
         text, i, step, cosine = map(np.concatenate, zip(*found, strict=True))
-        # Most places that are near in the latent space hold too little of the item; whole steps around a place bound what it holds.
-        lo, hi = np.maximum(starts[text] // 8, step - (slacks[i] + 7) // 8), np.minimum(starts[text + 1] // 8, step + 1 + ((sizes + slacks)[i] + 7) // 8)
-        keep = np.zeros(len(i), bool)
-        wide = max(1, 4_000_000 // (len(flat) // 8 + 1))
-        for begin in range(0, len(items.ids), wide):
-            end = min(begin + wide, len(items.ids))
-            mine = slice(None) if wide >= len(items.ids) else np.flatnonzero((i >= begin) & (i < end))
-            if len(i[mine]):
-                before = weights_before(flat, begin, end)
-                keep[mine] = before[hi[mine], i[mine] - begin] - before[lo[mine], i[mine] - begin] >= needs[i[mine]]
-        text, i, step, cosine = text[keep], i[keep], step[keep], cosine[keep]
         if not len(step):
             return {}
+        text = np.minimum(text, len(starts) - 2)
         low, wide = int(step.min()), int(np.ptp(step)) + 1
         key, place = np.unique((text * len(items.ids) + i) * wide + step - low, return_inverse=True)
         best = np.full(len(key), -1.0, np.float32)
