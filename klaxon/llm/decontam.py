@@ -150,24 +150,22 @@ def latent_directions(tokens: DataFrame, idf: np.ndarray, rank: int = RANK, seed
     n_terms, wide, block = len(idf) - 2, min(rank + 16, max(1, len(idf) - 2)), 1024
     kind = "<i2" if n_terms < 32_000 else "<i4"
     omega = np.random.default_rng(seed).standard_normal((n_terms, wide)).astype(np.float32)
+    weighted = np.concatenate([omega * idf[:-2, None], np.zeros((2, wide), np.float32)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n_terms, wide))
         for batch in batches:
             for part in slices(batch, "tokens", 256 << 10):
                 rows = _passages(_flat(part.column("tokens").to_pylist(), kind, PASSAGE)[0])
-                weight = idf[rows]
-                size = np.sqrt((weight * weight).sum(1))
-                at, column = np.nonzero(rows >= 0)
-                if not len(at):
-                    continue
-                term, value = rows[at, column], weight[at, column] / size[at]
-                first = np.flatnonzero(np.diff(at, prepend=-1))
-                seen = np.add.reduceat(omega[term] * value[:, None], first, axis=0)  # A W, a row for each passage that has terms
-                back = seen[np.cumsum(np.diff(at, prepend=at[0]) > 0)] * value[:, None]
+                seen = _project_sums(rows, weighted) / (idf[rows] ** 2).sum(1)[:, None]  # A W, each row over its length once more
+                term = rows.ravel().astype(np.int16 if n_terms < 32_000 else np.int32)
                 order = np.argsort(term, kind="stable")
-                first = np.flatnonzero(np.diff(term[order], prepend=-1))
-                total[term[order][first]] += np.add.reduceat(back[order], first, axis=0)
+                order = order[np.searchsorted(term[order], 0) :]
+                if not len(order):
+                    continue
+                term = term[order]
+                first = np.flatnonzero(np.diff(term, prepend=-1))
+                total[term[first]] += np.add.reduceat(seen[order // PASSAGE], first, axis=0) * idf[term[first], None]
         for k in range(0, n_terms, block):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([total[k : k + block].tobytes()], pa.binary())], ["block", "sum"])
 
