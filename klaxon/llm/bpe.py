@@ -7,8 +7,10 @@ The first chunk begins at one; where a chunk has a boundary in common with its (
 true too. The last matches before a chunk's end, which more text could change, are not counted. Where two chunks don't meet
 within the overlap, both become one piece, and pre-tokenisation inside the piece finds its boundaries from its true start.
 
-Defined results: a null text counts as empty and has no tokens; null ids and repeated rows are kept; an empty table gives an
-empty result; other columns are ignored.
+Defined results: a null text counts as empty and has no tokens; null ids and repeated rows are kept, and rows that tie on id and text are
+equal; a text of one chunk is encoded where it is, a longer one chunk by chunk, its ids being joined in one task; from a seam that fails
+on, a text is one piece (512 code points without a common boundary, as in a run of one kind of character); an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
