@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions.alarms import floor_to, minutes
 from .sessions import neighbours
@@ -58,11 +59,27 @@ def pivot_tags(aligned: DataFrame, tags: list[str]) -> DataFrame:
     return aligned.groupBy("ts").pivot("tag", tags).agg(F.first("value"))
 
 
+def medians(df: DataFrame, key: str, value: str, pieces: int = 200) -> DataFrame:
+    """key, median: exact, and the mean of the two middle values of an even number. Approximate quantiles cut a key's distinct values into
+    pieces, whose counts tell the one or two that hold the middle; only those are sorted, so no task holds a key's values."""
+    known = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    cuts = known.groupBy("k").agg(F.percentile_approx("v", [n / pieces for n in range(1, pieces)], 10_000).alias("cuts"), F.count("*").alias("total"))
+    counts = known.groupBy("k", "v").agg(F.count("*").alias("n")).join(cuts, "k").withColumn("piece", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    sizes = counts.groupBy("k", "piece", "total").agg(F.sum("n").alias("m"))
+    before = F.sum("m").over(Window.partitionBy("k").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
+    middle = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") <= high) & (F.col("before") + F.col("m") > low)).select("k", "piece", "before")
+    inside = Window.partitionBy("k", "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.join(middle, ["k", "piece"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    at = lambda place: F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place), F.col("v")))
+    return rows.groupBy("k").agg((0.5 * at(low) + 0.5 * at(high)).alias("median")).withColumnRenamed("k", key)
+
+
 def flag_outliers(samples: DataFrame, z: float = 4.0) -> DataFrame:
     """samples with `outlier`: farther from the tag's median than z scaled median deviations. Medians are aggregates joined back, so a tag's
-    rows are not gathered in a window."""
-    med = samples.groupBy("tag").agg(F.percentile("value", F.lit(0.5)).alias("med"))
-    rows = samples.join(med, "tag", "left")
-    mad = rows.groupBy("tag").agg(F.percentile(F.abs(F.col("value") - F.col("med")), F.lit(0.5)).alias("mad"))
+    rows are not gathered in a window or a buffer."""
+    rows = samples.join(medians(samples, "tag", "value").withColumnRenamed("median", "med"), "tag", "left")
+    off = F.abs(F.col("value") - F.col("med"))
+    mad = medians(rows.select("tag", off.alias("off")), "tag", "off").withColumnRenamed("median", "mad")
     scale = F.coalesce(F.nullif("mad", F.lit(0.0)), F.lit(1e-9))
-    return rows.join(mad, "tag", "left").withColumn("outlier", F.abs(F.col("value") - F.col("med")) / (1.4826 * scale) > z).drop("med", "mad")
+    return rows.join(mad, "tag", "left").withColumn("outlier", off / (1.4826 * scale) > z).drop("med", "mad")

@@ -1,6 +1,7 @@
 """Hand-made cases: edges, ties, nulls, empty input; and brute force on random alarms."""
 
 import random
+import statistics
 from datetime import datetime, timedelta
 
 import pytest
@@ -161,6 +162,15 @@ def test_interpolation(spark):
     assert prepare.pivot_tags(prepare.align_tags(s), ["x"]).columns == ["ts", "x"]
 
 
+@pytest.mark.parametrize("pieces", [2, 200])
+def test_medians_are_exact(spark, pieces):
+    r = random.Random(13)
+    values = {"hot": [r.gauss(0, 9) for _ in range(1201)], "even": [r.gauss(5, 1) for _ in range(300)], "ties": [float(r.randint(0, 3)) for _ in range(400)], "two": [1.0, 4.0], "one": [7.0], "none": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "tag string, value double").repartition(4)
+    got = {x["tag"]: x["median"] for x in prepare.medians(df, "tag", "value", pieces).collect()}
+    assert got == {k: pytest.approx(statistics.median(vs)) for k, vs in values.items() if vs != [None]}
+
+
 def test_outliers(spark):
     s = spark.createDataFrame([(at(k), "flat", 5.0) for k in range(9)] + [(at(k), "t", float(k % 3)) for k in range(9)] + [(at(9), "t", 1000.0), (at(10), "n", None)], "ts timestamp_ntz, tag string, value double")
     assert [r["value"] for r in prepare.flag_outliers(s).where("outlier").collect()] == [1000.0]
