@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+import pytest
+
 from klaxon.operators import analysis, prepare
 from klaxon.streaming import alarms as streaming
 
@@ -9,9 +11,11 @@ T0 = datetime(2024, 1, 1)
 ROWS = "ts timestamp, seq long, tag string, level string, priority string, state string, transition string, site string, zone string, description string"
 
 
-def drain(spark, tmp_path, name, rows, make):
+def drain(spark, tmp_path, name, rows, make, batches=1):
     path = str(tmp_path / name)
-    spark.createDataFrame(rows, ROWS).coalesce(1).write.parquet(path)
+    size = -(-len(rows) // batches)
+    for k in range(0, len(rows), size):
+        spark.createDataFrame(rows[k : k + size], ROWS).coalesce(1).write.mode("append").parquet(path)
     last = [(T0 + timedelta(days=2), 10_000, "END", "HI", "LOW", "ACTIVE", "N2A", "end", "Z", "")]
     spark.createDataFrame(last, ROWS).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(path)
@@ -33,10 +37,11 @@ def test_floods_and_sessions(spark, tmp_path):
     assert [(r["site"], r["alarm_count"], r["tags"]) for r in found] == [("s", 15, 3)]
 
 
-def test_closed_episodes(spark, tmp_path):
+@pytest.mark.parametrize("batches", [1, 3])
+def test_closed_episodes(spark, tmp_path, batches):
     rows = [row(k, k, "T", t) for k, t in enumerate(["A2N", "N2A", "A2A", "A2N", "N2A", "N2A", "A2N", "N2A"])]
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    got = drain(spark, tmp_path, "closed", rows, streaming.closed_episodes).where("tag = 'T'").orderBy("start_ts", "end_ts").collect()
+    got = drain(spark, tmp_path, f"closed_{batches}", rows, streaming.closed_episodes, batches).where("tag = 'T'").orderBy("start_ts", "end_ts").collect()
     tx = spark.createDataFrame(rows, ROWS).selectExpr("cast(ts AS timestamp_ntz) AS ts", "seq", "tag", "level", "priority", "zone", "description", "transition")
     want = prepare.episodes(tx).where("NOT standing").orderBy("start_ts", "end_ts").collect()
     assert [(r["start_ts"], r["end_ts"], r["implicit"]) for r in got] == [(r["start_ts"], r["end_ts"], r["implicit"]) for r in want]
