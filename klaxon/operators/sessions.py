@@ -20,16 +20,17 @@ def gap_sessions(df: DataFrame, gap_min: float, width: int = HOUR) -> DataFrame:
     """df (ts, seq, ...) with `session`, numbered from 0 in time order: a silence of more than gap_min begins another. What is
     numbered in one task is one row for each hour that has rows."""
     rows = _bucketed(df, width)
-    edges = rows.groupBy("_bucket").agg(F.max("_us").alias("_last"))
-    in_order = Window.orderBy("_bucket")
-    edges = edges.select("_bucket", F.lag("_last").over(in_order).alias("_before"))
     inside = Window.partitionBy("_bucket").orderBy("ts", "seq")
-    previous = F.coalesce(F.lag("_us").over(inside), F.col("_before"))
-    rows = rows.join(edges, "_bucket").withColumn("_begins", F.coalesce((F.col("_us") - previous > gap_min * 60_000_000).cast("int"), F.lit(0)))
-    begun = rows.groupBy("_bucket").agg(F.sum("_begins").alias("_n"))
-    begun = begun.select("_bucket", F.coalesce(F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    silent = lambda since: F.coalesce((F.col("_us") - since > gap_min * 60_000_000).cast("int"), F.lit(0))
+    rows = rows.withColumn("_begins", silent(F.lag("_us").over(inside)))
+    edges = rows.groupBy("_bucket").agg(F.min("_us").alias("_us"), F.max("_us").alias("_last"), F.sum("_begins").alias("_n"))
+    in_order = Window.orderBy("_bucket")
+    # What begins with a bucket's first row, and all that began in the buckets before.
+    edges = edges.withColumn("_edge", silent(F.lag("_last").over(in_order)))
+    before = F.sum(F.col("_n") + F.col("_edge")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select("_bucket", (F.coalesce(before, F.lit(0)) + F.col("_edge")).alias("_offset"))
     running = F.sum("_begins").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(begun, "_bucket").withColumn("session", F.col("_offset") + running).drop("_us", "_bucket", "_before", "_begins", "_offset")
+    return rows.withColumn("session", running).join(edges, "_bucket").withColumn("session", F.col("session") + F.col("_offset")).drop("_us", "_bucket", "_begins", "_offset")
 
 
 def positions(df: DataFrame, width: int = HOUR) -> DataFrame:
