@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.alarms import active, floor_to, micros, severity, step
-from .sessions import HOUR, gap_sessions, neighbours, positions
+from .sessions import HOUR, gap_sessions, positions
 
 
 def bad_actors(alarms: DataFrame, top: int | None = 10) -> DataFrame:
@@ -66,11 +66,13 @@ def pre_incident_sequences(alarms: DataFrame, top: int | None = 8, gap_min: int
     rows = gap_sessions(active(alarms).select("ts", "seq", "tag", "level", "priority"), gap_min)
     last = rows.where(F.col("priority") == anchor).groupBy("session").agg(F.max(F.struct("ts", "seq")).alias("cut"))
     rows = rows.join(last, "session").where(F.struct("ts", "seq") <= F.col("cut")).withColumn("step", step())
-    steps = neighbours(rows, ["session"], {"step": F.col("step")}, 24 * HOUR).where("prev.step IS NULL OR prev.step <> step").select("session", "ts", "seq", "step")
-    steps = steps.withColumn("day", F.floor(micros("ts") / (24 * HOUR)))
+    steps = rows.select("session", "ts", "seq", "step", F.floor(micros("ts") / (24 * HOUR)).alias("day"))
     for part in (["session", "day"], ["session"]):
-        back = Window.partitionBy(*part).orderBy(F.desc("ts"), F.desc("seq"))
-        steps = steps.withColumn("k", F.row_number().over(back)).where(F.col("k") <= depth)
+        in_order, back = (Window.partitionBy(*part).orderBy(*order) for order in (("ts", "seq"), (F.desc("ts"), F.desc("seq"))))
+        # A day's first kept step that equals the last of the day before goes: it repeats it, or, where steps between the two were cut, the
+        # other stands in its place, so the sequence reads the same.
+        steps = steps.withColumn("before", F.lag("step").over(in_order)).where("before IS NULL OR before <> step")
+        steps = steps.withColumn("k", F.row_number().over(back)).where(F.col("k") <= depth).select("session", "ts", "seq", "step")
     kept = steps.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "step"))).alias("s")).where("size(s) >= 2")
     out = kept.groupBy(F.array_join(F.transform("s", lambda x: x["step"]), " -> ").alias("sequence")).agg(F.count("*").alias("occurrences"))
     return out if top is None else out.orderBy(F.desc("occurrences"), "sequence").limit(top)

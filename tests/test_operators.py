@@ -103,10 +103,14 @@ def test_sequences(spark):
     assert [tuple(r) for r in analysis.pre_incident_sequences(rows).collect()] == [("A:HI -> B:LO", 1)]
 
 
-def test_sequences_of_an_endless_session(spark):
+@pytest.mark.parametrize("stays", [0, 0.5, 0.97])
+def test_sequences_of_an_endless_session(spark, stays):
     """A session over many days, cut at every day, against plain Python."""
     r = random.Random(4)
-    rows = alarms(spark, [(k * 20, f"T{r.randint(0, 2)}", "HI", "CRITICAL" if r.random() < 0.02 else "LOW") for k in range(400)])
+    tags = ["T0"]
+    for _ in range(399):
+        tags.append(tags[-1] if r.random() < stays else f"T{r.randint(0, 2)}")
+    rows = alarms(spark, [(k * 20, t, "HI", "CRITICAL" if r.random() < 0.02 else "LOW") for k, t in enumerate(tags)])
     kept = [(x["tag"], x["priority"]) for x in rows.orderBy("seq").collect()]
     last = max(k for k, x in enumerate(kept) if x[1] == "CRITICAL")
     steps = [f"{t}:HI" for k, (t, _) in enumerate(kept[: last + 1]) if not k or kept[k - 1][0] != t]
