@@ -80,3 +80,17 @@ def sample_of(df: DataFrame, key: str, most: int) -> DataFrame:
         share = min(1.0, (1.1 * most + 1_000) / n)
         df = df.where(hashed <= F.lit(int(-(2**63) + share * (2**64 - 2**11))))
     return df.orderBy(hashed, *sorted(df.columns)).limit(most)
+
+
+#: A key that more than one row in HOT_SHARE has is hot; there are fewer than HOT_SHARE of them.
+HOT_SHARE = 5_000
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, table_key: str, weight: str, total: float) -> DataFrame:
+    """rows joined with `table`, which has one row for each key, under another name; `weight` is how many of the `total` rows have it. The
+    few keys that are hot go by broadcast, so their rows stay where they are; all other keys are joined by a shuffle."""
+    table = save(table, "by-key")
+    hot = F.broadcast(table.where(F.col(weight) * HOT_SHARE > total))
+    cold = table.where(F.col(weight) * HOT_SHARE <= total)
+    same = F.col(key) == F.col(table_key)
+    return rows.join(hot, same).unionByName(rows.join(hot.select(table_key), same, "left_anti").join(cold, same))
