@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, embed_dedup, html_extract, ngram_join, quality, sharding, token_output, warc
+from . import bpe, chat, cuckoo_dedup, decontam, embed_dedup, html_extract, impact_index, ngram_join, quality, sharding, token_align, token_output, warc
 from .common import read
 
 
@@ -50,6 +50,18 @@ def op10_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read_back(read(spark, sf_dir, "conversations"))
 
 
+def op11_cuckoo_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align_documents(read(spark, sf_dir, "documents"))
+
+
 #: Components of the links (a, b), both ways; `ids` are all rows.
 _COMPONENTS = """
 reach(id, r) AS (SELECT id, id FROM ids UNION SELECT p.a, q.r FROM links p JOIN reach q ON p.b = q.id AND q.r < p.a),
@@ -93,11 +105,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM m GROUP BY conv_id
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
+k AS (SELECT h, arg_max(doc_id, row(chars, -doc_id)) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN k USING (h)
+"""
+
+OP12_SQL = r"""
+WITH t AS (SELECT rowid AS row, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS rowid, * FROM documents)),
+p AS (SELECT row, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+s AS (SELECT row, sum(tf)::BIGINT AS n FROM p GROUP BY row),
+g AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM s),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, nn),
+i AS (SELECT DISTINCT item_id, text FROM benchmark),
+q AS (SELECT item_id, text, term, count(*) AS times FROM (SELECT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i) GROUP BY ALL),
+r AS (SELECT item_id, q.text, doc_id, p.row, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN s ON s.row = p.row, g GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) <= 10
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_multi_index, op2_shard_slots, op3_warc, op4_bradley_terry, op5_latent_leaks, op6_block_lstm, op7_byte_bpe, op8_lsh_forest, op9_simple8b, op10_chat_grammar)
+    found = (op1_multi_index, op2_shard_slots, op3_warc, op4_bradley_terry, op5_latent_leaks, op6_block_lstm, op7_byte_bpe, op8_lsh_forest, op9_simple8b, op10_chat_grammar, op11_cuckoo_filter, op12_bit_sliced, op13_segment_alignment)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_multi_index": OP1_SQL, "op3_warc": OP3_SQL, "op10_chat_grammar": OP10_SQL, "op8_lsh_forest": OP8_SQL}
+    return {"op1_multi_index": OP1_SQL, "op3_warc": OP3_SQL, "op10_chat_grammar": OP10_SQL, "op8_lsh_forest": OP8_SQL, "op11_cuckoo_filter": OP11_SQL, "op12_bit_sliced": OP12_SQL}
