@@ -6,6 +6,7 @@ piece of the other tokenizer has before an inner space there is no cut. So a seg
 token of both. Segments are numbered within blocks of texts where they are read; distinct segments are tokenised and aligned once for the
 corpus, counts of id pairs are sums over them, and each block gets its own distinct segments back to compose its texts in order. What is
 shuffled are a block's distinct segments and its texts' segment numbers, never a row for each word; a task holds one block's.
+Counts of id pairs go to all tasks only if there are few enough of them (PAIRS), else they are joined.
 
 Defined results: a null or empty text, and one whose tokens' bytes differ from it (it holds U+2581, or something that the normaliser
 changes), has no tokens: zeros and ''; such texts add nothing to the counts. Repeated rows count as often as they stand; null ids are kept; a text without a cut is one segment and is
@@ -20,6 +21,7 @@ import os
 import re
 import sys
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ from pyspark.sql import Window
 from .common import join_by_key, save, slices, text_or_empty
 
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Code points of a block; segments aligned at once.
-BLOCK_CHARS, BATCH = 8_000_000, 10_000
+#: Code points of a block; segments of a batch; id pairs that a task holds at most (17 bytes each).
+BLOCK_CHARS, BATCH, PAIRS = 24_000_000, 10_000, 2_000_000
 SPACE = "▁"
 _loaded: dict = {}
 
@@ -127,11 +129,26 @@ def align(pair: Pair, segments: list[str]) -> tuple[dict[str, np.ndarray], list[
     return counts, [links, a[linked_a], b[linked_b]], [";".join(groups[p:q]) for p, q in zip(begins.tolist(), ends.tolist(), strict=True)]
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Whole numbers, deflated; the bytes of a number lie apart, since most of the high ones are 0."""
+    return zlib.compress(b"".join(np.ascontiguousarray(c, dtype=f"<i{c.dtype.itemsize}").view(np.uint8).reshape(-1, c.dtype.itemsize).T.tobytes() for c in columns), 1)
+
+
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    n, at, out = len(raw) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for k in kinds:
+        size = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(k)[:, 0])
+        at += n * size
+    return out
+
+
 def segment(docs: DataFrame, paths: tuple[str, str], block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """By blocks of texts: rows with `place` are the block's distinct segments (key, how often they occur, text), the others its documents (numbers of
-    their segments in order; null without tokens)."""
-    fields = ["block", "place", "key", "n", "text", "doc_id", "parts"]
-    types = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    """By blocks of texts: rows with `place` are the block's distinct segments (how often they occur, text), the others its documents (numbers of their
+    segments in order; null without tokens)."""
+    fields = ["block", "place", "n", "text", "doc_id", "parts"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
 
     def rows(count: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[f], t) if f in columns else pa.nulls(count, t) for f, t in zip(fields, types, strict=True)], fields)
@@ -139,20 +156,16 @@ def segment(docs: DataFrame, paths: tuple[str, str], block_chars: int = BLOCK_CH
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tokenizers(*paths)
         numbers: dict[str, int] = {}
-        seen, chars, k = np.zeros(0, np.int64), 0, 0
-
-        def name() -> str:
-            return f"{TaskContext.get().partitionId()}-{k}"
+        seen, chars, k = np.zeros(0, np.int32), 0, TaskContext.get().partitionId() << 32
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal seen, chars, k
-            texts, here = list(numbers), name()
+            texts = list(numbers)
             for at in range(0, len(texts), BATCH):
                 some = texts[at : at + BATCH]
-                keys = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in some]
-                yield rows(len(some), block=[here] * len(some), place=range(at, at + len(some)), key=keys, n=seen[at : at + len(some)], text=some)
+                yield rows(len(some), block=[k] * len(some), place=range(at, at + len(some)), n=seen[at : at + len(some)], text=some)
             numbers.clear()
-            seen, chars, k = np.zeros(0, np.int64), 0, k + 1
+            seen, chars, k = np.zeros(0, np.int32), 0, k + 1
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -161,92 +174,135 @@ def segment(docs: DataFrame, paths: tuple[str, str], block_chars: int = BLOCK_CH
                     if not pair.spells(text):
                         kept.append(None)
                         continue
-                    cut = pair.cuts.split(text)
-                    at = np.fromiter((numbers.setdefault(s, len(numbers)) for s in cut), np.int32, len(cut))
+                    segments = pair.cuts.split(text)
+                    at = np.fromiter((numbers.setdefault(s, len(numbers)) for s in segments), np.int32, len(segments))
                     if len(numbers) > len(seen):
-                        seen = np.concatenate([seen, np.zeros(2 * len(numbers), np.int64)])
+                        seen = np.concatenate([seen, np.zeros(2 * len(numbers), np.int32)])
                     np.add.at(seen, at, 1)
-                    kept.append(at.tobytes())
+                    kept.append(packed(at))
                     chars += len(text)
-                yield rows(len(kept), block=[name()] * len(kept), doc_id=part.column("doc_id"), parts=kept)
+                yield rows(len(kept), block=[k] * len(kept), doc_id=part.column("doc_id"), parts=kept)
                 if chars > block_chars:
                     yield from close()
         yield from close()
 
-    schema = "block string, place int, key binary, n long, text string, doc_id long, parts binary"
+    schema = "block long, place int, n int, text string, doc_id long, parts binary"
     return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema), "segments")
 
 
 def aligned(segments: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """Each distinct segment of the corpus: key, n (occurrences), counts, linked ids (a, b), groups."""
+    """Each distinct segment of the corpus: id, n (occurrences), counts, linked ids (a, b), groups, and where it stands (blocks, places). A
+    segment whose rows are spread over two batches gives two rows, which changes no sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = tokenizers(*paths)
+        pair, number = tokenizers(*paths), TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, "text"):
-                counts, (links, a, b), groups = align(pair, part.column("text").to_pylist())
+                texts = part.column("text").to_pylist()
+                starts = [k for k in range(len(texts)) if not k or texts[k] != texts[k - 1]]
+                counts, (links, a, b), groups = align(pair, [texts[k] for k in starts])
+                n = np.add.reduceat(part.column("n").to_numpy().astype(np.int64), starts)
                 lists = [pa.ListArray.from_arrays(pa.array(links, pa.int32()), pa.array(x, pa.int32())) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("n"), *(pa.array(x, pa.int64()) for x in counts.values()), *lists, pa.array(groups)], ["key", "n", *counts, "a", "b", "groups"])
+                ends = pa.array([*starts, len(texts)], pa.int32())
+                where = [pa.ListArray.from_arrays(ends, part.column(c)) for c in ("block", "place")]
+                ids = pa.array(np.arange(number, number + len(starts)))
+                number += len(starts)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), *(pa.array(x, pa.int32()) for x in counts.values()), *lists, pa.array(groups), *where], ["id", "n", *counts, "a", "b", "groups", "blocks", "places"])
 
-    distinct = segments.where("place IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"), F.first("text").alias("text"))
-    return save(distinct.mapInArrow(run, "key binary, n long, n_a long, n_b long, n_groups long, n_links long, a array<int>, b array<int>, groups string"), "aligned")
+    rows = segments.where("place IS NOT NULL").select("text", "n", "block", "place").repartition("text").sortWithinPartitions("text")
+    return save(rows.mapInArrow(run, "id long, n long, n_a int, n_b int, n_groups int, n_links int, a array<int>, b array<int>, groups string, blocks array<long>, places array<int>"), "aligned")
 
 
 def pair_counts(distinct: DataFrame) -> DataFrame:
-    """pair (a * 2**32 + b), a, b, count (links of the corpus), best (whether no other pair of b has more), rows (segments' links)."""
+    """pair (a * 2**32 + b), count (links of the corpus), best (whether no other pair of b has more), rows (segments' links)."""
     linked = distinct.select("n", F.explode(F.arrays_zip("a", "b")).alias("l")).select("n", "l.a", "l.b")
     counts = linked.groupBy("a", "b").agg(F.sum("n").alias("count"), F.count("*").alias("rows"))
     best = F.col("count") == F.max("count").over(Window.partitionBy("b"))  # as many rows as A has ids at most
-    return save(counts.select((F.col("a").cast("long") * 2**32 + F.col("b")).alias("pair"), "a", "b", "count", best.alias("best"), "rows"), "pairs")
+    return save(counts.select((F.col("a").cast("long") * 2**32 + F.col("b")).alias("pair"), "count", best.alias("best"), "rows"), "pairs")
+
+
+def with_sums(distinct: DataFrame, counts: DataFrame, most: int = PAIRS) -> DataFrame:
+    """distinct with n_best and count_sum. Up to `most` id pairs are looked up in each task; more are joined."""
+    if counts.count() > most:
+        links = distinct.select("id", F.explode(F.arrays_zip("a", "b")).alias("l")).select("id", (F.col("l.a").cast("long") * 2**32 + F.col("l.b")).alias("of"))
+        total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
+        met = join_by_key(links, counts, "of", "pair", "rows", total)
+        sums = met.groupBy("id").agg(F.count_if("best").cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
+        return distinct.drop("a", "b").join(sums, "id")
+    table = counts.select("pair", "count", "best").orderBy("pair").toArrow()
+    known = counts.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("pair", "count", "best")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, count, best = known.value
+        for batch in batches:
+            a, b = batch.column("a"), batch.column("b")
+            at = np.searchsorted(pairs, (a.flatten().to_numpy().astype(np.int64) << 32) + b.flatten().to_numpy())
+            starts = a.offsets.to_numpy()[:-1] - a.offsets[0].as_py()  # a segment has a link at least
+            sums = [pa.array(np.add.reduceat(x[at].astype(np.int64), starts), t) if batch.num_rows else pa.array([], t) for x, t in ((best, pa.int32()), (count, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *sums], [*kept, "n_best", "count_sum"])
+
+    kept = ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "blocks", "places"]
+    return distinct.select(*kept, "a", "b").mapInArrow(run, "id long, n_a int, n_b int, n_groups int, n_links int, groups string, blocks array<long>, places array<int>, n_best int, count_sum long")
+
+
+NUMBERS = {"n_a": "i4", "n_b": "i4", "n_groups": "i4", "n_links": "i4", "n_best": "i4", "count_sum": "i8"}
 
 
-def align_documents(docs: DataFrame, paths: tuple[str, str] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def back(distinct: DataFrame) -> DataFrame:
+    """The segments of each block, many in a row: block, kind 0, numbers, groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, places = batch.column("blocks"), batch.column("places")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(blocks.offsets.to_numpy()))
+            block, place = blocks.flatten().to_numpy(), places.flatten().to_numpy()
+            order = np.argsort(block, kind="stable")
+            row, block, place = row[order], block[order], place[order]
+            values, groups = [batch.column(c).to_numpy() for c in NUMBERS], batch.column("groups").to_pylist()
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            numbers, texts = [], []
+            for at, own in zip(np.split(place, starts[1:]), np.split(row, starts[1:]), strict=True):
+                numbers.append(packed(at, *(v[own] for v in values)))
+                texts.append(zlib.compress("\n".join([groups[k] for k in own.tolist()]).encode(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array([0] * len(starts), pa.int32()), pa.array(numbers, pa.binary()), pa.array(texts, pa.binary())], ["block", "kind", "data", "groups"])
+
+    return distinct.select(*NUMBERS, "groups", "blocks", "places").mapInArrow(run, "block long, kind int, data binary, groups binary")
+
+
+def align_documents(docs: DataFrame, paths: tuple[str, str] | None = None, block_chars: int = BLOCK_CHARS, pairs: int = PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
     paths = paths or default_paths()
     segments = segment(docs, paths, block_chars)
     distinct = aligned(segments, paths)
-    counts = pair_counts(distinct)
-    links = distinct.select("key", F.explode(F.arrays_zip("a", "b")).alias("l")).select("key", (F.col("l.a").cast("long") * 2**32 + F.col("l.b")).alias("of"))
-    total = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
-    met = join_by_key(links, counts.select("pair", "count", "best", "rows"), "of", "pair", "rows", total)
-    sums = met.groupBy("key").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    own = segments.where("place IS NOT NULL").select("block", "place", "key")
-    back = own.join(distinct.select("key", *numbers[:4], "groups"), "key").join(sums, "key").select("block", "place", *numbers, "groups", *(F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("parts", "binary"))))
-    texts = segments.where("place IS NULL").select("block", "place", *(F.lit(None).cast("long").alias(c) for c in numbers), F.lit(None).cast("string").alias("groups"), "doc_id", "parts")
+    known = back(with_sums(distinct, pair_counts(distinct), pairs)).withColumn("doc_id", F.lit(None).cast("long"))
+    texts = segments.where("place IS NULL").select("block", F.lit(1).alias("kind"), F.col("parts").alias("data"), F.lit(None).cast("binary").alias("groups"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, place, values, groups, table, text = None, [], [], [], None, None
+        at, found, table, text = None, [], None, []
         for batch in batches:
-            names = batch.column("block").to_pylist()
-            starts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
-            for low, high in zip(starts, starts[1:], strict=False):
-                if low == high:
+            ids, out, digests = [], [], []
+            for k in range(batch.num_rows):
+                block, kind, data, groups = (batch.column(c)[k].as_py() for c in range(4))
+                if block != at:
+                    at, found, table, text = block, [], None, []
+                if kind == 0:  # a block's segments come first
+                    found.append(unpacked(data, "<i4", *(f"<{t}" for t in NUMBERS.values())))
+                    text += zlib.decompress(groups).decode().split("\n")
+                    continue
+                ids.append(batch.column("doc_id")[k].as_py())
+                if data is None:
+                    out.append(np.zeros(len(NUMBERS), np.int64))
+                    digests.append("")
                     continue
-                if names[low] != block:
-                    block, place, values, groups, table = names[low], [], [], [], None
-                part = batch.slice(low, high - low)
-                heads = len(part) - part.column("place").null_count
-                if heads:  # a block's segments come first
-                    some = part.slice(0, heads)
-                    place.append(some.column("place").to_numpy())
-                    values.append(np.stack([some.column(c).to_numpy() for c in numbers], axis=1))
-                    groups += some.column("groups").to_pylist()
-                for piece in slices(part.slice(heads), "parts"):
-                    if table is None and place:
-                        order = np.argsort(np.concatenate(place))
-                        table, text = np.concatenate(values)[order], [groups[k] for k in order]
-                    sums_, digests = [], []
-                    for parts in piece.column("parts").to_pylist():
-                        if parts is None:
-                            sums_.append(np.zeros(6, np.int64))
-                            digests.append("")
-                            continue
-                        at = np.frombuffer(parts, np.int32)
-                        sums_.append(table[at].sum(axis=0))
-                        digests.append(hashlib.sha256(";".join(map(text.__getitem__, at.tolist())).encode()).hexdigest())
-                    totals = np.array(sums_, np.int64).reshape(-1, 6)
-                    yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(totals[:, k]) for k in range(6)), pa.array(digests, pa.string())], ["doc_id", *numbers, "groups_sha256"])
-
-    both = back.unionByName(texts).repartition("block").sortWithinPartitions("block", F.asc_nulls_last("place"))
+                if table is None:
+                    order = np.argsort(np.concatenate([x[0] for x in found]))
+                    table = np.concatenate([np.stack([c.astype(np.int64) for c in x[1:]], axis=1) for x in found])[order]
+                    text = [text[j] for j in order.tolist()]
+                parts = unpacked(data, "<i4")[0]
+                out.append(table[parts].sum(axis=0))
+                digests.append(hashlib.sha256(";".join(map(text.__getitem__, parts.tolist())).encode()).hexdigest())
+            values = np.array(out, np.int64).reshape(-1, len(NUMBERS))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(values[:, j]) for j in range(len(NUMBERS))), pa.array(digests, pa.string())], ["doc_id", *NUMBERS, "groups_sha256"])
+
+    both = known.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind")
     return both.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
