@@ -1,14 +1,14 @@
 """Ranked lexical search over a bit-sliced impact index.
 
-Documents are dealt into blocks where they are read. A block's postings of a term become one row of the index: the places of its documents in the block,
-and the term's impacts in them (its weight times the document's share, a whole number) as bit slices, one bitmap for each bit. A search
-joins the index with the items' terms and deals both out by block and chunk of items; a task adds the slices of an item's terms into the item's sum
-by carry arithmetic on whole words, for all documents of the block at once, and finds the best K from the most significant slice down.
+Documents are dealt into blocks where they are read, and indexed there. A block's postings of a term are one row of the index: the places of its documents in the
+block, and their shares (the document's part of an impact, a whole number) as bit slices, one bitmap for each bit. A term's weight comes from all documents, so a
+search counts it and multiplies the shares by it; then it deals the rows of the items' terms out by block and chunk of items, and a task adds
+their slices into the items' sums by carry arithmetic on whole words, for all documents of the block at once, and finds the best K from the most significant slice down.
 What a task holds is one term's row and CHUNK sums; the items themselves are never in one place, and a block gives at most K rows for each item.
 
 Terms are the maximal runs of characters that are neither ASCII white space, control nor punctuation; only A-Z are lower-cased. With N documents
 that have terms, L terms in all, n terms of a document, df documents of a term and tf of it in one: m = 25 + (75 n N) div L,
-impact = floor(1000 ln((2 N + 2) / (2 df + 1))) * ((10**9 tf) div (1000 tf + 8 m)). A score is the sum over an item's terms, repeats included.
+share = (10**9 tf) div (1000 tf + 8 m), weight = floor(1000 ln((2 N + 2) / (2 df + 1))). A score is the sum of weight * share over an item's terms, repeats included.
 
 Defined results: a null or empty text has no terms, so it is never found and, as an item, finds nothing; ties go by ascending doc_id, nulls
 last, then by place; repeated rows are documents of their own; items that repeat id and text are one, those that share an id alone are ranked apart; very long texts are read whole; an empty table
@@ -32,39 +32,67 @@ from .common import save, slices, text_or_empty
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Documents of a block at most, and code points after which it is closed; items of a chunk; results of an item.
-BLOCK, BLOCK_CHARS, CHUNK, K = 65_536, 24_000_000, 32, 10
-POSTINGS = "block string, term string, docs binary, tf binary, n binary, filled long, total long"
+#: Documents of a block at most, and code points after which it is closed; items of a chunk; results of an item; bits of a share, which is below 10**6.
+BLOCK, BLOCK_CHARS, CHUNK, K, BITS = 65_536, 24_000_000, 32, 10, 20
+INDEX = "block string, term string, df long, docs binary, slices binary"
 
 
-def postings(docs: DataFrame, block: int = BLOCK, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each block and term: places of documents in the block (2 bytes each), occurrences and lengths (8 bytes each). A row without a term has the block's
-    doc_ids (8 bytes each) and a mask of nulls, how many documents of it have terms, and how many terms those have."""
+def shares(tf: np.ndarray, n: np.ndarray, filled: int, total: int) -> np.ndarray:
+    """A document's share for a term that it holds tf times among its n terms."""
+    m = 25 + 75 * n * filled // max(1, total)
+    return 1_000_000_000 * tf // (1000 * tf + 8 * m)
+
+
+def cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """An array of bytes: values in pieces that end at the given places."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32) * values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def sliced(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Bit slices of the numbers of each piece: a row of BITS bytes for every eight numbers, in which byte k has bit k of the eight."""
+    sizes = np.diff(ends, prepend=0)
+    bytes_ = -(-sizes // 8)
+    last = np.cumsum(bytes_)
+    wide = np.zeros(8 * int(bytes_.sum()), np.int64)
+    wide[np.arange(len(values)) + np.repeat(8 * (last - bytes_) - (ends - sizes), sizes)] = values
+    planes = np.stack([np.packbits((wide >> k & 1).astype(np.uint8)) for k in range(BITS)], axis=1)
+    return cut(planes, last)
+
+
+def totals(docs: DataFrame) -> tuple[int, int]:
+    """N, the documents that have terms, and L, their terms."""
+    n = docs.select(F.regexp_count(text_or_empty(), F.lit(TERM)).cast("long").alias("n")).where("n > 0")
+    found = n.agg(F.count("*").alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
+    return found["N"], found["L"]
+
+
+def build(docs: DataFrame, block: int = BLOCK, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, int]:
+    """The index, as a table, and N. A row for each block and term: how many documents of the block hold it, their places in the block
+    (2 bytes each) and the bit slices of their shares. A row without a term has the block's doc_ids (8 bytes each) and a mask of nulls."""
+    filled, total = totals(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, fold = re.compile(TERM).findall, str.maketrans(UPPER, LOWER)
-        fields = ["block", "term", "docs", "tf", "n", "filled", "total"]
         numbers: dict[str, int] = {}
         terms, tfs, sizes, ids, nulls, chars, k = [], [], [], [], [], 0, 0
+        fields = ["block", "term", "df", "docs", "slices"]
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal chars, k
             name = f"{TaskContext.get().partitionId()}-{k}"
-            n = np.array(sizes, "<i8")
-            per = np.array([len(x) for x in terms])
-            doc = np.repeat(np.arange(len(terms)), per)
+            n = np.array(sizes, np.int64)
+            doc = np.repeat(np.arange(len(terms)), [len(x) for x in terms])
             term = np.concatenate([*terms, np.zeros(0, np.int64)])
             order = np.argsort(term, kind="stable")
-            term, doc, tf = term[order], doc[order].astype("<u2"), np.concatenate([*tfs, np.zeros(0, "<i8")])[order]
-            starts = np.flatnonzero(np.diff(term, prepend=-1))
-            names = list(numbers)
-            for at in range(0, len(starts), 20_000):
-                some = list(zip(starts[at : at + 20_000].tolist(), [*starts[at + 1 : at + 20_001].tolist(), len(term)], strict=False))
-                cut = lambda x: pa.array([x[a:b].tobytes() for a, b in some], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array([names[term[a]] for a, _ in some]), cut(doc), cut(tf), cut(n[doc]), *[pa.nulls(len(some), pa.int64())] * 2], fields)
+            term, doc, tf = term[order], doc[order], np.concatenate([*tfs, np.zeros(0, np.int64)])[order]
+            share, ends, names = shares(tf, n[doc], filled, total), np.cumsum(np.bincount(term, minlength=len(numbers))), list(numbers)
+            for at in range(0, len(names), 20_000):  # terms are numbered from 0, so the k-th piece is that of the k-th name
+                some = ends[at : at + 20_000]
+                low, high = ends[at - 1] if at else 0, some[-1]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(names[at : at + 20_000]), pa.array(np.diff(some, prepend=low)), cut(doc[low:high].astype("<u2"), some - low), sliced(share[low:high], some - low)], fields)
             own = [pa.array([x.tobytes()], pa.binary()) for x in (np.array(ids, "<i8"), np.array(nulls, "u1"))]
-            sums = [pa.array([int(x)], pa.int64()) for x in (np.count_nonzero(n), n.sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([None], pa.string()), *own, pa.array([None], pa.binary()), *sums], fields)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([None], pa.string()), pa.array([0], pa.int64()), *own], fields)
             for x in (numbers, terms, tfs, sizes, ids, nulls):
                 x.clear()
             chars, k = 0, k + 1
@@ -72,9 +100,9 @@ def postings(docs: DataFrame, block: int = BLOCK, block_chars: int = BLOCK_CHARS
         for batch in batches:
             for part in slices(batch, "text"):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    found = Counter(find(text.translate(fold) if not text.isascii() else text.lower()))
+                    found = Counter(find(text.lower() if text.isascii() else text.translate(fold)))
                     terms.append(np.fromiter((numbers.setdefault(t, len(numbers)) for t in found), np.int64, len(found)))
-                    tfs.append(np.fromiter(found.values(), "<i8", len(found)))
+                    tfs.append(np.fromiter(found.values(), np.int64, len(found)))
                     sizes.append(found.total())
                     ids.append(doc_id or 0)
                     nulls.append(doc_id is None)
@@ -84,36 +112,7 @@ def postings(docs: DataFrame, block: int = BLOCK, block_chars: int = BLOCK_CHARS
         if ids:
             yield from close()
 
-    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, POSTINGS), "postings")
-
-
-def sliced(values: np.ndarray) -> bytes:
-    """Whole numbers as bit slices over their places: a bitmap for each bit, the least significant first."""
-    bits = max(1, int(values.max()).bit_length())
-    return np.packbits((values[None, :] >> np.arange(bits)[:, None] & 1).astype(np.uint8), axis=1).tobytes()
-
-
-def build(docs: DataFrame, **sizes) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The index (block, term, docs, slices), the blocks' documents (block, ids, nulls) and df by term (term, df), as tables."""
-    rows = postings(docs, **sizes)
-    blocks = rows.where("term IS NULL").select("block", F.col("docs").alias("ids"), F.col("tf").alias("nulls"), "filled", "total")
-    totals = blocks.agg(F.coalesce(F.sum("filled"), F.lit(0)).alias("N"), F.coalesce(F.sum("total"), F.lit(0)).alias("L")).first()
-    rows = rows.where("term IS NOT NULL")
-    df = save(rows.groupBy("term").agg(F.sum(F.length("docs") / 2).cast("long").alias("df")), "df")
-    big_n, big_l = totals["N"], max(1, totals["L"])
-    weight = F.floor(1000 * F.log((2 * F.lit(big_n) + 2).cast("double") / (2 * F.col("df") + 1))).cast("long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for tf, n, w in zip(batch.column("tf").to_pylist(), batch.column("n").to_pylist(), batch.column("weight").to_pylist(), strict=True):
-                tf, n = np.frombuffer(tf, "<i8"), np.frombuffer(n, "<i8")
-                m = 25 + 75 * n * big_n // big_l
-                out.append(sliced(w * (1_000_000_000 * tf // (1000 * tf + 8 * m))))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("term"), batch.column("docs"), pa.array(out, pa.binary())], ["block", "term", "docs", "slices"])
-
-    index = rows.join(df, "term").select("block", "term", "docs", "tf", "n", weight.alias("weight")).where("weight > 0")
-    return save(index.mapInArrow(run, "block string, term string, docs binary, slices binary"), "impacts"), save(blocks.select("block", "ids", "nulls"), "blocks"), df
+    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, INDEX), "impacts"), filled
 
 
 def added(total: np.ndarray, words: np.ndarray, addend: np.ndarray) -> None:
@@ -150,30 +149,39 @@ def best(total: np.ndarray, k: int, doc_ids: np.ndarray, nulls: np.ndarray) -> l
     return list(zip(found.tolist(), scores.tolist(), strict=True))
 
 
-def expanded(docs: bytes, planes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A term's slices over its documents as slices over the words of the block's bitmaps that they lie in."""
+def expanded(docs: bytes, slices_: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A term's places, the words of the block's bitmaps that they lie in, and its shares as whole numbers."""
     places = np.frombuffer(docs, "<u2").astype(np.int64)
-    bits = np.unpackbits(np.frombuffer(planes, np.uint8).reshape(-1, -(-len(places) // 8)), axis=1)[:, : len(places)]
-    words, at = np.unique(places >> 6, return_inverse=True)
-    wide = np.zeros((len(bits), len(words) * 64), np.uint8)
-    wide[:, at * 64 + (places & 63)] = bits
-    return words, np.packbits(wide, axis=1, bitorder="little").view(np.uint64)
+    bits = np.unpackbits(np.frombuffer(slices_, np.uint8).reshape(-1, BITS).T, axis=1)[:, : len(places)]
+    return places, np.unique(places >> 6), (bits.astype(np.int64) << np.arange(BITS)[:, None]).sum(axis=0)
+
+
+def weighted(places: np.ndarray, words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Numbers at places as bit slices over words."""
+    wide = np.zeros(len(words) * 64, np.int64)
+    wide[np.searchsorted(words, places >> 6) * 64 + (places & 63)] = values
+    bits = wide >> np.arange(int(values.max()).bit_length())[:, None] & 1
+    return np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
 
 
-def search(index: DataFrame, blocks: DataFrame, df: DataFrame, items: DataFrame, k: int = K, chunk: int = CHUNK) -> DataFrame:
+def search(index: DataFrame, filled: int, items: DataFrame, k: int = K, chunk: int = CHUNK) -> DataFrame:
     """item_id, rank, doc_id, score of each item's k best documents."""
     text = F.translate(text_or_empty(), UPPER, LOWER)
     own = items.select(F.col("item_id").alias("item_id"), F.sha2(text_or_empty(), 256).alias("key"), text.alias("text")).distinct()
     found = own.select("item_id", "key", F.explode(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("term"))
-    uses = found.groupBy("item_id", "key", "term").agg(F.count("*").alias("times"))
-    n = own.count()
+    found = save(found.groupBy("item_id", "key", "term").agg(F.count("*").alias("times")), "items")
+    df = index.select("term", "df").join(found.select("term").distinct(), "term").groupBy("term").agg(F.sum("df").alias("df"))
+    weight = F.floor(1000 * F.log((2 * F.lit(filled) + 2).cast("double") / (2 * F.col("df") + 1))).cast("long")
     # Chunks of about `chunk` items by hash, so none of them needs a number.
-    of = F.pmod(F.xxhash64("item_id", "key"), F.lit(max(1, n // chunk)))
-    uses = save(uses.select("term", of.alias("chunk"), F.struct("item_id", "key", "times").alias("use")).groupBy("term", "chunk").agg(F.collect_list("use").alias("uses")), "uses")
-    met = index.join(uses, "term").select("block", "chunk", F.lit(1).alias("kind"), "docs", F.col("slices"), "uses")
-    heads = met.select("block", "chunk").distinct().join(blocks, "block")
+    chunks = max(1, own.count() // chunk)
+    of = F.pmod(F.xxhash64("item_id", "key"), F.lit(chunks))
+    uses = found.join(df, "term").select("term", of.alias("chunk"), F.struct("item_id", "key", (F.col("times") * weight).alias("weight")).alias("use")).where("use.weight > 0")
+    uses = save(uses.groupBy("term", "chunk").agg(F.collect_list("use").alias("uses")), "uses")
+    met = index.where("term IS NOT NULL").join(uses, "term").select("block", "chunk", F.lit(1).alias("kind"), "docs", "slices", "uses")
+    # Each block meets each chunk of items.
+    heads = index.where("term IS NULL").withColumn("chunk", F.explode(F.expr(f"sequence(0L, {chunks - 1}L)")))
     none = F.lit(None).cast(met.schema["uses"].dataType)
-    heads = heads.select("block", "chunk", F.lit(0).alias("kind"), F.col("ids").alias("docs"), F.col("nulls").alias("slices"), none.alias("uses"))
+    heads = heads.select("block", "chunk", F.lit(0).alias("kind"), "docs", "slices", none.alias("uses"))
     kind = items.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,12 +205,15 @@ def search(index: DataFrame, blocks: DataFrame, df: DataFrame, items: DataFrame,
                 if head == 0:
                     ids, nulls = np.frombuffer(docs, "<i8"), np.frombuffer(planes, "u1")
                     continue
-                words, addend = expanded(docs, planes)
+                places, words, share = expanded(docs, planes)
+                made_for: dict[int, np.ndarray] = {}
                 for use in used:
-                    total = sums.setdefault((use["item_id"], use["key"]), np.zeros((63, -(-len(ids) // 64)), np.uint64))
-                    for shift in range(use["times"].bit_length()):  # repeats: the slices shifted by the bits of their number
-                        if use["times"] >> shift & 1:
-                            added(total, words, np.concatenate([np.zeros((shift, addend.shape[1]), np.uint64), addend]) if shift else addend)
+                    if (w := use["weight"]) not in made_for:
+                        made_for[w] = weighted(places, words, w * share)
+                    key = (use["item_id"], use["key"])
+                    if key not in sums:
+                        sums[key] = np.zeros((63, -(-len(ids) // 64)), np.uint64)
+                    added(sums[key], words, made_for[w])
             if len(out) > 5_000:
                 yield made()
                 out.clear()
