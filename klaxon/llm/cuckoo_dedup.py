@@ -5,7 +5,7 @@ task reads its filter, its stored keys and the digests that arrive (folded by di
 row from each task). A digest that the filter doesn't hold is new: its fingerprint goes into the filter and its key into the store. A hit is verified
 against the stored keys of its bucket, which are kept in the order of their buckets, so a false hit costs a look and never a row.
 When no place is found for a fingerprint, the filter is made twice as large from the stored keys. The number of shards follows the number of
-live digests, so a task holds about PER_SHARD keys of 73 bytes whatever the size of the index. A version of the index is whole once its
+live digests, so a task holds about PER_SHARD keys of 65 bytes whatever the size of the index. A version of the index is whole once its
 row is in the table of versions; a job that dies before leaves the version before it.
 
 Defined results: a null text counts as empty, and empty texts are equal to one another and to texts of white space alone; the row with the most code points in the
@@ -26,7 +26,7 @@ from pyspark.sql.utils import AnalysisException
 from .common import join_by_key, save, scratch_path, text_or_empty
 
 #: Fingerprints of a bucket; rounds of moves before the filter is made larger; live digests of a shard; rows folded at once.
-SLOTS, ROUNDS, PER_SHARD, FOLD = 4, 200, 200_000, 100_000
+SLOTS, ROUNDS, PER_SHARD, FOLD = 4, 200, 50_000, 50_000
 #: A digest in four words, the rows that have it, and the row of it that stays.
 ENTRY = np.dtype([("w0", "<u8"), ("w1", "<u8"), ("w2", "<u8"), ("w3", "<u8"), ("n", "<i8"), ("chars", "<i8"), ("null", "u1"), ("id", "<i8"), ("place", "<i8")])
 WORDS = ("w0", "w1", "w2", "w3")
@@ -107,12 +107,15 @@ class Shard:
     def __init__(self, stored: np.ndarray, filter_: CuckooFilter | None = None):
         self.stored, self.filter = stored[np.argsort(stored["w0"], kind="stable")], filter_
         if filter_ is None:
-            self.resize(max(4, int(np.ceil(np.log2(max(1, len(stored)) / (0.85 * SLOTS))))))
+            self.resize(4)
 
     def resize(self, bits: int) -> None:
+        """A filter of at least so many bits, made from the stored keys, of which it can hold 0.9 of its places."""
+        bits = max(bits, int(np.ceil(np.log2(max(1, len(self.stored)) / (0.9 * SLOTS)))))
         self.filter = CuckooFilter(bits)
         while not self.filter.insert(self.stored["w0"]):
-            self.filter = CuckooFilter(self.filter.bits + 1)
+            bits += 1
+            self.filter = CuckooFilter(bits)
 
     def find(self, e: np.ndarray) -> np.ndarray:
         """Places of e's digests among the stored keys; -1 of those that aren't there."""
@@ -142,7 +145,8 @@ class Shard:
         kept["n"] = old["n"] + new["n"]
         self.stored[at[known]] = kept
         self.stored = np.insert(self.stored, np.searchsorted(self.stored["w0"], fresh["w0"]), fresh)
-        if not self.filter.insert(fresh["w0"]):
+        # Overflow: more keys than places, or no place found in ROUNDS moves.
+        if len(self.stored) > self.filter.table.size or not self.filter.insert(fresh["w0"]):
             self.resize(self.filter.bits + 1)
 
     def delete(self, e: np.ndarray) -> None:
