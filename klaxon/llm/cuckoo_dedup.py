@@ -133,6 +133,7 @@ class Shard:
         return at
 
     def insert(self, e: np.ndarray) -> None:
+        """Of folded entries."""
         at = self.find(e)
         known, fresh = at >= 0, e[at < 0]
         old, new = self.stored[at[known]], e[known]
