@@ -468,6 +468,18 @@ def csv_log(spark, sf_dir):
     return AlarmLog.read(spark, folder).transitions.select("ts", "tag", "transition", "message", "level", "priority", "zone")
 
 
+_EPISODES_OF_LOG = _EP.replace("FROM al WINDOW", "FROM (SELECT * FROM log WHERE ts IS NOT NULL AND transition <> '?') WINDOW")
+
+
+@query(f"WITH {_RAW}, {_EPISODES_OF_LOG} SELECT tag, level, priority, zone, start_ts, end_ts, duration_min, implicit, standing FROM ep")
+def csv_episodes(spark, sf_dir):
+    """Episodes of a log of several files: the order of rows of one minute is that of the files' names and of the places in them."""
+    folder, made = scratch_folder(spark), raw_log(spark, sf_dir)
+    columns = [(F.col(c) if c in made.columns else F.lit("")).alias(c) for c in log_source.COLUMNS]
+    made.repartitionByRange(6, "seq").sortWithinPartitions("seq").select(*columns).write.csv(folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return AlarmLog.read(spark, folder).episodes.select("tag", "level", "priority", "zone", "start_ts", "end_ts", "duration_min", "implicit", "standing")
+
+
 @query(f"WITH {_RAW} SELECT count(*) FILTER (ts IS NULL OR (ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-09' AND transition = '?')) AS rejected FROM log")
 def rejected_in_a_window(spark, sf_dir):
     return AlarmLog(raw_log(spark, sf_dir), start="2024-01-05 00:00:00", end="2024-01-09 00:00:00").rejected()

@@ -9,24 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.alarms import classify_type, map_priority, strip, zone_of
 from ..operators.prepare import alarm_events, episodes
+from .csv_scan import read_records
 
 COLUMNS = "DateTime ProcessID AssetID AlarmSeverityName State TransactionMessage Stage AlarmClassName Year Month Day DayOfWeek Season Hour ProcessedMessage".split()
 NULLS = ["", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "n/a", "#N/A", "<NA>"]
 KNOWN = ["N2A", "A2A", "A2N"]
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8, unless a line isn't valid in it; then Latin-1. Lines keep their bytes in Spark. Looks at lines until the first such one."""
-    bad = spark.read.text(path).where(~F.is_valid_utf8("value"))
-    return "ISO-8859-1" if not bad.isEmpty() else "UTF-8"
-
-
-def read_raw(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True) -> DataFrame:
-    """All columns as strings, with `seq`: the rows' order in the file. Quoted fields may hold doubled quotes and line ends; as a line
-    end may be part of a field, a file is one task's work, so give a large log as several files, or set multi_line off if no field
-    has line ends."""
-    raw = spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in COLUMNS), encoding=encoding or encoding_of(spark, path), enforceSchema=False, escape='"', multiLine=multi_line)
-    return raw.withColumn("seq", F.monotonically_increasing_id())
+def read_raw(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
+    """All columns as strings, with `seq`: the rows' order, by file name and place in the file. Quoted fields may hold doubled quotes and line
+    ends, and a large file is still read by many tasks."""
+    return read_records(spark, path, COLUMNS, encoding)
 
 
 def typed(raw: DataFrame, pattern: str = "d-M-yyyy H:mm") -> DataFrame:
@@ -56,7 +49,7 @@ class AlarmLog:
         self.transitions = self.all.where(self.inside & F.col("transition").isin(KNOWN))
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, **kw) -> AlarmLog:
+    def read(cls, spark: SparkSession, path: str | list[str], **kw) -> AlarmLog:
         return cls(read_raw(spark, path), **kw)
 
     def rejected(self) -> DataFrame:

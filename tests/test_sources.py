@@ -1,6 +1,9 @@
 """The CSV log, the store, the service over them, and the synthetic plant."""
 
+import csv
+import io
 import json
+import random
 
 import pytest
 
@@ -8,7 +11,7 @@ from klaxon import schema
 from klaxon.operators import rootcause
 from klaxon.plans import report
 from klaxon.plans.service import Service
-from klaxon.sources import alarm_log
+from klaxon.sources import alarm_log, csv_scan
 from klaxon.sources.base import Historian
 from klaxon.sources.store import ParquetStore
 from klaxon.sources.synthetic import SyntheticPlant
@@ -52,6 +55,82 @@ def test_log_quotes_line_ends_and_white_space(spark, tmp_path):
     assert alarm_log.AlarmLog.read(spark, str(path), end="2024-02-01 10:30:00").rejected().first()["rejected"] == 2
 
 
+@pytest.fixture
+def small_blocks(spark):
+    for k, v in (("maxPartitionBytes", "64"), ("openCostInBytes", "64")):
+        spark.conf.set(f"spark.sql.files.{k}", v)
+    yield
+    for k in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.unset(f"spark.sql.files.{k}")
+
+
+FIELDS = ["", "x", 'say ""hi""', "two\nlines", "a,b", "\n\n", "a\r\nb", 'five "" inch', "long " * 60, "long\nlines\n" * 30, '""', "caf\xe9"]
+
+
+def csv_rows(n, seed=4):
+    r = random.Random(seed)
+    rows = [[r.choice(FIELDS).replace('""', '"') if r.random() < 0.5 else r.choice(["1", 'mid"quote', "plain"]) for _ in range(3)] for _ in range(n)]
+    return [row for row in rows if "".join(row).strip()]
+
+
+def as_csv(rows, end="\n"):
+    quoted = lambda f: '"' + f.replace('"', '""') + '"' if any(c in f for c in ',\r\n') or f.startswith('"') or "hi" in f else f
+    return "".join(",".join(map(quoted, row)) + end for row in [["a", "b", "c"], *rows])
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("small", [True, False])
+def test_csv_scan_against_the_csv_module(spark, tmp_path, request, small, end):
+    """Files of uneven sizes, cut into blocks of 64 bytes: every record, in the order of the files' names."""
+    if small:
+        request.getfixturevalue("small_blocks")
+    want = []
+    for k, n in enumerate([3, 30, 1, 0, 12]):
+        rows = csv_rows(n, k)
+        (tmp_path / f"part{k}.csv").write_bytes(as_csv(rows, end).encode())
+        want += rows
+        assert rows == [x for x in csv.reader(io.StringIO(as_csv(rows, end), newline=""))][1:]
+    raw = csv_scan.read_records(spark, str(tmp_path), ["a", "b", "c"])
+    got = raw.orderBy("seq").collect()
+    assert [[x or "" for x in r[1:]] for r in got] == want and len({r["seq"] for r in got}) == len(want)
+    if small:
+        assert raw.rdd.getNumPartitions() > 20
+
+
+def test_csv_scan_of_odd_files(spark, tmp_path, small_blocks):
+    path = tmp_path / "f.csv"
+    path.write_bytes(b"\xef\xbb\xbfA,b,c\r\n1,2\r\n\r\n  \n" + b'3,"open\n' + b"x" * 200 + b"\nmore")
+    got = csv_scan.read_records(spark, str(path), ["a", "b", "c"]).orderBy("seq").collect()
+    assert [tuple(r)[1:3] for r in got] == [("1", "2"), ("3", "open\n" + "x" * 200 + "\nmore")]
+    path.write_bytes(b"a,b,c\n" + "caf\xe9,1,2\n".encode("latin-1") * 50)
+    assert {r["a"] for r in csv_scan.read_records(spark, str(path), ["a", "b", "c"]).collect()} == {"caf\xe9"}
+    path.write_bytes(b"a,c,b\n1,2,3\n")
+    with pytest.raises(Exception, match="begins with"):
+        csv_scan.read_records(spark, str(path), ["a", "b", "c"]).collect()
+
+
+def test_csv_states_against_every_prefix():
+    r = random.Random(2)
+    for _ in range(500):
+        lines = "".join(r.choice('ab,"\n') for _ in range(30)).split("\n")
+        inside = False
+        for k, line in enumerate(lines):
+            inside = csv_scan.ends_inside(line.encode(), inside)
+            state = [False, True]
+            for x in lines[: k + 1]:
+                state = [csv_scan.ends_inside(x.encode(), s) for s in state]
+            assert state[0] == inside
+
+
+def test_a_clear_in_a_later_file_ends_the_episode(spark, tmp_path):
+    """Same minute; the file of the clear is the larger one, which Spark reads first."""
+    head, line = ",".join(alarm_log.COLUMNS), "01-02-2024 10:00,1,T,x,{},m,,,,,,,,,fan"
+    (tmp_path / "a.csv").write_text("\n".join([head, line.format("N2A")]))
+    (tmp_path / "b.csv").write_text("\n".join([head, line.format("A2N"), *["bad,1,T,x,N2A,m,,,,,,,,,x"] * 500]))
+    found = alarm_log.AlarmLog.read(spark, str(tmp_path)).episodes.collect()
+    assert [(r["implicit"], r["standing"], r["duration_min"]) for r in found] == [(False, False, 0.0)]
+
+
 def test_commands(spark, tmp_path):
     from klaxon.__main__ import main
 
