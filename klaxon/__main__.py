@@ -27,7 +27,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if given.command == "demo":
         return f"{report.ingest_synthetic(spark, store).n} incidents planted"
     if given.command == "report":
-        return report.report(Service(store))
+        return report.report(Service(store), report.truth_of(store))
     report.dump(Service(store), given.file)
     return given.file
 

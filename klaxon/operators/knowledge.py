@@ -127,7 +127,7 @@ def incident_tables(rows: DataFrame, ranked: DataFrame, found: DataFrame, unit:
     """The rows that a newly found set of incidents adds to the tables incidents, incident_alarms and candidates."""
     order = F.row_number().over(Window.partitionBy("incident_id").orderBy("ts", "seq"))
     return {
-        "incidents": found.select("incident_id", F.col("start_ts").alias("started_at"), F.lit(unit).cast("string").alias("unit"), "alarm_count", F.lit("open").alias("status")),
+        "incidents": found.select("incident_id", F.col("start_ts").alias("started_at"), F.col("end_ts").alias("ended_at"), F.lit(unit).cast("string").alias("unit"), "alarm_count", F.lit("open").alias("status")),
         "incident_alarms": rows.select("incident_id", "tag", "description", "priority", F.col("ts").alias("occurred_at"), order.alias("sequence_rank")),
         "candidates": candidates_table(ranked).withColumnRenamed("candidate_tag", "tag"),
     }

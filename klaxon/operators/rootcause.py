@@ -31,6 +31,24 @@ def labelled(alarms: DataFrame, **segment) -> DataFrame:
     return segment_incidents(alarms, **segment).where("incident_id IS NOT NULL")
 
 
+def stable_ids(rows: DataFrame) -> DataFrame:
+    """Labelled alarms with incident_id from the time of the incident's first alarm. Incidents of one stream lie apart in time, so the ids are unique, and
+    earlier or later data, which renumber INC-00000 and on, leave them as they are."""
+    first = rows.groupBy("incident_id").agg(F.min("ts").alias("_first"))
+    named = first.select("incident_id", F.date_format("_first", "'INC-'yyyyMMdd'T'HHmmssSSSSSS").alias("_stable"))
+    return rows.join(named, "incident_id").withColumn("incident_id", F.col("_stable")).drop("_stable")
+
+
+def known_incidents(found: DataFrame, known: DataFrame) -> DataFrame:
+    """incident_id, known_id: incidents of `found` (incident_id, start_ts, end_ts) that share time with one of `known` (incident_id, started_at, ended_at);
+    of several the earliest. Intervals meet by the days that they touch."""
+    days = lambda a, b: F.explode(F.sequence(F.to_date(a), F.to_date(b))).alias("day")
+    new = found.select("incident_id", "start_ts", "end_ts", days("start_ts", "end_ts"))
+    old = known.select(F.col("incident_id").alias("known_id"), "started_at", "ended_at", days("started_at", "ended_at"))
+    met = new.join(old, "day").where((F.col("start_ts") <= F.col("ended_at")) & (F.col("started_at") <= F.col("end_ts")))
+    return met.groupBy("incident_id").agg(F.min_by("known_id", F.struct("started_at", "known_id")).alias("known_id"))
+
+
 def incidents(rows: DataFrame) -> DataFrame:
     """One row for each incident of labelled alarms."""
     worst = F.min_by(F.struct("priority", "zone"), F.struct(-severity(F.col("priority")), "ts", "seq")).alias("worst")

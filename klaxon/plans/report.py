@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import rootcause
 from ..sources.alarm_log import AlarmLog
-from ..sources.store import ParquetStore
+from ..sources.store import ParquetStore, read_truth
 from ..sources.synthetic import SyntheticPlant
 from .service import Service
 
 
 def ingest_log(spark: SparkSession, store: ParquetStore, path: str, **kw) -> int:
-    """Replaces the store's tables by those of a log; returns how many rows were rejected."""
+    """Replaces the store's tables by those of a log, all at once; returns how many rows were rejected."""
     log = AlarmLog.read(spark, path, **kw)
-    store.reset()
-    store.append(log.alarm_events(), "alarms")
-    store.append(log.episodes, "episodes")
-    rejected = log.rejected().first()["rejected"]
-    store.set_meta(source=path, kind="real", rejected=rejected)
+    with store.batch(replaces=True) as batch:
+        batch.append(log.alarm_events(), "alarms")
+        batch.append(log.episodes, "episodes")
+        rejected = log.rejected().first()["rejected"]
+        batch.set_meta(source=path, kind="real", rejected=rejected)
     return rejected
 
 
 def ingest_synthetic(spark: SparkSession, store: ParquetStore, **kw) -> SyntheticPlant:
+    """Replaces the store's tables by those of a synthetic plant, whose causes go to a JSON file beside them."""
     plant = SyntheticPlant(spark, **kw)
-    store.reset()
-    store.append(plant.process_samples(), "process_samples")
-    store.append(plant.alarm_events(), "alarms")
-    store.set_meta(source="synthetic generator", kind="synthetic")
+    with store.batch(replaces=True) as batch:
+        truth = f"{store.folder}/truth/{batch.name}"
+        plant.ground_truth().write.json(truth)
+        batch.append(plant.process_samples(), "process_samples")
+        batch.append(plant.alarm_events(), "alarms")
+        batch.set_meta(source="synthetic generator", kind="synthetic", truth=truth)
     return plant
 
 
-def report(service: Service, truth=None, top: int = 10) -> str:
+def truth_of(store: ParquetStore) -> DataFrame | None:
+    """The known causes of the store's incidents; none of real data."""
+    meta = store.meta()
+    return read_truth(store.spark, meta["truth"], meta.get("kind", "synthetic")) if "truth" in meta else None
+
+
+def report(service: Service, truth: DataFrame | None = None, top: int = 10) -> str:
     """Sections of the analysis as text."""
     parts = [("Bad actors", service.bad_actors(top)), ("Chattering", service.chattering(top)), ("Floods", service.floods().orderBy("window_start").limit(top)), ("Co-occurrence", service.co_occurrence(top)), ("Sequences", service.sequences()), ("Incidents", service.incident_list(top)), ("Root cause", service.root_cause(3).orderBy("incident_id", "rank"))]
     if truth is not None:
@@ -50,6 +57,6 @@ def as_text(df, rows: int, width: int = 60) -> str:
 
 
 def dump(service: Service, path: str) -> None:
-    """The dashboard's payload as one JSON file on the driver."""
+    """The dashboard's payload as one JSON file on the driver, written piece by piece."""
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(service.payload(), f, ensure_ascii=False)
+        f.writelines(service.payload_text())

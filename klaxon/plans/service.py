@@ -3,6 +3,8 @@ questions until the store's version changes."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -92,28 +94,33 @@ class Service:
         return knowledge.answers(self.recommendations(incident_id, top), self.signatures(), matches)
 
     def record_incidents(self, unit: str | None = None) -> int:
-        """Appends the incidents that the store doesn't hold yet, their alarms and their candidates; returns how many. Parquet has no
-        transaction over tables: `incidents` is written last, so an incident in it has its other rows."""
-        new = self.incidents.join(self.store.read("incidents").select("incident_id"), "incident_id", "left_anti").persist()
-        some = new.select("incident_id")
+        """Appends the incidents that the store doesn't hold yet, their alarms and their candidates, under ids that later runs keep; returns
+        how many. An incident that shares time with one of the store is known, also if earlier or late alarms have changed its bounds or its number.
+        The three tables are one batch: a run that dies leaves nothing of it, and the next one writes all of it."""
+        rows = rootcause.stable_ids(self.labelled).persist()
+        found = rootcause.incidents(rows)
+        new = found.join(rootcause.known_incidents(found, self.store.read("incidents")), "incident_id", "left_anti").persist()
         n = new.count()
         if n:
-            tables = knowledge.incident_tables(self.labelled.join(some, "incident_id", "left_semi"), self.ranked.join(some, "incident_id", "left_semi"), new, unit)
-            for name in ("incident_alarms", "candidates", "incidents"):
-                self.store.append(tables[name], name)
+            chosen = lambda df: df.join(new.select("incident_id"), "incident_id", "left_semi")
+            with self.store.batch() as batch:
+                for name, table in knowledge.incident_tables(chosen(rows), chosen(rootcause.rank_candidates(rows)), new, unit).items():
+                    batch.append(table, name)
         new.unpersist()
+        rows.unpersist()
         return n
 
     def confirm(self, incident_id: str, *, confirmed_cause: str | None = None, action_taken: str = "", operator: str = "operator", correct: bool | None = None) -> dict:
+        """Appends a confirmation; prior_matches is how many others of its signature the store then holds."""
         one = self.signatures().where(F.col("incident_id") == incident_id)
         row = knowledge.confirmation(one, self.ranked, cause=confirmed_cause, action=action_taken, operator=operator, correct=correct).persist()
         found = row.first()
         if found is None:
             return {"error": "unknown incident"}
-        prior = knowledge.count_signature(self.store.read("kb_confirmations"), found["signature"]).first()["n"]
         self.store.append(row, "kb_confirmations")
         row.unpersist()
-        return {"confirmation_id": found["id"], "signature": found["signature"], "prior_matches": prior}
+        seen = knowledge.count_signature(self.store.read("kb_confirmations"), found["signature"]).first()["n"]
+        return {"confirmation_id": found["id"], "signature": found["signature"], "prior_matches": seen - 1}
 
     def kb(self, top: int = 100) -> DataFrame:
         return knowledge.newest(self.store.read("kb_confirmations"), top)
@@ -122,13 +129,22 @@ class Service:
         history = self.store.read("kb_confirmations")
         return to_json(knowledge.stats(history)) | {"engine_accuracy": to_json(knowledge.engine_accuracy(history))}
 
-    def payload(self, longest: int = 5_000) -> dict:
-        """Everything the dashboard shows, for a file that it reads offline. Each list is short by its limit; floods and cause hints,
-        which have none of their own, are cut at `longest` rows: the newest floods, the hints of the first tags by name."""
-        rows = lambda df: to_json(df.agg(F.collect_list(F.struct("*")).alias("rows")))["rows"]
-        return {
-            "summary": self.summary(), "kpis": self.kpis(), "tags_status": rows(self.tags_status()), "bad_actors": rows(self.bad_actors()),
-            "chattering": rows(self.chattering(15)), "floods": rows(self.floods().orderBy(F.desc("window_start")).limit(longest)), "co_occurrence": rows(self.co_occurrence(20)), "sequences": rows(self.sequences()),
-            "incidents": rows(self.incident_list(60)), "root_cause": rows(self.root_cause(60)), "cause_hints": {r["tag"]: r["hint"] for r in rows(self.cause_hints().orderBy("tag").limit(longest))},
-            "recommendations": rows(self.recommendation_answers()), "kb_stats": self.kb_stats(),
+    def payload_text(self) -> Iterator[str]:
+        """Everything the dashboard shows as pieces of one JSON object, for a file that it reads offline. Lists are whole; those of floods and cause
+        hints have no limit of their own, so the driver takes a list's rows one partition at a time."""
+        lists = {
+            "tags_status": self.tags_status(), "bad_actors": self.bad_actors(), "chattering": self.chattering(15), "floods": self.floods().orderBy(F.desc("window_start")), "co_occurrence": self.co_occurrence(20),
+            "sequences": self.sequences(), "incidents": self.incident_list(60), "root_cause": self.root_cause(60), "recommendations": self.recommendation_answers(),
         }
+        as_json = lambda row: F.to_json(row, {"ignoreNullFields": "false"}).alias("j")
+        hints = self.cause_hints().orderBy("tag").select(as_json(F.create_map("tag", "hint")))
+        yield "{" + ", ".join(f'"{k}": {json.dumps(v, ensure_ascii=False)}' for k, v in (("summary", self.summary()), ("kpis", self.kpis()), ("kb_stats", self.kb_stats())))
+        for name, df, (opening, closing), cut in (*((k, df.select(as_json(F.struct("*"))), "[]", slice(None)) for k, df in lists.items()), ("cause_hints", hints, "{}", slice(1, -1))):
+            yield f', "{name}": {opening}'
+            for k, row in enumerate(df.toLocalIterator()):
+                yield (", " if k else "") + row["j"][cut]
+            yield closing
+        yield "}"
+
+    def payload(self) -> dict:
+        return json.loads("".join(self.payload_text()))

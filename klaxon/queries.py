@@ -494,6 +494,33 @@ def store_round_trip(spark, sf_dir):
     return store.sql("SELECT ts, seq, tag, level, priority, state, value, zone FROM alarms")
 
 
+@query(f"WITH {_AL} SELECT ts, seq, tag, level FROM al WHERE ts >= TIMESTAMP '2024-01-08 12:30:00' AND ts <= TIMESTAMP '2024-01-11 00:00:00'")
+def store_time_range(spark, sf_dir):
+    """A read between two times, which looks into the days between them alone."""
+    store = ParquetStore(spark, scratch_folder(spark))
+    store.append(alarms(spark, sf_dir), "alarms")
+    return store.read("alarms", "2024-01-08 12:30:00", "2024-01-11 00:00:00").select("ts", "seq", "tag", "level")
+
+
+@query(f"WITH {_AL} SELECT tag, count(*) AS n, count(priority) AS with_priority FROM al GROUP BY 1")
+def store_batches(spark, sf_dir):
+    """What a read sees after a reset, a batch that failed between its tables, a batch run twice, and a compaction."""
+    store, a = ParquetStore(spark, scratch_folder(spark)), alarms(spark, sf_dir)
+    store.append(a, "alarms")
+    store.reset()
+    try:
+        with store.batch("half") as batch:
+            batch.append(a, "alarms")
+            raise InterruptedError
+    except InterruptedError:
+        pass
+    for name, keep in (("half", "seq % 2 = 0"), ("half", "seq % 2 = 0"), ("rest", "seq % 2 = 1")):
+        with store.batch(name) as batch:
+            batch.append(a.where(keep), "alarms")
+    store.compact()
+    return store.read("alarms").groupBy("tag").agg(F.count("*").alias("n"), F.count("priority").alias("with_priority"))
+
+
 @query(f"""WITH {_AL}, g AS (SELECT 'G' || (seq % 97) AS incident_id, * FROM a WHERE seq % 3 = 0)
 SELECT incident_id, count(*) AS alarm_count, count(DISTINCT tag) AS tags, min(ts) AS start_ts, max(ts) AS end_ts FROM g GROUP BY 1""")
 def labelled_given(spark, sf_dir):
@@ -589,6 +616,27 @@ def recorded_incidents(spark, sf_dir):
     return store.read("incidents").join(counts, "incident_id").select("incident_id", "started_at", "alarm_count", "alarms", "status")
 
 
+_LATER = _INC.replace("FROM events)", "FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00')")
+
+
+@query(f"""WITH old AS (WITH {_LATER} SELECT * FROM inc), new AS (WITH {_INC} SELECT * FROM inc),
+two AS (SELECT * FROM old UNION ALL SELECT * FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.start_ts <= new.end_ts AND new.start_ts <= old.end_ts))
+SELECT 'INC-' || strftime(start_ts, '%Y%m%dT%H%M%S%f') AS incident_id, start_ts AS started_at, end_ts AS ended_at, alarm_count, alarm_count AS alarms, 'open' AS status FROM two""")
+def recorded_after_earlier_days(spark, sf_dir):
+    """Incidents recorded from the later days of the log, then from all of it, twice: known ones keep their ids, none is recorded again."""
+    from .plans.service import Service
+
+    store, a = ParquetStore(spark, scratch_folder(spark)), alarms(spark, sf_dir)
+    for part in (a.where("ts >= TIMESTAMP_NTZ'2024-01-10 00:00:00'"), a.where("ts < TIMESTAMP_NTZ'2024-01-10 00:00:00'"), None):
+        if part is not None:
+            store.append(part, "alarms")
+        service = Service(store, gap_min=GAP)
+        service.record_incidents()
+        service.refresh()
+    counts = store.read("incident_alarms").groupBy("incident_id").agg(F.count("*").alias("alarms"))
+    return store.read("incidents").join(counts, "incident_id").select("incident_id", "started_at", "ended_at", "alarm_count", "alarms", "status")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _made.items()}
 

@@ -9,7 +9,7 @@ EPISODES = "tag string, level string, priority string, zone string, description
 META = "key string, value string"
 CONFIRMATIONS = "id string, signature string, incident_id string, root_tag string, alarm_types array<string>, zone string, confirmed_cause string, action_taken string, operator string, engine_top_pick_correct boolean, confirmed_at timestamp_ntz"
 
-INCIDENTS = "incident_id string, started_at timestamp_ntz, unit string, alarm_count long, status string"
+INCIDENTS = "incident_id string, started_at timestamp_ntz, ended_at timestamp_ntz, unit string, alarm_count long, status string"
 INCIDENT_ALARMS = "incident_id string, tag string, description string, priority string, occurred_at timestamp_ntz, operator_id string, sequence_rank int"
 CANDIDATES = "incident_id string, tag string, method string, rank int, confidence double, explanation string"
 
@@ -123,4 +123,5 @@ SCENARIOS = [
     ("FEED_IMBALANCE", "NH3/acid ratio controller drift", [("NH3_FLOW", "HI", 0.0), ("REACTOR_TEMP", "HI", 5.0), ("REACTOR_TEMP", "HIHI", 11.0), ("DRYER_TEMP", "HI", 16.0)]),
     ("GRANULATOR_OVERLOAD", "Wet product recycle buildup", [("RECYCLE_RATIO", "HI", 0.0), ("GRANULATOR_AMPS", "HI", 7.0), ("PRODUCT_MOISTURE", "HI", 12.0), ("GRANULATOR_AMPS", "HIHI", 18.0)]),
 ]
+# Fixed value: the source that chatters.
 CHATTERING_TAG = "PHOS_ACID_FLOW"

@@ -13,7 +13,7 @@ from klaxon.plans import report
 from klaxon.plans.service import Service
 from klaxon.sources import alarm_log, csv_scan
 from klaxon.sources.base import Historian
-from klaxon.sources.store import ParquetStore
+from klaxon.sources.store import Batch, ParquetStore
 from klaxon.sources.synthetic import SyntheticPlant
 
 LINES = [
@@ -151,10 +151,84 @@ def test_store(spark, tmp_path):
     store.set_meta(a="1", b="2")
     store.set_meta(a="3")
     assert store.meta() == {"a": "3", "b": "2"}
+    assert report.truth_of(store) is None
     store.reset()
     assert store.meta() == {} and store.read("alarms").collect() == []
 
 
+def test_a_failed_batch_is_never_seen(spark, tmp_path):
+    store, row = ParquetStore(spark, str(tmp_path / "s")), spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' AS ts, 'T' AS tag, 'I' AS incident_id")
+    store.append(row, "alarms")
+    for replaces in (False, True):
+        with pytest.raises(KeyError), store.batch("b", replaces) as batch:
+            batch.append(row, "incident_alarms")
+            batch.append(row, "incidents")
+            raise KeyError
+        assert store.read("incidents").count() == store.read("incident_alarms").count() == 0 and store.read("alarms").count() == 1
+    for _ in range(2):  # the retry, and one more that finds it done
+        with store.batch("b") as batch:
+            batch.append(row, "incident_alarms")
+            batch.append(row, "incidents")
+    assert store.read("incidents").count() == store.read("incident_alarms").count() == 1
+    store.set_meta(a="1")
+    store.set_meta(a="2", b="3")
+    store.compact()
+    assert len(store.visible()) == 1 and store.meta() == {"a": "2", "b": "3"} and store.read("incidents").count() == store.read("alarms").count() == 1
+    store.reset()
+    assert store.meta() == {} and store.read("incidents").count() == 0
+    with pytest.raises(ValueError, match="already"), store.batch() as batch:
+        batch.append(row, "alarms")
+        batch.append(row, "alarms")
+
+
+def test_time_range_reads_only_its_days(spark, tmp_path):
+    store = ParquetStore(spark, str(tmp_path / "s"))
+    rows = spark.sql("SELECT timestampadd(HOUR, cast(id AS int), timestamp_ntz'2024-01-01 00:00:00') AS ts, 'T' AS tag FROM range(24 * 20) UNION ALL SELECT null, 'N'")
+    store.append(rows, "alarms")
+    some = store.read("alarms", "2024-01-05 00:00:00", "2024-01-07 00:00:00")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "day#" in plan.split("PartitionFilters: [")[1]
+    assert some.count() == 49
+    assert store.read("alarms", start="2024-01-20 23:00:00").count() == 1 and store.read("alarms", end="2024-01-01 00:00:00").count() == 1 and store.read("alarms").count() == 481
+    assert store.sql("SELECT * FROM alarms", "2024-01-02 00:00:00", "2024-01-02 23:59:59").count() == 24
+
+
+def test_incidents_keep_their_ids(spark, tmp_path):
+    """Earlier days, late alarms that widen an incident, and a crash between the tables."""
+    store = ParquetStore(spark, str(tmp_path / "s"))
+    event = "timestamp_ntz '{}' AS ts, {}L AS seq, '{}' AS tag, 'HI' AS level, 'HIGH' AS priority, 'ACTIVE' AS state"
+    one = lambda at, k: spark.sql(" UNION ALL ".join("SELECT " + event.format(f"{at}:0{j}:00", k + j, "AB"[j % 2]) for j in range(3)))
+    store.append(one("2024-01-05 10", 0), "alarms")
+    assert Service(store).record_incidents() == 1
+    first = store.read("incidents").first()
+    assert first["incident_id"] == "INC-20240105T100000000000"
+    store.append(one("2024-01-02 08", 10), "alarms")
+    store.append(one("2024-01-05 10", 20).selectExpr("ts - INTERVAL 5 MINUTES AS ts", "seq", "tag", "level", "priority", "state"), "alarms")
+    append, service = Batch.append, Service(store)
+
+    def dies(self, df, table):
+        if table == "candidates":
+            raise InterruptedError
+        append(self, df, table)
+
+    with pytest.MonkeyPatch.context() as m, pytest.raises(InterruptedError):
+        m.setattr(Batch, "append", dies)
+        service.record_incidents()
+    assert store.read("incidents").count() == 1 and store.read("incident_alarms").count() == 3
+    assert service.record_incidents() == 1 and service.record_incidents() == 0
+    assert {r["incident_id"] for r in store.read("incidents").collect()} == {first["incident_id"], "INC-20240102T080000000000"}
+    assert store.read("incident_alarms").count() == 6 and {r["incident_id"] for r in store.read("candidates").collect()} == {r["incident_id"] for r in store.read("incidents").collect()}
+
+
+def test_payload_has_whole_lists(spark, tmp_path):
+    """More floods and cause hints than any limit that the lists once had."""
+    store, n = ParquetStore(spark, str(tmp_path / "s")), 5_100
+    store.append(spark.sql(f"SELECT timestampadd(MINUTE, cast(id div 11 * 30 AS int), timestamp_ntz'2024-01-01 00:00:00') AS ts, id AS seq, concat('T', id div 11, '-', id % 2) AS tag, 'HI' AS level, 'HIGH' AS priority, 'ACTIVE' AS state FROM range({11 * n})"), "alarms")
+    payload = Service(store).payload()
+    assert len(payload["floods"]) == n and len(payload["cause_hints"]) > 5_000
+    assert payload["floods"][0]["window_start"] > payload["floods"][-1]["window_start"]
+
+
 def test_historian(spark):
     with pytest.raises(NotImplementedError):
         Historian(spark).process_samples()
@@ -181,3 +255,4 @@ def test_plant_and_service(spark, tmp_path):
     payload = service.payload()
     assert payload["summary"]["incidents"] == 4 and json.dumps(payload)
     assert "== Root cause" in report.report(service, plant.ground_truth(), 3)
+    assert "accuracy" in report.report(service, report.truth_of(store), 3) and "1.0" in report.report(service, report.truth_of(store), 3).split("== Validation")[1]
