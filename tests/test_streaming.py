@@ -1,5 +1,6 @@
 """Streams give what the batch operators give, once the watermark has passed."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -37,11 +38,35 @@ def test_floods_and_sessions(spark, tmp_path):
     assert [(r["site"], r["alarm_count"], r["tags"]) for r in found] == [("s", 15, 3)]
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_closed_episodes(spark, tmp_path, batches):
-    rows = [row(k, k, "T", t) for k, t in enumerate(["A2N", "N2A", "A2A", "A2N", "N2A", "N2A", "A2N", "N2A"])]
+def test_sessions_of_one_tag_do_not_qualify(spark, tmp_path):
+    rows = [row(k, k, "T") for k in range(5)] + [row(60 + k, 10 + k, f"T{k % 2}") for k in range(5)]
+    for exact in (False, True):
+        found = drain(spark, tmp_path, f"tags_{exact}", rows, lambda s: streaming.incident_sessions(s, exact=exact)).collect()  # noqa: B023
+        assert [(r["start_ts"], r["tags"]) for r in found] == [(T0 + timedelta(minutes=60), 2)]
+    plan = streaming.incident_sessions(spark.createDataFrame(rows, ROWS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
+
+
+def closed(spark, tmp_path, name, rows, batches):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    got = drain(spark, tmp_path, f"closed_{batches}", rows, streaming.closed_episodes, batches).where("tag = 'T'").orderBy("start_ts", "end_ts").collect()
+    got = drain(spark, tmp_path, name, rows, streaming.closed_episodes, batches).where("tag <> 'END'").collect()
+    return sorted((r["tag"], r["start_ts"], r["end_ts"], r["implicit"]) for r in got)
+
+
+def wanted(spark, rows):
     tx = spark.createDataFrame(rows, ROWS).selectExpr("cast(ts AS timestamp_ntz) AS ts", "seq", "tag", "level", "priority", "zone", "description", "transition")
-    want = prepare.episodes(tx).where("NOT standing").orderBy("start_ts", "end_ts").collect()
-    assert [(r["start_ts"], r["end_ts"], r["implicit"]) for r in got] == [(r["start_ts"], r["end_ts"], r["implicit"]) for r in want]
+    return sorted((r["tag"], r["start_ts"], r["end_ts"], r["implicit"]) for r in prepare.episodes(tx).where("NOT standing").collect())
+
+
+def test_closed_episodes_in_any_order_of_arrival(spark, tmp_path):
+    """Rows that come up to 8 minutes after later ones, over several batches, ties by seq: as the batch operator has them."""
+    r = random.Random(3)
+    rows = [row(k // 3, k, f"T{r.randrange(2)}", r.choice(["N2A", "A2A", "A2N"])) for k in range(60)]
+    late = sorted(rows, key=lambda x: x[0] + timedelta(minutes=r.random() * 8))
+    assert late != rows
+    assert closed(spark, tmp_path, "any_order", late, 4) == wanted(spark, rows)
+
+
+def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
+    rows = [row(0, 0, "T", "N2A"), row(30, 1, "T", "A2N"), row(60, 2, "T", "N2A"), row(10, 3, "T", "A2N"), row(61, 4, "T", "A2N")]
+    assert closed(spark, tmp_path, "dropped", rows, 5) == wanted(spark, [x for x in rows if x[1] != 3])
