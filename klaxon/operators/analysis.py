@@ -11,16 +11,19 @@ from .sessions import HOUR, gap_sessions, positions
 
 
 def bad_actors(alarms: DataFrame, top: int | None = 10) -> DataFrame:
-    """tag, alarm_count, pct, cum_pct, worst_priority, top_level. cum_pct adds up rounded shares over all tags, a row for each of which
-    one task numbers."""
+    """tag, alarm_count, pct, cum_pct, worst_priority, top_level. cum_pct adds up rounded shares, most alarms first. A share that doesn't round to 0
+    is over 0.05 %, so fewer than 2,000 tags have one, and only those are added up in order; the sum of all of them is every other tag's."""
     by_level = active(alarms).groupBy("tag", "level").agg(F.count("*").alias("n"), F.max_by("priority", F.struct(severity(F.col("priority")), "priority")).alias("p"))
     worst = F.max_by("p", F.struct(severity(F.col("p")), "p")).alias("worst_priority")
     level = F.min(F.struct((-F.col("n")).alias("down"), "level"))["level"].alias("top_level")
     counts = by_level.groupBy("tag").agg(F.sum("n").alias("alarm_count"), worst, level)
     total = counts.agg(F.sum("alarm_count").alias("total"))
     counts = counts.crossJoin(F.broadcast(total)).withColumn("pct", F.bround(100 * F.col("alarm_count") / F.col("total"), 1))
-    w = Window.orderBy(F.desc("alarm_count"), "tag").rowsBetween(Window.unboundedPreceding, 0)
-    out = counts.withColumn("cum_pct", F.bround(F.sum("pct").over(w), 1)).select("tag", "alarm_count", "pct", "cum_pct", "worst_priority", "top_level")
+    # Each tag without a share is a partition of its own.
+    w = Window.partitionBy("_rest").orderBy(F.desc("alarm_count"), "tag").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("_rest", F.when(F.col("pct") == 0, F.col("tag"))).withColumn("_upto", F.sum("pct").over(w))
+    whole = counts.agg(F.sum("pct").alias("_whole"))
+    out = upto.crossJoin(F.broadcast(whole)).withColumn("cum_pct", F.bround(F.when(F.col("pct") == 0, F.col("_whole")).otherwise(F.col("_upto")), 1)).select("tag", "alarm_count", "pct", "cum_pct", "worst_priority", "top_level")
     return out if top is None else out.orderBy(F.desc("alarm_count"), "tag").limit(top)
 
 

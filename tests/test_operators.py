@@ -4,6 +4,7 @@ import random
 import statistics
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,35 @@ def test_empty_input(spark):
     assert kpis.priority_distribution(none).count() == 4
     assert kpis.time_to_clear(prepare.episodes(tx)).first()["timed_episodes"] == 0
     assert rootcause.validate(rootcause.rank_candidates(rootcause.labelled(none)), none.select(F.lit("i").alias("incident_id"), F.col("tag").alias("root_tag"))).first()["accuracy"] == 0.0
+
+
+def test_quantiles_are_exact(spark):
+    """Against numpy: ties, one number, no number, pieces that hold several places; no aggregate that holds the numbers."""
+    r = np.random.default_rng(4)
+    for values in (r.integers(0, 40, 999).astype(float), r.normal(size=2000), np.array([7.0]), np.array([1.0, 2.0]), np.repeat([3.0, 9.0], [500, 501])):
+        rows = spark.createDataFrame([(float(v),) for v in values], "v double").groupBy("v").agg(F.count("*").alias("n"))
+        got = kpis.quantiles(rows, {"a": 0.5, "b": 0.9, "c": 0.0, "d": 1.0}, pieces=20)
+        assert got.first().asDict() == pytest.approx(dict(zip("abcd", np.quantile(values, [0.5, 0.9, 0, 1]), strict=True)))
+    assert "percentile(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert kpis.quantiles(rows.limit(0), {"a": 0.5}).first()["a"] is None
+
+
+def test_key_figures_read_alarms_and_episodes_once(spark, tmp_path):
+    """The last plan reads the two tables of counts alone."""
+    a = spark.sql("SELECT timestampadd(MINUTE, cast(id AS int), timestamp_ntz'2024-01-01 00:00:00') AS ts, id AS seq, concat('T', id % 9) AS tag, 'HI' AS level, if(id % 4 = 0, null, 'HIGH') AS priority, if(id % 3 = 0, 'CLEARED', 'ACTIVE') AS state, 'Z' AS zone, 'N2A' AS transition, 'd' AS description FROM range(400)")
+    a.write.parquet(str(tmp_path / "source"))
+    a = spark.read.parquet(str(tmp_path / "source"))
+    out = kpis.summary_kpis(a, prepare.episodes(a))
+    assert "source" not in out._jdf.queryExecution().executedPlan().toString() and "klaxon-core" in str(out.inputFiles())
+    one, e = out.first(), prepare.episodes(a)
+    assert one["rate"] == kpis.alarm_rate(a).first() and one["time_to_clear"] == kpis.time_to_clear(e).first()
+    assert sorted(one["priority_mix"], key=lambda x: x["priority"]) and {tuple(sorted(x.asDict().items(), key=str)) for x in one["priority_mix"]} == {tuple(sorted(x.asDict().items(), key=str)) for x in kpis.priority_distribution(a).collect()}
+    assert one["standing_alarm_count"] == e.where("standing").count() and one["high_priority_share_pct"] == 100.0
+
+
+def test_shares_are_added_up_in_small_windows(spark):
+    """Many tags without a share of their own: their cumulative share is that of all others."""
+    rows = [("A", 4000), ("B", 2500), ("C", 2500), *((f"T{k:04}", 1) for k in range(1000))]
+    a = spark.createDataFrame(rows, "tag string, n int").selectExpr("explode(sequence(1, n)) AS seq", "tag").selectExpr("timestamp_ntz'2024-01-01 00:00:00' AS ts", "cast(seq AS long) AS seq", "tag", "'HI' AS level", "'LOW' AS priority", "'ACTIVE' AS state")
+    got = analysis.bad_actors(a, None).orderBy(F.desc("alarm_count"), "tag").collect()
+    assert [r["cum_pct"] for r in got] == [40.0, 65.0, 90.0, *[90.0] * 1000] and [r["tag"] for r in got[:3]] == ["A", "B", "C"]
