@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyarrow import fs
@@ -27,14 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Scratch folders that this driver made and that still exist.
-_made: list[str] = []
+class _Made(threading.local):
+    """Scratch folders that this thread of the driver made and that still exist: runs in other threads don't delete them."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+
+_made = _Made()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     folder = f"{shared_dir(spark)}/klaxon-{uuid.uuid4().hex}"
-    _made.append(folder)
+    _made.folders.append(folder)
     return f"{folder}/{name}"
 
 
@@ -47,14 +54,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 def scratch_mark() -> int:
     """What free() takes."""
-    return len(_made)
+    return len(_made.folders)
 
 
 def free(mark: int = 0, upto: int | None = None) -> None:
     """Deletes the scratch folders made from one mark to another (to now). Results that read them must have been written elsewhere:
     operators return plans over scratch tables, so only their caller knows when those can go."""
-    gone = _made[mark:upto]
-    del _made[mark:upto]
+    gone = _made.folders[mark:upto]
+    del _made.folders[mark:upto]
     for folder in gone:
         store, base = fs.FileSystem.from_uri(folder)
         if store.get_file_info(base).type != fs.FileType.NotFound:

@@ -17,7 +17,7 @@ in blocks of ITEM_BLOCK, whose size changes what a task holds but not what is fo
 also the directions of all terms (a benchmark's distinct words, 256 bytes for each).
 
 Defined results: null or empty texts hold no leak, and null or wordless items match nothing; a very long text is searched whole; an item of
-fewer than SHORT words matches only word for word; items that tie (equal texts) are found each; null ids are kept; repeated rows each give
+fewer than SHORT words, which any text may hold by chance, leaks only where it is a document's whole text, word for word; items that tie (equal texts) are found each; null ids are kept; repeated rows each give
 their rows, and a document gives a row for each item that it holds (the best place); an empty corpus or benchmark gives an empty result;
 other columns are ignored.
 """
@@ -320,7 +320,10 @@ def search(tokens: DataFrame, items: Items, cosines: list[np.ndarray], idf: np.n
         for k, x in enumerate(t.tolist()):
             m[x] = m.get(x, 0) | 1 << k
         masks.append(m)
-    short = [i for i, t in enumerate(items.tokens) if len(t) < SHORT]
+    short: dict[tuple[int, ...], list[int]] = {}
+    for i, t in enumerate(items.tokens):
+        if len(t) < SHORT:
+            short.setdefault(tuple(t.tolist()), []).append(i)
 
     sizes = np.array([len(t) for t in items.tokens])
     slacks = np.maximum(4, sizes // 4)
@@ -457,12 +460,10 @@ def search(tokens: DataFrame, items: Items, cosines: list[np.ndarray], idf: np.n
                 for (text, i, step), cosine in candidates(flat, starts).items():
                     if (ok := check(flat, starts, text, i, step * 8)) and ok[0] > best.get((text, i), (0, 0))[1]:
                         best[text, i] = (cosine, *ok)
-                for i in short:
-                    item = items.tokens[i]
-                    for k in np.flatnonzero(flat == item[0]).tolist():
-                        if (flat[k : k + len(item)] == item).all() if k + len(item) <= len(flat) else False:
-                            text = int(np.searchsorted(starts, k, "right")) - 1
-                            best.setdefault((text, i), (1.0, 1.0, True, k - int(starts[text]), k - int(starts[text]) + len(item)))
+                for text, words in enumerate(tokens_):
+                    if len(words) < SHORT:
+                        for i in short.get(tuple(words), ()):
+                            best[text, i] = (1.0, 1.0, True, 0, len(words))
                 if best:
                     ids, keys = part.column("doc_id").to_pylist(), part.column("text_key").to_pylist()
                     rows = [(ids[text], keys[text], items.ids[i], *found) for (text, i), found in best.items()]

@@ -20,6 +20,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,13 +68,16 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(tokens of the path, text, characters in links) of the blocks that hold text."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+def blocks(page: str) -> list[tuple[tuple[int, int], str, int]]:
+    """(path, text, characters in links) of the blocks that hold text. A path is the set of its tokens' places, as bits, and how many tokens it has: an
+    element adds its own to its parent's, so nesting costs a page nothing however deep it is. No tag looks at more elements than it closes."""
+    out: list[tuple[tuple[int, int], str, int]] = []
+    # Of an open element: its name, its path, and the place of the innermost open element that is no inline one, itself included.
+    stack: list[tuple[str, tuple[int, int], int]] = []
+    open_: Counter[str] = Counter()
     text: list[str] = []
-    path: tuple[str, ...] = ()
-    links = in_link = at = 0
+    root = path = (0, 0)
+    links = at = 0
 
     def end_block() -> None:
         nonlocal links
@@ -85,17 +89,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         links = 0
 
     def close_to(k: int) -> None:
-        nonlocal in_link
-        in_link -= sum(t == "a" for t, _ in stack[k:])
+        open_.subtract(entry[0] for entry in stack[k:])
         del stack[k:]
 
     for m in _markup.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
             if not text or text == [" "]:
-                path = tuple(x for _, own in stack for x in own)
+                path = stack[-1][1] if stack else root
             text.append(piece)
-            if in_link:
+            if open_["a"]:
                 links += len(piece)
         at = m.end()
         tag = m[3]
@@ -105,27 +108,29 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if m[0][1] == "/":
             if tag not in INLINE:
                 end_block()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close_to(k)
-                    break
+            if open_[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close_to(k)
             continue
         if tag not in INLINE:
             end_block()
-            ends = CLOSES.get(tag, set()) | ({"p"} if tag in _ends_p else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    close_to(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            ends = CLOSES.get(tag, set()) | ({"p"} if tag in _ends_p else set())  # no inline ones
+            k = stack[-1][2] if stack else -1
+            if k >= 0 and stack[k][0] in ends:
+                close_to(k)
         elif tag == "br":
             text.append(" ")
         if tag not in VOID and not m[4].endswith("/"):
-            stack.append((tag, _tokens(tag, m[4])))
-            in_link += tag == "a"
+            bits, n = stack[-1][1] if stack else root
+            own = _tokens(tag, m[4])
+            for token in own:
+                bits |= 1 << _path_hash[token]
+            stack.append((tag, (bits, n + len(own)), (stack[-1][2] if stack else -1) if tag in INLINE else len(stack)))
+            open_[tag] += 1
     if at < len(page):
-        path = path if text else tuple(x for _, own in stack for x in own)
+        path = path if text else stack[-1][1] if stack else root
         text.append(page[at:])
     end_block()
     return out
@@ -143,24 +148,18 @@ class _Hash(dict):
 
 
 _path_hash, _word_hash = _Hash(PATH), _Hash(WORDS)
-_path_vectors: dict[tuple[str, ...], np.ndarray] = {}
 
 
-def vectorise(found: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def vectorise(found: list[tuple[tuple[int, int], str, int]]) -> np.ndarray:
     x = np.zeros((len(found), PATH + WORDS + NUMBERS), np.float32)
-    for k, (path, text, links) in enumerate(found):
-        known = _path_vectors.get(path)
-        if known is None:
-            known = np.minimum(np.bincount([_path_hash[t] for t in path], minlength=PATH), 1).astype(np.float32) if path else np.zeros(PATH, np.float32)
-            if len(_path_vectors) < 20_000:
-                _path_vectors[path] = known
-        x[k, :PATH] = known
+    for k, ((bits, depth), text, links) in enumerate(found):
+        x[k, :PATH] = np.unpackbits(np.frombuffer(bits.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little")
         words = text.split(" ")
         tally = np.bincount([_word_hash[w] for w in words], minlength=WORDS)
         x[k, PATH : PATH + WORDS] = tally / np.sqrt(tally @ tally)
         n = len(text)
         x[k, PATH + WORDS :] = (
-            np.log1p(len(words)) / 5, np.log1p(n) / 8, min(1.0, links / n), text[-1] in ".!?:\"'", text[0].isupper(), len(path) / 20, sum(map(text.count, ".,;")) / len(words), 1.0,
+            np.log1p(len(words)) / 5, np.log1p(n) / 8, min(1.0, links / n), text[-1] in ".!?:\"'", text[0].isupper(), depth / 20, sum(map(text.count, ".,;")) / len(words), 1.0,
         )
     return x
 

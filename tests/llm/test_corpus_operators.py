@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -323,7 +324,7 @@ def brute_leaks(rows, items):
             if not item:
                 continue
             if len(item) < decontam.SHORT:
-                if any(ws[k : k + len(item)] == item for k in range(len(ws))):
+                if ws == item:
                     found.add((d, i))
                 continue
             total, own, slack = sum(idf[w] for w in item), set(item), max(4, len(item) // 4)
@@ -356,12 +357,19 @@ def test_leaks_against_brute_force(spark, monkeypatch, block):
             if text:
                 rows.append((100 + len(rows), prose(r.choice([0, 20, 90]), r) + " " + near(text, change, r) + " " + prose(30, r)))
     rows += [(900, prose(9_000, r) + " " + items[5][1] + " " + prose(50, r)), (901, None), (None, items[0][1])]
+    rows += [(910, "Two words!"), (911, "two words more"), (912, items[25][1]), (913, "words two")]
     want = brute_leaks(rows, items)
     got = leaks_of(spark, rows, items)
     print(len(want), len(got - want), len(want - got))
     assert len(want) > 60 and len(want & got) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
+def test_a_word_of_the_benchmark_does_not_mark_the_corpus(spark):
+    """Items of one to five words leak where they are the whole text alone."""
+    rows = [(k, f"the {prose(40)} in the end") for k in range(20)] + [(50, "The."), (51, "in the end"), (52, "in the end of it")]
+    assert leaks_of(spark, rows, [(1, "the"), (2, "in the end"), (3, "The"), (4, "")]) == {(50, 1), (50, 3), (51, 2)}
+
+
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
     r = random.Random(32)
     items = [(k, prose(r.choice([10, 30]), r)) for k in range(23)]
@@ -407,6 +415,18 @@ def test_elements_that_hide_nothing():
         assert texts(f"<p>One</p><{tag}>no<{tag}>no</{tag}>no</{tag}><p>Two</p>") == ["One", "Two"], tag
 
 
+def test_deep_nesting_is_linear():
+    """Unclosed elements by the thousands, closing tags without an opening one, inline elements in the way of block ones."""
+    began, n = time.perf_counter(), 50_000
+    deep = html_extract.blocks("<div class='x'>t" * n)
+    assert len(deep) == n and deep[-1][0] == (deep[0][0][0], 2 * n)
+    assert html_extract.blocks("<div>" * n + "</span></em></p>" * n + "t")[0][1] == "t"
+    assert len(html_extract.blocks("<b>" * n + "<p>t" * n)) == n and len(html_extract.blocks("<li>t" * n + "</ul>" * n)) == n
+    assert time.perf_counter() - began < 60
+    nested = html_extract.blocks("<div id=main><p class=lead>A<b>b</b></p><p>C</p></div>D")
+    assert [(text, path[1]) for path, text, _ in nested] == [("Ab", 4), ("C", 3), ("D", 0)]
+
+
 #: Pages written by hand, of other make than the trained ones: what they hold of main text, and of other parts.
 LAYOUTS = {
     "tables": (
