@@ -10,10 +10,33 @@ from pyspark.sql import Window
 from ..functions.alarms import micros
 
 HOUR = 3_600_000_000
+#: Rows of a bucket above which it is cut into PIECES, if it is among the MOST largest; inputs of fewer bytes have no such bucket.
+SPLIT, PIECES, MOST, SMALL = 1_000_000, 256, 10_000, 64 << 20
 
 
-def _bucketed(df: DataFrame, width: int) -> DataFrame:
-    return df.withColumn("_us", micros("ts")).withColumn("_bucket", F.floor(F.col("_us") / width))
+def _bucketed(df: DataFrame, width: int, keys: list[str] | None = None) -> DataFrame:
+    """df with `_us`, and `_bucket`: a number that grows with (ts, seq), by `width` of time. A bucket (of each of the keys) that has more than SPLIT rows is
+    cut at quantiles of (ts, seq), so an hour with half of all alarms, or one minute of it, is the work of many tasks. The rows that are cut
+    are found by one count of the buckets, which small inputs are spared."""
+    rows = df.withColumn("_us", micros("ts")).withColumn("_at", F.floor(F.col("_us") / width))
+    whole = rows.withColumn("_bucket", F.col("_at") * PIECES).drop("_at")
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL:
+        return whole
+    by = [*(keys or []), "_at"]
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("seq").alias("_lo"), F.max("seq").alias("_hi"))
+    found = sizes.agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first()
+    if (found["largest"] or 0) <= SPLIT:
+        return whole
+    hot = sizes.where(F.col("_n") > max(SPLIT, found["total"] / MOST)).select(*(F.col(c).alias(f"_h{k}") for k, c in enumerate(by)), "_lo", "_hi")
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_h{k}"))
+    # Microseconds into the bucket, and as their fraction the place of seq in its range: a number that never falls along (ts, seq).
+    place = (F.col("_us") - F.col("_at") * width) + (F.col("seq") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
+    cuts = rows.join(F.broadcast(hot), same).groupBy(*(f"_h{k}" for k in range(len(by))), "_lo", "_hi").agg(F.percentile_approx(place, [k / PIECES for k in range(1, PIECES)], 10_000).alias("_cuts"))
+    piece = F.coalesce(F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c < place))), F.lit(0))
+    cut = rows.join(F.broadcast(cuts), same, "left").withColumn("_bucket", F.col("_at") * PIECES + piece)  # fewer than MOST rows
+    return cut.drop("_at", "_lo", "_hi", "_cuts", *(f"_h{k}" for k in range(len(by))))
 
 
 def gap_sessions(df: DataFrame, gap_min: float, width: int = HOUR) -> DataFrame:
@@ -57,7 +80,7 @@ def numbered(df: DataFrame, key: str, block: int = 10_000) -> DataFrame:
 def neighbours(df: DataFrame, keys: list[str], columns: dict[str, Column], width: int = 24 * 30 * HOUR) -> DataFrame:
     """df with structs `prev` and `next` of `columns`, of the rows before and after in the order of (ts, seq) for each key. A key's
     rows are cut at every `width` of time, so a source that makes half of all alarms is not one task's work."""
-    rows = _bucketed(df, width).withColumn("_own", F.struct(*(c.alias(k) for k, c in columns.items())))
+    rows = _bucketed(df, width, keys).withColumn("_own", F.struct(*(c.alias(k) for k, c in columns.items())))
     part = [*keys, "_bucket"]
     order = F.struct("ts", "seq")
     edges = rows.groupBy(*part).agg(F.min_by("_own", order).alias("_first"), F.max_by("_own", order).alias("_last"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from klaxon import schema
 from klaxon.functions import alarms as fn
-from klaxon.operators import analysis, knowledge, kpis, prepare, rootcause
+from klaxon.operators import analysis, knowledge, kpis, prepare, rootcause, sessions
 from klaxon.operators.sessions import gap_sessions, neighbours, numbered, positions
 
 T0 = datetime(2024, 1, 1)
@@ -228,3 +228,17 @@ def test_shares_are_added_up_in_small_windows(spark):
     a = spark.createDataFrame(rows, "tag string, n int").selectExpr("explode(sequence(1, n)) AS seq", "tag").selectExpr("timestamp_ntz'2024-01-01 00:00:00' AS ts", "cast(seq AS long) AS seq", "tag", "'HI' AS level", "'LOW' AS priority", "'ACTIVE' AS state")
     got = analysis.bad_actors(a, None).orderBy(F.desc("alarm_count"), "tag").collect()
     assert [r["cum_pct"] for r in got] == [40.0, 65.0, 90.0, *[90.0] * 1000] and [r["tag"] for r in got[:3]] == ["A", "B", "C"]
+
+
+def test_hot_buckets_are_cut(spark, monkeypatch):
+    """Half of all rows in one hour, most of them in one minute: many buckets, the same numbers."""
+    r = random.Random(8)
+    rows = [(r.choice([0, 3000, 3000]) + r.randrange(900), f"T{r.randrange(4)}") for _ in range(400)] + [(1200 + r.choice([7, 7, 7, r.randrange(60)]), "HOT") for _ in range(500)] + [(None, "T0")]
+    df = spark.createDataFrame([(None if m is None else at(m), k, t) for k, (m, t) in enumerate(rows)], "ts timestamp_ntz, seq long, tag string").repartition(3)
+    made = lambda: [{tuple(x) for x in out.select("seq", *c).collect()} for out, c in ((gap_sessions(df.where("ts IS NOT NULL"), 5), ["session"]), (positions(df.where("ts IS NOT NULL")), ["pos"]), (neighbours(df, ["tag"], {"s": F.col("seq")}), ["prev.s", "next.s"]))]
+    plain = made()
+    for name, value in (("SPLIT", 40), ("SMALL", 0)):
+        monkeypatch.setattr(sessions, name, value)
+    assert made() == plain
+    sizes = sessions._bucketed(df.where("tag = 'HOT'"), sessions.HOUR).groupBy("_bucket").agg(F.count("*").alias("n")).collect()
+    assert len(sizes) > 100 and max(x["n"] for x in sizes) <= 10
