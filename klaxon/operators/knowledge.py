@@ -143,12 +143,23 @@ def candidates_table(ranked: DataFrame, method: str = "initiation-rate") -> Data
     return ranked.select("incident_id", "rank", F.col("tag").alias("candidate_tag"), "confidence", "explanation", F.lit(method).alias("method"))
 
 
-def accuracy_by_day(history: DataFrame, candidates: DataFrame) -> DataFrame:
-    """day, method, correct_count, total_count, accuracy_pct of confirmations joined with the first candidates."""
+def accuracy_parts(history: DataFrame, candidates: DataFrame) -> DataFrame:
+    """day, method, correct_count, total_count of confirmations joined with the first candidates."""
     both = history.join(candidates.where("rank = 1").select("incident_id", "method"), "incident_id")
-    right = F.count_if("engine_top_pick_correct")
     day = F.date_trunc("day", "confirmed_at").cast("timestamp_ntz")
-    return both.groupBy(day.alias("day"), "method").agg(right.alias("correct_count"), F.count("*").alias("total_count"), F.bround(100.0 * right / F.nullif(F.count("*"), F.lit(0)), 1).alias("accuracy_pct"))
+    return both.groupBy(day.alias("day"), "method").agg(F.count_if("engine_top_pick_correct").alias("correct_count"), F.count("*").alias("total_count"))
+
+
+def accuracy_of_parts(parts: DataFrame) -> DataFrame:
+    """day, method, correct_count, total_count, accuracy_pct of sums that add up."""
+    right, total = F.sum("correct_count"), F.sum("total_count")
+    return parts.groupBy("day", "method").agg(right.alias("correct_count"), total.alias("total_count"), F.bround(100.0 * right / F.nullif(total, F.lit(0)), 1).alias("accuracy_pct"))
+
+
+def accuracy_by_day(history: DataFrame, candidates: DataFrame) -> DataFrame:
+    """day, method, correct_count, total_count, accuracy_pct of confirmations joined with the first candidates."""
+    parts = accuracy_parts(history, candidates)
+    return parts.withColumn("accuracy_pct", F.bround(100.0 * F.col("correct_count") / F.nullif("total_count", F.lit(0)), 1))
 
 
 def recent_accuracy(by_day: DataFrame, days: int = 30, now: str | None = None) -> DataFrame:

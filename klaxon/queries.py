@@ -12,7 +12,7 @@ from .functions.alarms import classify_type, map_priority, zone_of
 from .operators import analysis, knowledge, kpis, prepare, rootcause
 from .sources import alarm_log as log_source
 from .sources.alarm_log import AlarmLog
-from .sources.base import scratch_folder, written
+from .sources.base import Historian, scratch_folder, written
 from .sources.store import ParquetStore
 from .sources.synthetic import SyntheticPlant
 
@@ -334,17 +334,37 @@ def validate(spark, sf_dir):
     return rootcause.validate(ranked, rows.groupBy("incident_id").agg(F.min_by("tag", F.struct("ts", "seq")).alias("root_tag")))
 
 
+def _days(spark, sf_dir) -> int:
+    return events(spark, sf_dir).agg(F.count_distinct(F.to_date("ts"))).first()[0]
+
+
 @query(None)
 def validate_synthetic(spark, sf_dir):
-    """The synthetic plant's known causes, found again."""
-    plant = SyntheticPlant(spark)
+    """The synthetic plant's known causes, found again over as many days as the log has."""
+    plant = SyntheticPlant(spark, days=max(1, _days(spark, sf_dir)))
     return rootcause.validate(rootcause.rank_candidates(rootcause.labelled(plant.alarm_events())), plant.ground_truth())
 
 
-@query(None)
+@query("SELECT tag, (SELECT count(DISTINCT ts::DATE) FROM events) * 1440 AS n FROM (VALUES " + ", ".join(f"('{t[0]}')" for t in schema.PLANT_TAGS) + ") t(tag)")
 def synthetic_samples(spark, sf_dir):
-    s = SyntheticPlant(spark, days=2).process_samples()
-    return s.groupBy("tag").agg(F.count("*").alias("n"), F.bround(F.avg("value"), 1).alias("mean"))
+    """Samples of the plant's tags, a minute apart, over as many days as the log has."""
+    return SyntheticPlant(spark, days=_days(spark, sf_dir)).process_samples().groupBy("tag").agg(F.count("value").alias("n"))
+
+
+@query("SELECT event_type AS tag, count(*) AS n, round_even(sum(value), 2) AS total, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1")
+def historian_samples(spark, sf_dir):
+    """`events` exported as samples to a folder, and read from there as a historian's."""
+    folder = scratch_folder(spark)
+    events(spark, sf_dir).select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("tag"), "value").repartition(4).write.parquet(folder)
+    return Historian(spark, samples=folder).process_samples().groupBy("tag").agg(F.count("*").alias("n"), F.bround(F.sum("value"), 2).alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query(f"WITH {_AL} SELECT tag, level, count(*) AS n FROM a GROUP BY ALL")
+def historian_alarms(spark, sf_dir):
+    """Alarms exported to a folder without some columns, and read from there."""
+    folder = scratch_folder(spark)
+    alarms(spark, sf_dir).select("ts", "seq", "tag", "level", "state", "transition").repartition(4).write.parquet(folder)
+    return Historian(spark, alarms=folder).alarm_events().where("state = 'ACTIVE' AND zone IS NULL").groupBy("tag", "level").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_KB} SELECT * REPLACE (array_to_string(alarm_types, ',') AS alarm_types) FROM kb ORDER BY confirmed_at DESC, id LIMIT 100")

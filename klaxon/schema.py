@@ -12,6 +12,7 @@ CONFIRMATIONS = "id string, signature string, incident_id string, root_tag strin
 INCIDENTS = "incident_id string, started_at timestamp_ntz, ended_at timestamp_ntz, unit string, alarm_count long, status string"
 INCIDENT_ALARMS = "incident_id string, tag string, description string, priority string, occurred_at timestamp_ntz, operator_id string, sequence_rank int"
 CANDIDATES = "incident_id string, tag string, method string, rank int, confidence double, explanation string"
+ACCURACY_PARTS = "day timestamp_ntz, method string, correct_count long, total_count long"
 
 # The order of priorities.
 PRIORITY_RANK = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}

@@ -34,17 +34,28 @@ class DataSource(Protocol):
 
 
 class Historian:
-    """Plant historians and OPC servers are reached through files that they drop; without a folder there is nothing to read."""
+    """Plant historians and OPC servers are reached through the files that they export, in batch or as a stream; without a folder there is
+    nothing to read."""
 
     def __init__(self, spark, samples: str | None = None, alarms: str | None = None):
-        self.spark, self.samples, self.alarms = spark, samples, alarms
+        self.spark, self.folders = spark, {"process_samples": samples, "alarms": alarms}
+
+    def _of(self, kind: str, reader) -> DataFrame:
+        from .export import Export
+
+        if not self.folders[kind]:
+            raise NotImplementedError(f"name the folder that the historian exports {kind} to")
+        self.spark.dataSource.register(Export)
+        return reader.format(Export.name()).option("path", self.folders[kind]).option("kind", kind).load()
 
     def process_samples(self) -> DataFrame:
-        if not self.samples:
-            raise NotImplementedError("name the folder that the historian exports samples to")
-        return self.spark.read.parquet(self.samples)
+        return self._of("process_samples", self.spark.read)
 
     def alarm_events(self) -> DataFrame:
-        if not self.alarms:
-            raise NotImplementedError("name the folder that the historian exports alarms to")
-        return self.spark.read.parquet(self.alarms)
+        return self._of("alarms", self.spark.read)
+
+    def sample_stream(self) -> DataFrame:
+        return self._of("process_samples", self.spark.readStream)
+
+    def alarm_stream(self) -> DataFrame:
+        return self._of("alarms", self.spark.readStream)

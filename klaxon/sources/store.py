@@ -11,7 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from .. import schema
 
-TABLES = {"process_samples": schema.SAMPLES, "alarms": schema.ALARMS, "episodes": schema.EPISODES, "kb_confirmations": schema.CONFIRMATIONS, "incidents": schema.INCIDENTS, "incident_alarms": schema.INCIDENT_ALARMS, "candidates": schema.CANDIDATES, "dataset_meta": schema.META}
+TABLES = {"process_samples": schema.SAMPLES, "alarms": schema.ALARMS, "episodes": schema.EPISODES, "kb_confirmations": schema.CONFIRMATIONS, "incidents": schema.INCIDENTS, "incident_alarms": schema.INCIDENT_ALARMS, "candidates": schema.CANDIDATES, "accuracy_parts": schema.ACCURACY_PARTS, "dataset_meta": schema.META}
 DAY = {"process_samples": "ts", "alarms": "ts", "episodes": "start_ts"}
 COMMITS = "version long, batch string, tables array<string>, replaces boolean"
 
