@@ -460,9 +460,10 @@ def search(tokens: DataFrame, items: Items, cosines: list[np.ndarray], idf: np.n
                 for (text, i, step), cosine in candidates(flat, starts).items():
                     if (ok := check(flat, starts, text, i, step * 8)) and ok[0] > best.get((text, i), (0, 0))[1]:
                         best[text, i] = (cosine, *ok)
-                for text, words in enumerate(tokens_):
+                for text, data in enumerate(tokens_):
+                    words = np.frombuffer(data, kind)
                     if len(words) < SHORT:
-                        for i in short.get(tuple(words), ()):
+                        for i in short.get(tuple(words.tolist()), ()):
                             best[text, i] = (1.0, 1.0, True, 0, len(words))
                 if best:
                     ids, keys = part.column("doc_id").to_pylist(), part.column("text_key").to_pylist()
