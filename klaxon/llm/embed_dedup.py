@@ -13,6 +13,9 @@ Of two cells, only vectors of the lower one visit the higher, so a pair is met o
 one at each. Equal vectors of a label are one node. A cell's vectors and its visitors are split into blocks of BLOCK, and each pair of
 blocks is a task's group: what it returns is sums and a forest, linear in its rows.
 
+Components are kept as the column has them: single precision as it is, all other numbers in double precision. Labels can be of any type
+that Spark casts to text; two labels are equal if their texts are (so 0.0 and -0.0 are, and NaN equals NaN).
+
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with nothing;
 vectors of different lengths don't link; equal vectors tie and are one node; null vec_ids take part but name no component (its smallest non-null id does; null if none);
 repeated rows are copies, linked to each other; an empty table gives an empty result; other columns are ignored.
@@ -29,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType, FractionalType
 
 from .common import sample_of, save
 from .components import components, forest, run_groups
@@ -37,8 +41,14 @@ THRESHOLD, TARGET = 0.93, 0.999
 SAMPLE, BLOCK = 4096, 512
 
 
+def component_type(df: DataFrame) -> str:
+    """How `vec` holds the components of df's embeddings: single precision if the column is, else double."""
+    return "<f4" if isinstance(df.schema["embedding"].dataType.elementType, FloatType) else "<f8"
+
+
 def valid_vectors(df: DataFrame) -> DataFrame:
-    """vec_id, label, node (hash of label and vector; null if the row links with nothing), vec (its floats)."""
+    """vec_id, label (as text), node (hash of label and vector; null if the row links with nothing), vec (its components as component_type() says)."""
+    kind = component_type(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,19 +56,22 @@ def valid_vectors(df: DataFrame) -> DataFrame:
             for label, vec in zip(batch.column("label").to_pylist(), batch.column("embedding"), strict=True):
                 x = None
                 if label is not None and vec.is_valid and len(vec) and not vec.values.null_count:
-                    x = vec.values.to_numpy().astype("<f4")
+                    x = vec.values.to_numpy().astype(kind)
                     if not np.isfinite(x).all() or not x.any():
                         x = None
-                nodes.append(None if x is None else xxhash.xxh3_128_digest(f"{label}|".encode() + (x + 0).tobytes()))
+                name = b"" if x is None else label.encode()
+                nodes.append(None if x is None else xxhash.xxh3_128_digest(len(name).to_bytes(8, "little") + name + (x + 0).tobytes()))
                 vecs.append(None if x is None else x.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(nodes, pa.binary()), pa.array(vecs, pa.binary())], ["vec_id", "label", "node", "vec"])
 
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
-    return rows.mapInArrow(run, "vec_id long, label long, node binary, vec binary")
+    label = F.col("label") + 0.0 if isinstance(df.schema["label"].dataType, FractionalType) else F.col("label")
+    numbers = F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>")
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), label.cast("string").alias("label"), numbers.alias("embedding"))
+    return rows.mapInArrow(run, "vec_id long, label string, node binary, vec binary")
 
 
-def unit(vecs: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vecs), "<f4").reshape(len(vecs), -1).astype(np.float64)
+def unit(vecs: list[bytes], kind: str = "<f4") -> np.ndarray:
+    x = np.frombuffer(b"".join(vecs), kind).reshape(len(vecs), -1).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -116,17 +129,18 @@ def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """Of one vector length: two codebooks, and either the number of visits or the radii of the codebooks' cells."""
+    """Of one vector length: two codebooks, and either the number of visits or the radii of the codebooks' cells; how vectors are held."""
 
     halves: list[np.ndarray]
     visits: int = 1
+    kind: str = "<f4"
     radii: list[np.ndarray] | None = None
 
     def distances(self, x: np.ndarray) -> list[np.ndarray]:
         return [_distances(p, c) for p, c in zip(_split(x), self.halves, strict=True)]
 
 
-def fit(nodes: DataFrame, threshold: float, target: float, seed: int = 7) -> dict[int, Index]:
+def fit(nodes: DataFrame, threshold: float, target: float, kind: str = "<f4", seed: int = 7) -> dict[int, Index]:
     """By vector length. From the nodes of lowest hash; with n nodes in the largest label, a codebook has about sqrt(n / BLOCK * 4) centroids."""
     rng = np.random.default_rng(seed)
     n = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
@@ -137,9 +151,9 @@ def fit(nodes: DataFrame, threshold: float, target: float, seed: int = 7) -> dic
         by_length.setdefault(len(r["vec"]), []).append(bytes(r["vec"]))
     index = {}
     for length, vecs in by_length.items():
-        x = unit(vecs)
+        x = unit(vecs, kind)
         halves = [fit_codebook(p, k, rng) for p in _split(x)]
-        index[length] = Index(halves, 1 if target >= 1 else max(1, calibrate(x, halves, threshold, target, rng)))
+        index[length] = Index(halves, 1 if target >= 1 else max(1, calibrate(x, halves, threshold, target, rng)), kind)
     if target >= 1:
         for found in index.values():
             found.radii = [np.zeros(len(c)) for c in found.halves]
@@ -152,7 +166,7 @@ def _by_length(vecs: list[bytes], index: dict[int, Index]):
     """(index, rows, unit vectors) for each length that has an index."""
     for length in {len(v) for v in vecs} & index.keys():
         rows = [k for k, v in enumerate(vecs) if len(v) == length]
-        yield index[length], rows, unit([vecs[k] for k in rows])
+        yield index[length], rows, unit([vecs[k] for k in rows], index[length].kind)
 
 
 def _radii(nodes: DataFrame, index: dict[int, Index]) -> DataFrame:
@@ -197,13 +211,13 @@ def place(nodes: DataFrame, index: dict[int, Index], threshold: float) -> DataFr
                         cells[k], visits[k] = c, [c, *(y for y in v if y > c)]
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("label"), part.column("vec"), part.column("copies"), pa.array(cells, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], ["node", "label", "vec", "copies", "cell", "visits"])
 
-    return nodes.select("node", "label", "vec", "copies").mapInArrow(run, "node binary, label long, vec binary, copies long, cell int, visits array<int>")
+    return nodes.select("node", "label", "vec", "copies").mapInArrow(run, "node binary, label string, vec binary, copies long, cell int, visits array<int>")
 
 
 _found = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
 
 
-def meet(placed: DataFrame, threshold: float) -> DataFrame:
+def meet(placed: DataFrame, threshold: float, kind: str = "<f4") -> DataFrame:
     """Rows a, null, n (n documents linked to a) and a, b, null (an edge)."""
     key = ["label", "length", "cell"]
     placed = placed.withColumn("length", F.length("vec"))
@@ -221,7 +235,7 @@ def meet(placed: DataFrame, threshold: float) -> DataFrame:
         left, right = [r for r in group if r["from"] >= 0], [r for r in group if r["from"] < 0]
         if not left or not right:
             return []
-        close = unit([r["vec"] for r in left]) @ unit([r["vec"] for r in right]).T >= threshold
+        close = unit([r["vec"] for r in left], kind) @ unit([r["vec"] for r in right], kind).T >= threshold
         names, places = {}, []
         for r in (*left, *right):
             places.append(names.setdefault(r["node"], len(names)))
@@ -244,11 +258,12 @@ def meet(placed: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
+    kind = component_type(df)
     rows = save(valid_vectors(df), "vectors")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
     nodes = save(nodes, "nodes")
-    placed = save(place(nodes, fit(nodes, threshold, target), threshold), "placed")
-    found = save(meet(placed, threshold), "met")
+    placed = save(place(nodes, fit(nodes, threshold, target, kind), threshold), "placed")
+    found = save(meet(placed, threshold, kind), "met")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     joined = components(found.where("b IS NOT NULL"))
     per_node = nodes.select("node", "copies", "least_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).join(links, "node", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, chat, cuckoo_dedup, decontam, embed_dedup, html_extract, impact_index, ngram_join, quality, sharding, token_align, token_output, warc
 from .common import read
@@ -14,6 +15,20 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def perturbed_vectors(embeddings: DataFrame) -> DataFrame:
+    """Four vectors of double precision for each of `embeddings`, so that there are links: itself, two whose components vary by a rule of
+    vec_id and place (cosines about 0.97 and 0.89 to itself), and one of another length in the same direction. Ids are 4 * vec_id + 0 to 3."""
+    form = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("form")
+    rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"), form)
+    varied = F.expr("transform(e, (x, k) -> CASE form WHEN 3 THEN x * 2.0D ELSE x * (1.0D + 0.08D * form * (pmod(7 * vec_id + 13 * k + 29 * form, 11) - 5)) END)")
+    return rows.select((4 * F.col("vec_id") + F.col("form")).alias("vec_id"), "label", varied.alias("embedding"))
+
+
+def perturbed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 by its exact way over vectors of which many link."""
+    return embed_dedup.near_duplicates(perturbed_vectors(read(spark, sf_dir, "embeddings")), target=1)
+
+
 def op2_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
@@ -69,15 +84,21 @@ least AS (SELECT id, min(r) AS r FROM reach GROUP BY id),
 numbers AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 """
 
-OP1_SQL = f"""
-WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
-v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+_OP1 = f"""
+WITH RECURSIVE given AS (%s),
+ids AS (SELECT vec_id AS id FROM given),
+v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM given WHERE label IS NOT NULL AND embedding IS NOT NULL),
 ok AS (SELECT *, sqrt(list_inner_product(e, e)) AS size FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM ok p JOIN ok q ON p.label = q.label AND p.vec_id <> q.vec_id AND list_inner_product(p.e, q.e) / (p.size * q.size) >= 0.93),
 {_COMPONENTS}
 SELECT l.id AS vec_id, coalesce(n.n, 0) AS n_links, l.r AS component_id, l.id = l.r AS kept FROM least l LEFT JOIN numbers n ON n.a = l.id
 """
 
+OP1_SQL = _OP1 % "SELECT vec_id, label, embedding FROM embeddings"
+
+PERTURBED_SQL = _OP1 % """SELECT 4 * vec_id + form AS vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x, k:
+  CASE form WHEN 3 THEN x * 2 ELSE x * (1::DOUBLE + 0.08::DOUBLE * form * ((7 * vec_id + 13 * (k - 1) + 29 * form) % 11 - 5)) END) AS embedding FROM embeddings, range(4) r(form)"""
+
 OP8_SQL = f"""
 WITH RECURSIVE ids AS (SELECT doc_id AS id FROM documents),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents),
@@ -125,9 +146,9 @@ SELECT item_id, (row_number() OVER (PARTITION BY item_id, text ORDER BY score DE
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_multi_index, op2_shard_slots, op3_warc, op4_bradley_terry, op5_latent_leaks, op6_block_lstm, op7_byte_bpe, op8_lsh_forest, op9_simple8b, op10_chat_grammar, op11_cuckoo_filter, op12_bit_sliced, op13_segment_alignment)
+    found = (op1_multi_index, perturbed_links, op2_shard_slots, op3_warc, op4_bradley_terry, op5_latent_leaks, op6_block_lstm, op7_byte_bpe, op8_lsh_forest, op9_simple8b, op10_chat_grammar, op11_cuckoo_filter, op12_bit_sliced, op13_segment_alignment)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_multi_index": OP1_SQL, "op3_warc": OP3_SQL, "op10_chat_grammar": OP10_SQL, "op8_lsh_forest": OP8_SQL, "op11_cuckoo_filter": OP11_SQL, "op12_bit_sliced": OP12_SQL}
+    return {"op1_multi_index": OP1_SQL, "perturbed_links": PERTURBED_SQL, "op3_warc": OP3_SQL, "op10_chat_grammar": OP10_SQL, "op8_lsh_forest": OP8_SQL, "op11_cuckoo_filter": OP11_SQL, "op12_bit_sliced": OP12_SQL}

@@ -112,6 +112,17 @@ def test_vectors_in_many_cells(spark, monkeypatch, target):
         assert {r["vec_id"]: r["n_links"] for r in got} == {rows[k][0]: n.get(k, 0) for k in range(len(rows))}
 
 
+def test_vectors_of_doubles_and_labels_of_text(spark):
+    """Components beyond single precision link by their cosine; labels are whatever they are, and a label's text is no part of another's."""
+    big = [(1, "a", [1e39, 1.0]), (2, "a", [1e39, 1.0]), (3, "a", [1e-50, 0.0]), (4, "a", [1e-50, 0.0]), (5, "a", [5e-324, 0.0]), (6, "b", [1e39, 1.0]), (7, "a", [0.0, 1e300]), (8, None, [1e39, 1.0])]
+    big += [(9, "c", [1.0, 1e-9]), (10, "c", [1.0, 1.1e-9]), (11, "c", [1.0, None]), (12, "c", [float("inf"), 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(spark.createDataFrame(big, "vec_id long, label string, embedding array<double>")).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (4, 1), 6: (0, 6), 7: (0, 7), 8: (0, 8), 9: (1, 9), 10: (1, 9), 11: (0, 11), 12: (0, 12)}
+    rows = [(1, 0.0, [3, 4]), (2, -0.0, [6, 8]), (3, 1.0, [3, 4])]
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id int, label double, embedding array<int>")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
+
+
 # 2: shards
 def test_shards(spark):
     rows = AWKWARD + [(100 + k, prose(R.randint(1, 200))) for k in range(600)] + [(1000 + k, "hot copy " * 40) for k in range(300)]
