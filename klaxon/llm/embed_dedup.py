@@ -221,13 +221,13 @@ def meet(placed: DataFrame, threshold: float, kind: str = "<f4") -> DataFrame:
     """Rows a, null, n (n documents linked to a) and a, b, null (an edge)."""
     key = ["label", "length", "cell"]
     placed = placed.withColumn("length", F.length("vec"))
-    goes = placed.select("label", "length", F.explode("visits").alias("cell"), F.col("cell").alias("from"), "node", "vec", "copies")
+    goes = placed.select("label", "length", F.explode("visits").alias("cell"), F.col("cell").alias("from"), "node")
     visitors = goes.groupBy(key).agg(F.count("*").alias("nq"))
     sizes = placed.groupBy(key).agg(F.count("*").alias("ni")).join(visitors, key)  # cells without vectors drop out
     blocks = sizes.select(*key, *(F.ceil(F.col(x) / BLOCK).cast("int").alias(y) for x, y in (("ni", "bi"), ("nq", "bq"))))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = ["node", "vec", "copies", "from"]
+    rest = ["node", "from"]
     stay = placed.withColumn("from", F.lit(-1)).join(blocks, key).select(*key, part("bi").alias("i"), each("bq").alias("q"), *rest)
     come = goes.join(blocks, key).select(*key, each("bi").alias("i"), part("bq").alias("q"), *rest)
 
@@ -253,7 +253,9 @@ def meet(placed: DataFrame, threshold: float, kind: str = "<f4") -> DataFrame:
         edges = forest(zip(p[x].tolist(), q[y].tolist(), strict=True), len(at))
         return [(at[k], None, int(totals[k])) for k in np.flatnonzero(totals).tolist()] + [(at[i], at[j], None) for i, j in edges]
 
-    return run_groups(stay.unionByName(come), [*key, "i", "q"], compare, "a binary, b binary, n long", _found)
+    # Nodes are dealt to blocks by name; those that have a block to meet fetch their vectors once for each.
+    dealt = stay.unionByName(come).join(placed.select("node", "vec", "copies"), "node")
+    return run_groups(dealt, [*key, "i", "q"], compare, "a binary, b binary, n long", _found)
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
