@@ -4,9 +4,11 @@ so its texts stand as in a prefix trie, and the longest common prefix of neighbo
 1. Texts with equal shingle sets are one class from the start.
 2. Longest prefixes: each text meets the first texts of the deepest branches that it stands in (of the NEAREST longest matches in all
    trees), and similar ones merge. This takes near copies together at the cost of a few comparisons each.
-3. Prefixes are shortened where that can find more: a branch whose texts are one class is done; where a shorter prefix takes several
-   classes together, all pairs of different classes are compared, in blocks. No prefix gets shorter than `depth_for(...)`, at
-   which a pair at the threshold meets in some tree with the target probability.
+3. Prefixes are shortened value by value, from DEPTH down. At each length, a branch whose texts are one class, or which a longer prefix
+   holds as well, is done; in others all pairs of different classes are compared, in blocks. After each length, the links found so far,
+   weighed by the probability that links of their similarity meet at this length, tell the recall in each band of similarity (steps
+   of BAND). Shortening stops where a length finds nothing new and every band that holds links has the target recall, and at the
+   latest at `depth_for(...)`, where a pair at the threshold itself meets in some tree with the target probability.
 4. Links are counted inside the components, exactly and over all pairs, in blocks; so a link can be missed only where it is the
    sole way between two parts of a component, with the probability that the target leaves.
 
@@ -40,6 +42,8 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET = 16, 8, 0.9995
 #: Texts of a block; two blocks meet in a task. Longest matches that a text meets first.
 BLOCK, NEAREST = 128, 3
+#: Width of the bands of similarity in which recall is measured.
+BAND = 0.05
 
 _rng = np.random.default_rng(20240229)
 _byte = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,10 +178,10 @@ def sign(docs: DataFrame, threshold: float = THRESHOLD, exact: bool = False) ->
 
 
 def tries(nodes: DataFrame, depth: int) -> DataFrame:
-    """key, node, lcp, first of the texts that share a prefix of at least `depth` with another in a tree. key names the tree and that
-    prefix; lcp is the length of the prefix shared with the text before in sorted order (0 for the first of a key), and first the first
-    text of the branch of that length. Trees are dealt out by key and sorted; a walk keeps one row and the begin of each branch."""
-    rest = DEPTH - depth
+    """key, node, lcp, first, rest of the texts that share a prefix of at least `depth` with another in a tree. key names the tree and that
+    prefix; lcp is the length of the prefix shared with the text before in sorted order (0 for the first of a key), first the first
+    text of the branch of that length, and rest the values below the key's prefix. Trees are dealt out by key and sorted; a walk keeps one row and the begin of each branch."""
+    rest, names = DEPTH - depth, ["key", "node", "lcp", "first", "rest"]
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = nodes.select("node", "sig", tree.alias("tree")).select(
         F.expr(f"xxhash64(tree, substring(sig, tree * {DEPTH * 4} + 1, {depth * 4}))").alias("key"), F.expr(f"substring(sig, tree * {DEPTH * 4} + {depth * 4 + 1}, {rest * 4})").alias("rest"), "node"
@@ -214,11 +218,12 @@ def tries(nodes: DataFrame, depth: int) -> DataFrame:
             keep = np.flatnonzero(matched[:-1] | (lcp[1:] >= depth)).tolist()
             last = (int(keys[-1]), values[-1].tobytes(), nodes_[-1], lengths[-1], firsts[-1])
             if keep:
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array([nodes_[k] for k in keep], pa.binary()), pa.array([lengths[k] for k in keep], pa.int32()), pa.array([firsts[k] for k in keep], pa.binary())], ["key", "node", "lcp", "first"])
+                below = pa.array([values[k].tobytes() for k in keep], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array([nodes_[k] for k in keep], pa.binary()), pa.array([lengths[k] for k in keep], pa.int32()), pa.array([firsts[k] for k in keep], pa.binary()), below], names)
         if last is not None and last[3] >= depth:
-            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[2]], pa.binary()), pa.array([last[3]], pa.int32()), pa.array([last[4]], pa.binary())], ["key", "node", "lcp", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[2]], pa.binary()), pa.array([last[3]], pa.int32()), pa.array([last[4]], pa.binary()), pa.array([last[1]], pa.binary())], names)
 
-    return rows.repartition("key").sortWithinPartitions("key", "rest", "node").mapInArrow(walk, "key long, node binary, lcp int, first binary")
+    return rows.repartition("key").sortWithinPartitions("key", "rest", "node").mapInArrow(walk, "key long, node binary, lcp int, first binary, rest binary")
 
 
 def filtered(nodes: DataFrame) -> DataFrame:
@@ -228,8 +233,13 @@ def filtered(nodes: DataFrame) -> DataFrame:
     return rows.join(several, "key").select("key", "node", F.when(F.col("node") != F.col("first"), 1).otherwise(0).alias("lcp"), "first")
 
 
+def similarity(s: np.ndarray, t: np.ndarray) -> float:
+    n = len(np.intersect1d(s, t, assume_unique=True))
+    return n / (len(s) + len(t) - n)
+
+
 def _linked_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs a, b whose texts are similar."""
+    """Those of the pairs a, b whose texts are similar, with their similarity."""
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,42 +248,45 @@ def _linked_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataF
                 a, b = part.column("text_a").to_pylist(), part.column("text_b").to_pylist()
                 places = {t: k for k, t in enumerate(dict.fromkeys(a + b))}
                 sets = shingles(list(places))
-                keep = []
+                keep, near = [], []
                 for x, y in zip(a, b, strict=True):
                     s, t = sets[places[x]], sets[places[y]]
                     n = len(np.intersect1d(s, t, assume_unique=True))
                     keep.append(n * 1_000_000 >= round(threshold * 1_000_000) * (len(s) + len(t) - n))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    near.append(n / (len(s) + len(t) - n))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(near, pa.float64())], ["a", "b", "near"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, near double")
 
 
-_edges = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_edges = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("near", pa.float64())])
 
 
 def _largest(rows: DataFrame) -> DataFrame:
-    """rows of the branches that hold several classes, with big (the branch's largest class), n_big (its nodes there) and rest (all others)."""
-    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("c"))
-    big = sizes.groupBy("key").agg(F.max(F.struct("c", F.col("class").alias("big"))).alias("b"), F.sum("c").alias("n"), F.count("*").alias("classes"))
-    return rows.join(big.where("classes > 1").select("key", F.col("b.big"), F.col("b.c").alias("n_big"), (F.col("n") - F.col("b.c")).alias("rest")), "key")
+    """rows of the branches that hold several classes and longer prefixes (`longer`), with big (the branch's largest class), n_big (its nodes
+    there) and rest (all others)."""
+    sizes = rows.groupBy("key", "class").agg(F.count("*").alias("c"), F.min("longer").alias("lo"), F.max("longer").alias("hi"))
+    big = sizes.groupBy("key").agg(F.max(F.struct("c", F.col("class").alias("big"))).alias("b"), F.sum("c").alias("n"), F.count("*").alias("classes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return rows.drop("longer").join(big.where("classes > 1 AND lo <> hi").select("key", F.col("b.big"), F.col("b.c").alias("n_big"), (F.col("n") - F.col("b.c")).alias("rest")), "key")
 
 
 def _with_class(df: DataFrame, classes: DataFrame) -> DataFrame:
     return df.join(classes.select("node", "component"), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
 
 
-def link_classes(nodes: DataFrame, texts_of, threshold: float = THRESHOLD, target: float = TARGET) -> tuple[DataFrame, DataFrame]:
-    """(node, component) of the nodes that have a link, and (node, text) of all candidates. texts_of(candidates) gives the text of
-    each candidate node."""
-    found = save(filtered(nodes) if target >= 1 else tries(nodes, depth_for(threshold, target)), "branches")
-    texts = save(texts_of(found.select("node").distinct()), "candidate-texts")
-    longest = found.where("lcp > 0").groupBy("node").agg(F.slice(F.sort_array(F.collect_set(F.struct("lcp", "first")), False), 1, NEAREST).alias("met"))
-    met = longest.select(F.col("node").alias("b"), F.explode("met.first").alias("a")).select("a", "b").distinct()
-    edges = save(_linked_pairs(met, texts, threshold), "links")
-    classes = components(edges)
-    # Nodes outside the largest class of their branch meet its nodes, and each other. Nodes of one class need no comparison, so a
-    # large class is met by each of the others but not by itself.
-    rows = save(_largest(_with_class(found.select("key", "node"), classes)), "shortened")
+def recalls(edges: DataFrame, depth: int) -> list[float]:
+    """The recall, in each band of similarity that holds some of these links, of links that meet where prefixes have this length: the
+    links found over the sum of their inverse probabilities to be found."""
+    met = 1 - F.pow(1 - F.pow("near", F.lit(depth)), F.lit(TREES))
+    bands = edges.groupBy(F.floor(F.col("near") / BAND + 1e-9).alias("band")).agg((F.count("*") / F.sum(1 / met)).alias("recall"))
+    return [r["recall"] for r in bands.collect()]
+
+
+def _compared(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a, b, near: a forest of links between the classes that meet in a branch. rows: key, longer, node, class. Nodes outside the largest class
+    of their branch meet its nodes, and each other. Nodes of one class need no comparison, so a large class is met by each of the
+    others but not by itself."""
+    rows = save(_largest(rows), "shortened")
     inside = F.col("class") == F.col("big")
     blocks = {x: F.ceil(F.col(x) / BLOCK).cast("int") for x in ("n_big", "rest")}
     own = F.pmod(F.xxhash64("node"), F.when(inside, blocks["n_big"]).otherwise(blocks["rest"])).cast("int")
@@ -288,13 +301,50 @@ def link_classes(nodes: DataFrame, texts_of, threshold: float = THRESHOLD, targe
         sets = shingles([r["text"] for r in group])
         close = similar(sets, threshold)
         i, j = np.nonzero(np.triu(close, 1))
-        names: dict[bytes, int] = {}
-        place = [names.setdefault(r["class"], len(names)) for r in group]
-        at = list(names)
-        return [(at[a], at[b]) for a, b in forest(((place[x], place[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)), len(at))]
-
-    more = run_groups(rows.select("key", "lo", "hi", "node", "class", "text"), ["key", "lo", "hi"], compare, "a binary, b binary", _edges)
-    return components(edges.unionByName(more)), texts
+        first: dict[bytes, int] = {}
+        place = [first.setdefault(r["class"], k) for k, r in enumerate(group)]  # of each row, the first of its class
+        pairs: dict[tuple[int, int], tuple[int, int]] = {}  # of two classes, two texts that link them
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            pairs.setdefault((place[x], place[y]), (x, y))
+        return [(group[a]["class"], group[b]["class"], similarity(*(sets[k] for k in pairs[a, b]))) for a, b in forest((p for p in pairs if p[0] != p[1]), len(group))]
+
+    return run_groups(rows.select("key", "lo", "hi", "node", "class", "text"), ["key", "lo", "hi"], compare, "a binary, b binary, near double", _edges)
+
+
+def _merged(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """classes after links between classes (a node without one is its own)."""
+    moved = components(edges).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    known = classes.join(moved, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    fresh = moved.join(classes, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return save(known.unionByName(fresh), "merged")
+
+
+def link_classes(nodes: DataFrame, texts_of, threshold: float = THRESHOLD, target: float = TARGET) -> tuple[DataFrame, DataFrame, list[tuple[int, int, float]]]:
+    """(node, component) of the nodes that have a link; (node, text) of all candidates; and of each prefix length that was tried, the length,
+    the links that it found beyond longer ones, and the least recall of a band after it (1 if there are no links). texts_of(candidates)
+    gives the text of each candidate node. A target of 1 has one step, of length 0."""
+    exact = target >= 1
+    floor = 0 if exact else depth_for(threshold, target)
+    found = save(filtered(nodes) if exact else tries(nodes, floor), "branches")
+    texts = save(texts_of(found.select("node").distinct()), "candidate-texts")
+    longest = found.where("lcp > 0").groupBy("node").agg(F.slice(F.sort_array(F.collect_set(F.struct("lcp", "first")), False), 1, NEAREST).alias("met"))
+    met = longest.select(F.col("node").alias("b"), F.explode("met.first").alias("a")).select("a", "b").distinct()
+    edges = save(_linked_pairs(met, texts, threshold), "links")
+    classes = save(components(edges), "merged")
+    steps: list[tuple[int, int, float]] = []
+    for depth in range(floor if exact else DEPTH, floor - 1, -1):
+        prefix = lambda d: F.xxhash64("key", F.expr(f"substring(rest, 1, {(d - floor) * 4})"))
+        key = F.col("key") if exact else prefix(depth).alias("key")
+        longer = F.xxhash64("node") if depth in (0, DEPTH) else prefix(depth + 1)
+        new = save(_compared(_with_class(found.select(key, longer.alias("longer"), "node"), classes), texts, threshold), "links")
+        n = new.count()
+        if n:
+            classes, edges = _merged(classes, new), edges.unionByName(new)
+        least = 1.0 if exact else min(recalls(edges, depth), default=1.0)
+        steps.append((depth, n, least))
+        if not n and least >= target:
+            break
+    return classes, texts, steps
 
 
 _counts = pa.schema([("node", pa.binary()), ("n", pa.int64())])
@@ -332,8 +382,7 @@ def _classes(docs: DataFrame, threshold: float, target: float) -> tuple[DataFram
         met = source.join(text, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.xxhash64("text")))
         return met.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows give a text several times
 
-    classes, texts = link_classes(nodes.select("node", "sig"), texts_of, threshold, target)
-    classes = save(classes, "classes")
+    classes, texts, _ = link_classes(nodes.select("node", "sig"), texts_of, threshold, target)
     per_node = nodes.select("node", "copies", "least").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
     return signed.select("doc_id", "text_key", "node"), per_node, classes, texts
 
