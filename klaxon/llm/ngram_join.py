@@ -4,7 +4,7 @@ so its texts stand as in a prefix trie, and the longest common prefix of neighbo
 1. Texts with equal shingle sets are one class from the start.
 2. Longest prefixes: each text meets the first texts of the deepest branches that it stands in (of the NEAREST longest matches in all
    trees), and similar ones merge. This takes near copies together at the cost of a few comparisons each.
-3. Prefixes are shortened value by value, from DEPTH down. At each length, a branch whose texts are one class, or which a longer prefix
+3. Prefixes are shortened by STEP values at a time, from DEPTH down. At each length, a branch whose texts are one class, or which a longer prefix
    holds as well, is done; in others all pairs of different classes are compared, in blocks. After each length, the links found so far,
    weighed by the probability that links of their similarity meet at this length, tell the recall in each band of similarity (steps
    of BAND). Shortening stops where a length finds nothing new and every band that holds links has the target recall, and at the
@@ -42,6 +42,9 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET = 16, 8, 0.9995
 #: Texts of a block; two blocks meet in a task. Longest matches that a text meets first.
 BLOCK, NEAREST = 128, 3
+#: Values by which prefixes are shortened; pairs that a longer prefix joins are compared again with what a shorter one adds to their branch,
+#: so smaller steps repeat more.
+STEP = 2
 #: Width of the bands of similarity in which recall is measured.
 BAND = 0.05
 
@@ -332,10 +335,11 @@ def link_classes(nodes: DataFrame, texts_of, threshold: float = THRESHOLD, targe
     edges = save(_linked_pairs(met, texts, threshold), "links")
     classes = save(components(edges), "merged")
     steps: list[tuple[int, int, float]] = []
-    for depth in range(floor if exact else DEPTH, floor - 1, -1):
+    depths = [0] if exact else [*range(DEPTH, floor, -STEP), floor]
+    for before, depth in zip([None, *depths], depths):  # noqa: B905  the last one is before none
         prefix = lambda d: F.xxhash64("key", F.expr(f"substring(rest, 1, {(d - floor) * 4})"))
         key = F.col("key") if exact else prefix(depth).alias("key")
-        longer = F.xxhash64("node") if depth in (0, DEPTH) else prefix(depth + 1)
+        longer = F.xxhash64("node") if before is None else prefix(before)
         new = save(_compared(_with_class(found.select(key, longer.alias("longer"), "node"), classes), texts, threshold), "links")
         n = new.count()
         if n:

@@ -559,19 +559,19 @@ def trace(spark, rows):
 
 
 def test_prefixes_are_shortened_step_by_step(spark):
-    """Near copies far from the threshold end the search before the shortest prefix; links near it lead down to that, one value at a time."""
+    """Near copies far from the threshold end the search before the shortest prefix; links near it lead down to that by steps."""
     r = random.Random(4)
     base = [prose(400, r) for _ in range(30)]
     far = [(k, t) for k, t in enumerate(base)] + [(100 + k, near(t, 1, r)) for k, t in enumerate(base)]
     steps, classes = trace(spark, far)
     floor = ngram_join.depth_for(ngram_join.THRESHOLD, ngram_join.TARGET)
-    assert [d for d, _, _ in steps] == list(range(ngram_join.DEPTH, steps[-1][0] - 1, -1)) and steps[-1][0] > floor
+    assert [d for d, _, _ in steps] == list(range(ngram_join.DEPTH, steps[-1][0] - 1, -ngram_join.STEP)) and steps[-1][0] > floor
     assert steps[-1][1] == 0 and steps[-1][2] >= ngram_join.TARGET
     assert classes == {frozenset((k, 100 + k)) for k in range(30)}
     base = [prose(50, r) for _ in range(40)]  # a changed word leaves 41 of 51 shingles
     close = [(k, t) for k, t in enumerate(base)] + [(100 + 10 * k + j, near(t, 1, r)) for k, t in enumerate(base) for j in range(4)]
     steps, classes = trace(spark, close)
-    assert [d for d, _, _ in steps] == list(range(ngram_join.DEPTH, floor - 1, -1))
+    assert [d for d, _, _ in steps] == [*range(ngram_join.DEPTH, floor, -ngram_join.STEP), floor]
     assert all(least < ngram_join.TARGET or n for _, n, least in steps[:-1])
     part = roots(range(len(close)), brute_texts(close))
     assert classes == {frozenset(close[k][0] for k in g) for g in groups_of_rows(part) if len(g) > 1}
