@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import analysis, kpis, knowledge, rootcause
+from ..sources.base import scratch
 from ..sources.store import ParquetStore, to_json
 
 
@@ -46,7 +47,9 @@ class Service:
 
     def summary(self) -> dict:
         meta = self.store.meta()
-        return to_json(kpis.summary(self.alarms, self.incidents)) | {"dataset": meta.get("source", "synthetic generator"), "kind": meta.get("kind", "synthetic")}
+        with scratch():
+            found = to_json(kpis.summary(self.alarms, self.incidents))
+        return found | {"dataset": meta.get("source", "synthetic generator"), "kind": meta.get("kind", "synthetic")}
 
     def tags_status(self, top: int = 60) -> DataFrame:
         return kpis.tags_status(self.alarms, top)
@@ -67,7 +70,8 @@ class Service:
         return analysis.pre_incident_sequences(self.alarms)
 
     def kpis(self) -> dict:
-        return to_json(kpis.summary_kpis(self.alarms, self.store.read("episodes")))
+        with scratch():
+            return to_json(kpis.summary_kpis(self.alarms, self.store.read("episodes")))
 
     def incident_list(self, top: int = 40) -> DataFrame:
         return rootcause.largest(self.incidents, top)

@@ -3,7 +3,10 @@
 import csv
 import io
 import json
+import os
 import random
+import threading
+from urllib.parse import urlparse
 
 import pytest
 
@@ -11,7 +14,7 @@ from klaxon import schema
 from klaxon.operators import rootcause
 from klaxon.plans import report
 from klaxon.plans.service import Service
-from klaxon.sources import alarm_log, csv_scan
+from klaxon.sources import alarm_log, base, csv_scan
 from klaxon.sources.base import Historian
 from klaxon.sources.store import Batch, ParquetStore
 from klaxon.sources.synthetic import SyntheticPlant
@@ -256,3 +259,26 @@ def test_plant_and_service(spark, tmp_path):
     assert payload["summary"]["incidents"] == 4 and json.dumps(payload)
     assert "== Root cause" in report.report(service, plant.ground_truth(), 3)
     assert "accuracy" in report.report(service, report.truth_of(store), 3) and "1.0" in report.report(service, report.truth_of(store), 3).split("== Validation")[1]
+
+
+def test_scratch_goes_with_its_block(spark, tmp_path, monkeypatch):
+    made, own = [], base.scratch_folder
+    monkeypatch.setattr(base, "scratch_folder", lambda s: made.append(own(s)) or made[-1])
+    kept = lambda: [os.path.exists(urlparse(p).path) for p in made]
+    with base.scratch():
+        outer, elsewhere = base.written(spark.range(5)), []
+        other = threading.Thread(target=lambda: elsewhere.append(base.written(spark.range(7))))
+        other.start()
+        other.join()
+        with pytest.raises(ZeroDivisionError), base.scratch():
+            base.written(spark.range(3))
+            base.scratch_folder(spark)  # nothing is written there
+            assert kept() == [True, True, True, False]
+            1 / 0  # noqa: B018
+        assert kept() == [True, True, False, False] and outer.count() == 5
+    assert kept() == [False, True, False, False] and elsewhere[0].count() == 7
+    store = ParquetStore(spark, str(tmp_path / "store"))
+    store.append(spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' AS ts, 0L AS seq, 'T' AS tag, 'HI' AS level, 'HIGH' AS priority, 'ACTIVE' AS state"), "alarms")
+    service = Service(store)
+    assert service.kpis() and service.summary()["total_alarms"] == 1
+    assert len(made) > 4 and not any(kept()[4:])
