@@ -83,7 +83,8 @@ def quantiles(counts: DataFrame, at: dict[str, float], pieces: int = 200) -> Dat
     """One row: exact quantiles, between two values on the line between them, of numbers `v` that occur `n` times each. Approximate quantiles cut
     the distinct numbers into pieces, whose counts tell the few that hold the places asked for; only those are sorted. No buffer holds the
     numbers, and the passes over `counts` are three whatever is asked."""
-    cuts = counts.agg(F.percentile_approx("v", [k / pieces for k in range(1, pieces)], 10_000).alias("cuts"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    # Written once, as they depend on the order in which partial results arrive: all uses must see the same pieces.
+    cuts = written(counts.agg(F.percentile_approx("v", [k / pieces for k in range(1, pieces)], 10_000).alias("cuts"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")))
     placed = counts.crossJoin(F.broadcast(cuts)).withColumn("piece", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
     sizes = placed.groupBy("piece").agg(F.sum("n").alias("m"), F.first("total").alias("total"))  # at most as many rows as pieces
     sizes = sizes.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("total").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.alarms import floor_to, minutes
+from ..sources.base import written
 from .sessions import neighbours
 
 
@@ -61,9 +62,10 @@ def pivot_tags(aligned: DataFrame, tags: list[str]) -> DataFrame:
 
 def medians(df: DataFrame, key: str, value: str, pieces: int = 200) -> DataFrame:
     """key, median: exact, and the mean of the two middle values of an even number. Approximate quantiles cut a key's distinct values into
-    pieces, whose counts tell the one or two that hold the middle; only those are sorted, so no task holds a key's values."""
+    pieces, whose counts tell the one or two that hold the middle; only those are sorted, so no task holds a key's values. The cuts depend on the order in
+    which partial results arrive, so they are written once: pieces counted by some cuts and sorted by others would give a neighbour of the median."""
     known = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-    cuts = known.groupBy("k").agg(F.percentile_approx("v", [n / pieces for n in range(1, pieces)], 10_000).alias("cuts"), F.count("*").alias("total"))
+    cuts = written(known.groupBy("k").agg(F.percentile_approx("v", [n / pieces for n in range(1, pieces)], 10_000).alias("cuts"), F.count("*").alias("total")))
     counts = known.groupBy("k", "v").agg(F.count("*").alias("n")).join(cuts, "k").withColumn("piece", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
     sizes = counts.groupBy("k", "piece", "total").agg(F.sum("n").alias("m"))
     before = F.sum("m").over(Window.partitionBy("k").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
