@@ -7,7 +7,9 @@ is indexed. The number of centroids grows with the root of the largest label's s
 visits is the one at which a vector turned to just the threshold, in a random direction, is met with probability `target`.
 
 A target of 1 asks for the exact way: a vector visits every cell that can hold a link, by the triangle inequality on the distances of
-its halves to the centroids and the cells' radii, which come from all vectors. That finds every link, with more visits.
+its halves to the centroids and the cells' radii, which come from all vectors. That finds every link, with more visits; where vectors
+lie in no clusters it is nearly all cells. So its cells and blocks are large (exact_block()), and a vector is sent to few of them; the
+pairs that are compared grow with the square of a label's size, which is the nature of the exact way, and memory doesn't.
 
 Of two cells, only vectors of the lower one visit the higher, so a pair is met once; a pair in one cell is met from both ends and counts for
 one at each. Equal vectors of a label are one node. A cell's vectors and its visitors are split into blocks of BLOCK, and each pair of
@@ -39,6 +41,8 @@ from .components import components, forest, run_groups
 
 THRESHOLD, TARGET = 0.93, 0.999
 SAMPLE, BLOCK = 4096, 512
+#: Of the exact way: bytes of a block's vectors, and most vectors of one.
+EXACT_BYTES, EXACT_ROWS = 8 << 20, 16_384
 
 
 def component_type(df: DataFrame) -> str:
@@ -140,11 +144,18 @@ class Index:
         return [_distances(p, c) for p, c in zip(_split(x), self.halves, strict=True)]
 
 
+def exact_block(length: int) -> int:
+    """Vectors of `length` bytes in a block of the exact way."""
+    return max(BLOCK, min(EXACT_ROWS, EXACT_BYTES // max(1, length)))
+
+
 def fit(nodes: DataFrame, threshold: float, target: float, kind: str = "<f4", seed: int = 7) -> dict[int, Index]:
-    """By vector length. From the nodes of lowest hash; with n nodes in the largest label, a codebook has about sqrt(n / BLOCK * 4) centroids."""
+    """By vector length. From the nodes of lowest hash; with n nodes in the largest label, a codebook has about sqrt(n / BLOCK * 4) centroids, or
+    sqrt(n / exact_block()) for the exact way."""
     rng = np.random.default_rng(seed)
     n = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    k = max(1, math.ceil(math.sqrt(4 * n / BLOCK)))
+    block = exact_block(nodes.agg(F.max(F.length("vec"))).first()[0] or 0) if target >= 1 else BLOCK / 4
+    k = max(1, math.ceil(math.sqrt(n / block)))
     rows = sample_of(nodes.select("node", "vec"), "node", max(SAMPLE, 16 * k)).select("vec").collect()
     by_length: dict[int, list[bytes]] = {}
     for r in rows:
@@ -217,14 +228,51 @@ def place(nodes: DataFrame, index: dict[int, Index], threshold: float) -> DataFr
 _found = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
 
 
-def meet(placed: DataFrame, threshold: float, kind: str = "<f4") -> DataFrame:
+def close_pairs(left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of the unit vectors left[x], right[y] whose product is at least threshold, a run of left's rows at a time. Products in single precision,
+    whose error is below `slack`, tell which pairs can be; those are worked out in double precision."""
+    a, b = left.astype(np.float32), right.astype(np.float32)
+    slack = (left.shape[1] + 4) * 2.0**-23
+    for start in range(0, len(left), BLOCK):
+        x, y = np.nonzero(a[start : start + BLOCK] @ b.T >= np.float32(threshold - slack))
+        for k in range(0, len(x), 1 << 16):
+            p, q = x[k : k + (1 << 16)] + start, y[k : k + (1 << 16)]
+            sure = np.einsum("ij,ij->i", left[p], right[q]) >= threshold
+            yield p[sure], q[sure]
+
+
+def compare_large(group: list[dict], threshold: float, kind: str) -> list[tuple]:
+    """What meet() finds in a group of the exact way."""
+    left, right = [r for r in group if r["from"] >= 0], [r for r in group if r["from"] < 0]
+    if not left or not right:
+        return []
+    names: dict[bytes, int] = {}
+    p, q = (np.array([names.setdefault(r["node"], len(names)) for r in side]) for side in (left, right))
+    weight_p, weight_q = (np.array([r["copies"] for r in side], np.float64) for side in (left, right))
+    came = np.array([r["from"] != group[0]["cell"] for r in left])  # pairs of different cells are met here only
+    totals, root, edges, at = np.zeros(len(names)), np.arange(len(names)), [], list(names)
+    for x, y in close_pairs(unit([r["vec"] for r in left], kind), unit([r["vec"] for r in right], kind), threshold):
+        other = p[x] != q[y]
+        x, y = x[other], y[other]
+        totals += np.bincount(p[x], weight_q[y], len(at))
+        totals += np.bincount(q[y[came[x]]], weight_p[x[came[x]]], len(at))
+        ends = np.stack([root[p[x]], root[q[y]]], 1)
+        for i, j in np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0).tolist():
+            if root[i] != root[j]:
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+                edges.append((i, j))
+    return [(at[k], None, int(totals[k])) for k in np.flatnonzero(totals).tolist()] + [(at[i], at[j], None) for i, j in edges]
+
+
+def meet(placed: DataFrame, threshold: float, kind: str = "<f4", exact: bool = False) -> DataFrame:
     """Rows a, null, n (n documents linked to a) and a, b, null (an edge)."""
     key = ["label", "length", "cell"]
     placed = placed.withColumn("length", F.length("vec"))
     goes = placed.select("label", "length", F.explode("visits").alias("cell"), F.col("cell").alias("from"), "node")
     visitors = goes.groupBy(key).agg(F.count("*").alias("nq"))
     sizes = placed.groupBy(key).agg(F.count("*").alias("ni")).join(visitors, key)  # cells without vectors drop out
-    blocks = sizes.select(*key, *(F.ceil(F.col(x) / BLOCK).cast("int").alias(y) for x, y in (("ni", "bi"), ("nq", "bq"))))
+    block = F.greatest(F.lit(BLOCK), F.least(F.lit(EXACT_ROWS), F.floor(F.lit(EXACT_BYTES) / F.col("length")))) if exact else F.lit(BLOCK)
+    blocks = sizes.select(*key, *(F.ceil(F.col(x) / block).cast("int").alias(y) for x, y in (("ni", "bi"), ("nq", "bq"))))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rest = ["node", "from"]
@@ -232,6 +280,8 @@ def meet(placed: DataFrame, threshold: float, kind: str = "<f4") -> DataFrame:
     come = goes.join(blocks, key).select(*key, each("bi").alias("i"), part("bq").alias("q"), *rest)
 
     def compare(group: list[dict]) -> list[tuple]:
+        if exact:
+            return compare_large(group, threshold, kind)
         left, right = [r for r in group if r["from"] >= 0], [r for r in group if r["from"] < 0]
         if not left or not right:
             return []
@@ -265,7 +315,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, target: float =
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
     nodes = save(nodes, "nodes")
     placed = save(place(nodes, fit(nodes, threshold, target, kind), threshold), "placed")
-    found = save(meet(placed, threshold, kind), "met")
+    found = save(meet(placed, threshold, kind, target >= 1), "met")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     joined = components(found.where("b IS NOT NULL"))
     per_node = nodes.select("node", "copies", "least_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).join(links, "node", "left")
