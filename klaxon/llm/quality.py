@@ -128,9 +128,9 @@ def pair_loss(w: np.ndarray, z: np.ndarray, better: np.ndarray, worse: np.ndarra
     return float(np.logaddexp(0, -d).mean() + 0.5 * (ridge * w * w).sum()), z.T @ by_row.astype(z.dtype) + ridge * w, p * (1 - p) / n
 
 
-def rank(x: np.ndarray, y: np.ndarray, pairs: int = MOST_PAIRS, seed: int = 11) -> Ranker:
+def rank(x: np.ndarray, y: np.ndarray, pairs: int = MOST_PAIRS, seed: int = 11, overwrite: bool = False) -> Ranker:
     """Newton's method on the pairs' logistic loss, its steps by conjugate gradients: what is held is a row for each document, and
-    never one for each pair. The scale of each feature is divided out first."""
+    never one for each pair. The scale of each feature is divided out first, in x itself if it may be overwritten."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     width = len(SURFACE) + 2 * HASHED
     if not len(good) or not len(bad):
@@ -138,8 +138,11 @@ def rank(x: np.ndarray, y: np.ndarray, pairs: int = MOST_PAIRS, seed: int = 11)
     rng = np.random.default_rng(seed)
     n = min(pairs, len(good) * len(bad))
     better, worse = rng.choice(good, n), rng.choice(bad, n)
-    scale = np.maximum(x.std(0), 1e-6)
-    z = (x - x.mean(0)) / scale
+    mean = x.mean(0)
+    scale = np.maximum(np.concatenate([x[:, k : k + 64].std(0) for k in range(0, width, 64)]), 1e-6)  # by columns, so that no other array of x's size is made
+    z = x if overwrite else x.copy()
+    z -= mean
+    z /= scale
     ridge = np.repeat([RIDGE_SURFACE, RIDGE_CONTENT], [len(SURFACE), width - len(SURFACE)])
     w = np.zeros(width)
     for _ in range(30):
@@ -178,7 +181,7 @@ def rank(x: np.ndarray, y: np.ndarray, pairs: int = MOST_PAIRS, seed: int = 11)
         step_ = (t @ (y - p) - 1e-3 * slope) / ((t * t * p * (1 - p)).sum() + 1e-3)
         slope = float(np.clip(slope + np.clip(step_, -1, 1), 0.05, 50))
     weights = slope * w / scale
-    return Ranker(weights, base - slope * at - float(x.mean(0) @ weights))
+    return Ranker(weights, base - slope * at - float(mean @ weights))
 
 
 def keep_good(docs: DataFrame, ranker: Ranker, cut: float = CUT) -> DataFrame:
@@ -210,10 +213,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, pairs: in
                 x = [features(t).astype(np.float16).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(x, pa.binary())], ["quality", "x"])
 
-    found = rows.select(F.col("quality").cast("int").alias("quality"), "text").mapInArrow(run, "quality int, x binary").orderBy("quality", "x").limit(most).collect()
-    width = len(SURFACE) + 2 * HASHED
-    x = np.frombuffer(b"".join(r["x"] for r in found) or bytearray(), np.float16).reshape(-1, width).astype(np.float32)
-    return rank(x, np.array([r["quality"] for r in found], np.float64), pairs)
+    found = rows.select(F.col("quality").cast("int").alias("quality"), "text").mapInArrow(run, "quality int, x binary").orderBy("quality", "x").limit(most)
+    # The driver holds one row of single precision for each sampled document, and no list or second copy of them.
+    x, y = np.empty((most, len(SURFACE) + 2 * HASHED), np.float32), []
+    for r in found.toLocalIterator():
+        x[len(y)] = np.frombuffer(r["x"], np.float16)
+        y.append(r["quality"])
+    return rank(x[: len(y)], np.array(y, np.float64), pairs, overwrite=True)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
