@@ -34,6 +34,9 @@ class _Made(threading.local):
     def __init__(self):
         self.folders: list[str] = []
 
+    def __getitem__(self, at):
+        return self.folders[at]
+
 
 _made = _Made()
 
