@@ -17,7 +17,6 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +31,8 @@ from .common import save, slices, text_or_empty
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Each byte of UTF-8 as a term has it, or as a space: what ends a term is always one byte.
+FOLD = bytes(k + 32 if 65 <= k <= 90 else k if k > 127 or chr(k).isalnum() else 32 for k in range(256))
 #: Documents of a block at most, and code points after which it is closed; items of a chunk; results of an item; bits of a share, which is below 10**6.
 BLOCK, BLOCK_CHARS, CHUNK, K, BITS = 65_536, 24_000_000, 32, 10, 20
 INDEX = "block string, term string, df long, docs binary, slices binary"
@@ -60,10 +61,21 @@ def sliced(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return cut(planes, last)
 
 
+def terms_of(text: str) -> list[bytes]:
+    """The matches of TERM, lower-cased, in UTF-8."""
+    return text.encode().translate(FOLD).split()
+
+
 def totals(docs: DataFrame) -> tuple[int, int]:
     """N, the documents that have terms, and L, their terms."""
-    n = docs.select(F.regexp_count(text_or_empty(), F.lit(TERM)).cast("long").alias("n")).where("n > 0")
-    found = n.agg(F.count("*").alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(terms_of(t)) for part in slices(batch, "text") for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(x > 0 for x in n)], pa.int64()), pa.array([sum(n)], pa.int64())], ["filled", "total"])
+
+    n = docs.select(text_or_empty().alias("text")).mapInArrow(run, "filled long, total long")
+    found = n.agg(F.coalesce(F.sum("filled"), F.lit(0)).alias("N"), F.coalesce(F.sum("total"), F.lit(0)).alias("L")).first()
     return found["N"], found["L"]
 
 
@@ -73,8 +85,7 @@ def build(docs: DataFrame, block: int = BLOCK, block_chars: int = BLOCK_CHARS) -
     filled, total = totals(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, fold = re.compile(TERM).findall, str.maketrans(UPPER, LOWER)
-        numbers: dict[str, int] = {}
+        numbers: dict[bytes, int] = {}
         terms, tfs, sizes, ids, nulls, chars, k = [], [], [], [], [], 0, 0
         fields = ["block", "term", "df", "docs", "slices"]
 
@@ -86,7 +97,7 @@ def build(docs: DataFrame, block: int = BLOCK, block_chars: int = BLOCK_CHARS) -
             term = np.concatenate([*terms, np.zeros(0, np.int64)])
             order = np.argsort(term, kind="stable")
             term, doc, tf = term[order], doc[order], np.concatenate([*tfs, np.zeros(0, np.int64)])[order]
-            share, ends, names = shares(tf, n[doc], filled, total), np.cumsum(np.bincount(term, minlength=len(numbers))), list(numbers)
+            share, ends, names = shares(tf, n[doc], filled, total), np.cumsum(np.bincount(term, minlength=len(numbers))), [t.decode() for t in numbers]
             for at in range(0, len(names), 20_000):  # terms are numbered from 0, so the k-th piece is that of the k-th name
                 some = ends[at : at + 20_000]
                 low, high = ends[at - 1] if at else 0, some[-1]
@@ -100,7 +111,7 @@ def build(docs: DataFrame, block: int = BLOCK, block_chars: int = BLOCK_CHARS) -
         for batch in batches:
             for part in slices(batch, "text"):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    found = Counter(find(text.lower() if text.isascii() else text.translate(fold)))
+                    found = Counter(terms_of(text))
                     terms.append(np.fromiter((numbers.setdefault(t, len(numbers)) for t in found), np.int64, len(found)))
                     tfs.append(np.fromiter(found.values(), np.int64, len(found)))
                     sizes.append(found.total())
