@@ -38,6 +38,8 @@ from .common import save, slices, text_or_empty
 from .components import run_groups
 
 PASSAGE, RANK, ITEM_BLOCK = 32, 64, 2_000
+#: Steps of 8 words in a passage.
+STEPS = PASSAGE // 8
 #: Windows for items from so many words on; the first is for shorter ones too.
 WINDOWS, SHORT = (12, 24), 6
 #: Least share of an item's words in order; least weighted share, alone and with its answer.
@@ -46,6 +48,8 @@ WORDS, ALONE, WITH_ANSWER, RECALL = 0.4, 0.6, 0.45, 0.99
 SIMULATED = 100
 
 _word = re.compile(r"\w+")
+#: Each character of Latin-1 as itself if words have it, else as a space.
+_WORDS = bytes(k if _word.match(chr(k)) else 32 for k in range(256))
 _sentence = re.compile(r"[.!?](?:\s|$)|\n")
 RESULT = "doc_id long, text_key long, item_id long, cosine double, share double, answer boolean, word_from long, word_to long"
 _result = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("share", pa.float64()), ("answer", pa.bool_()), ("word_from", pa.int64()), ("word_to", pa.int64())])
@@ -83,14 +87,18 @@ def read_items(rows: Iterable) -> Items:
 def tokenise(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
     """doc_id, text_key, tokens: for each word of the text its term, or -1."""
     kind = "<i2" if len(terms) < 32_000 else "<i4"
+    of_bytes = {w.encode("latin-1"): n for w, n in terms.items() if max(w) < "\u0100"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 out = []
                 for text in part.column("text").to_pylist():
-                    words = words_of(text)
-                    out.append(np.fromiter(map(terms.get, words, repeat(-1)), kind, len(words)).tobytes())
+                    try:  # the words of words_of(), cut as bytes
+                        words, known = text.lower().encode("latin-1").translate(_WORDS).split(), of_bytes
+                    except UnicodeEncodeError:
+                        words, known = words_of(text), terms
+                    out.append(np.fromiter(map(known.get, words, repeat(-1)), kind, len(words)).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(out, pa.binary())], ["doc_id", "text_key", "tokens"])
 
     text = text_or_empty()
@@ -208,6 +216,20 @@ def _project_sums(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
     return z
 
 
+def _project_held(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The sums of the terms alone (table has no other rows): each row's come first, rows with most of them first, so that a column of them is a run."""
+    held = rows >= 0
+    many = held.sum(1)
+    order = np.argsort(-many, kind="stable")
+    terms = np.take_along_axis(rows, np.argsort(~held, axis=1, kind="stable"), axis=1)[order]
+    z = np.zeros((len(rows), table.shape[1]), np.float32)
+    for k, n in enumerate(np.searchsorted(-many[order], -np.arange(rows.shape[1])).tolist()):
+        z[:n] += table[terms[:n, k]]
+    out = np.empty_like(z)
+    out[order] = z
+    return out
+
+
 def _project(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Unit latent vectors of rows of tokens; table: the terms' weighted directions, and zeros for -2 and -1."""
     return _unit(_project_sums(rows, table))
@@ -340,6 +362,8 @@ def search(tokens: DataFrame, items: Items, cosines: list[np.ndarray], idf: np.n
     columns, first_of_term = column_of[having[by_term]], np.searchsorted(of_term[by_term], np.arange(n_terms + 1))
     pad = int(sizes.max(initial=0)) // 8 + 2
     front, tail = pad + int(reach_back.max(initial=0)), int(reach_ahead.max(initial=0))
+    # The same in passages, rounded up.
+    far, far_back, far_ahead = -(-pad // STEPS), -(-int(reach_back.max(initial=0)) // STEPS), (tail + STEPS - 2) // STEPS + 1
 
     def weights_before(flat: np.ndarray, begin: int, end: int) -> np.ndarray:
         """(front + steps of 8 words + tail + 1, columns from begin to end): the weight of each item's words, in any order, before each step."""
@@ -371,25 +395,59 @@ def search(tokens: DataFrame, items: Items, cosines: list[np.ndarray], idf: np.n
             out[k : k + rows] = (held.sum(1) >= WORDS * sizes[own]) & ((idf[t] * held).sum(1, dtype=np.float64) >= needs[own])
         return out
 
+    def reaches(k: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+        """(first column, end, steps back, steps ahead) of runs of columns whose items reach equally far."""
+        while k < end:
+            back, ahead, first = int(reach_back[item_of[k]]), int(reach_ahead[item_of[k]]), k
+            while k < end and reach_back[item_of[k]] == back and reach_ahead[item_of[k]] == ahead:
+                k += 1
+            yield first, k, back, ahead
+
+    def open_passages(flat: np.ndarray) -> np.ndarray:
+        """Which passages, from -far on, hold a step from which whole passages hold enough of any item: a bound of the bounds by steps, from
+        a quarter of their sums."""
+        whole = len(flat) // PASSAGE
+        rows, at = whole + far, front - far
+        out = np.zeros(rows, bool)
+        wide = max(1, 4_000_000 // max(rows, n_terms))
+        for begin in range(0, len(items.ids), wide):
+            end = min(begin + wide, len(items.ids))
+            weight, mine = np.zeros((n_terms, end - begin), np.float32), (columns >= begin) & (columns < end)
+            weight[of_term[by_term][mine], columns[mine] - begin] = idf[of_term[by_term][mine]]
+            before = np.zeros((front + whole + tail + 1, end - begin))
+            before[front + 1 : front + 1 + whole] = _project_held(flat.reshape(-1, PASSAGE), weight)
+            np.cumsum(before, axis=0, out=before)
+            for first, last, back, ahead in reaches(begin, end):
+                mine, back, ahead = slice(first - begin, last - begin), -(-back // STEPS), (ahead + STEPS - 2) // STEPS + 1
+                held = before[at + ahead : at + ahead + rows, mine] - before[at - back : at - back + rows, mine]
+                out |= (held >= needs[item_of[first:last]]).any(axis=1)
+        return out
+
     def bounded(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(step, item) of all places, whatever their words' order, whose surrounding whole steps hold enough of the item; sorted by both.
         A place may begin before the first word."""
+        whole, open_ = len(flat) // PASSAGE, np.flatnonzero(open_passages(flat)) - far
+        # Steps are summed in open passages and in what their places reach, side by side; sums across a gap belong to no open passage.
+        edges = np.bincount(np.clip(open_ - far_back, 0, whole), minlength=whole + 1) - np.bincount(np.clip(open_ + far_ahead, 0, whole), minlength=whole + 1)
+        kept = np.flatnonzero(np.cumsum(edges)[:whole] > 0)
+        if not len(kept):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        flat = flat.reshape(-1, PASSAGE)[kept].ravel()
         rows = len(flat) // 8 + pad
         found: list[tuple[np.ndarray, np.ndarray]] = []
         wide = max(1, 4_000_000 // (len(flat) // 8 + 1))
         for begin in range(0, len(items.ids), wide):
             end = min(begin + wide, len(items.ids))
-            before = weights_before(flat, begin, end)
-            k = begin
-            while k < end:
-                back, ahead, first = int(reach_back[item_of[k]]), int(reach_ahead[item_of[k]]), k
-                while k < end and reach_back[item_of[k]] == back and reach_ahead[item_of[k]] == ahead:
-                    k += 1
-                mine, at = slice(first - begin, k - begin), front - pad
+            before, at = weights_before(flat, begin, end), front - pad
+            for first, last, back, ahead in reaches(begin, end):
+                mine = slice(first - begin, last - begin)
                 held = before[at + ahead : at + ahead + rows, mine] - before[at - back : at - back + rows, mine]
-                step, column = np.divmod(np.flatnonzero(held >= needs[item_of[first:k]]), k - first)
+                step, column = np.divmod(np.flatnonzero(held >= needs[item_of[first:last]]), last - first)
                 found.append((step - pad, item_of[first + column]))
         step, i = map(np.concatenate, zip(*found, strict=True))
+        step = np.where(step < 0, step + STEPS * kept[0], STEPS * kept[np.maximum(step, 0) // STEPS] + step % STEPS)
+        mine = np.isin(step // STEPS, open_)
+        step, i = step[mine], i[mine]
         order = np.lexsort((i, step))
         return step[order], i[order]
 
